@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, simhash_nsw, substring
+from . import bpe, decontam, langid, simhash_nsw, substring
 
 
 def op2_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op4_fixed_block_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFra
     return substring.remove_repeats(docs, map_out=substring.digest, out=substring.DIGEST).withColumnRenamed("id", "doc_id")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.encode(docs, tokenizer_path(), finish=bpe.digest, out=bpe.DIGEST).withColumnRenamed("id", "doc_id")
+
+
 def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontam.overlaps(docs, benchmark).select(F.col("id").alias("doc_id"), "n_tokens", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"), "overlaps")
