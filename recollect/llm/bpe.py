@@ -286,6 +286,13 @@ def digest(enc: Encoder, ids: list[int]) -> tuple:
 digest.types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
+def digest_and_ids(enc: Encoder, ids: list[int]) -> tuple:
+    return *digest(enc, ids), ids
+
+
+digest_and_ids.types = [*digest.types, pa.list_(pa.int32())]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", finish=whole, out: str = OUT) -> DataFrame:
     """``id, ids, decoded`` for each row; ``finish`` may derive other columns ``out`` from the ids within the task."""
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -117,20 +117,37 @@ def _index(ids: tuple, texts: tuple) -> Index:
     return Index(list(ids), list(texts))
 
 
+def _spans(index: Index, texts: pa.Array) -> tuple[list[int], list[list[tuple]]]:
+    """Tokens and overlaps (item, start, tokens, equal) of each text."""
+    tokens, spans = [], []
+    for w in blocks(normal(texts)):
+        h = w.hashes()
+        found: dict[int, set] = {}
+        for doc, item, diagonal in index.hits(w, h).tolist():
+            if x := index.overlap(h[w.docs[doc] : w.docs[doc + 1]], item, diagonal):
+                found.setdefault(doc, set()).add((index.ids[item], *x))
+        tokens += np.diff(w.docs).tolist()
+        spans += [sorted(found.get(i, ())) for i in range(w.hi - w.lo)]
+    return tokens, spans
+
+
 def _find(part):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(*part.value)
         for batch in batches:
-            for w in blocks(normal(batch.column(1))):
-                h = w.hashes()
-                found: dict[int, set] = {}
-                for doc, item, diagonal in index.hits(w, h).tolist():
-                    if x := index.overlap(h[w.docs[doc] : w.docs[doc + 1]], item, diagonal):
-                        found.setdefault(doc, set()).add((index.ids[item], *x))
-                spans = [sorted(found.get(i, ())) for i in range(w.hi - w.lo)]
-                items = [sorted({x[0] for x in s}) for s in spans]
-                spans = [[dict(zip(("item", "start", "tokens", "equal"), x)) for x in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(np.diff(w.docs)), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(_SPAN_TYPE))], schema=_OUT)
+            tokens, spans = _spans(index, batch.column(1))
+            items = [sorted({x[0] for x in s}) for s in spans]
+            spans = [[dict(zip(("item", "start", "tokens", "equal"), x)) for x in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(_SPAN_TYPE))], schema=_OUT)
+
+    return run
+
+
+def _drop(part, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(*part.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not s for s in _spans(index, batch.column(column))[1]], pa.bool_()))
 
     return run
 
@@ -149,6 +166,14 @@ def _parts(benchmark: DataFrame):
         yield tuple(ids), tuple(texts)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that overlap no item. Nothing is shuffled."""
+    benchmark = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    for p in _parts(benchmark):
+        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(p), docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id, n_tokens, items, overlaps`` for each row of ``docs``: benchmark items it overlaps, and where (in tokens)."""
     sc = docs.sparkSession.sparkContext

@@ -201,31 +201,35 @@ def _model(parts: tuple) -> Model:
     return Model({lang: np.frombuffer(zstandard.decompress(b), np.int64) for lang, b in parts})
 
 
+def _read(m: Model, texts: pa.Array):
+    """Of each text: language number (that after the last for ``und``), score, first word; of each word: text and language."""
+    scores, letters, docs = [np.zeros((0, len(m.langs)), np.float32)], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+    for w in blocks(spaced(texts)):
+        s, n = m.scores(w)
+        scores.append(s)
+        letters.append(n)
+        docs.append(w.docs[1:] + docs[-1][-1])
+    s, n, d = np.concatenate(scores), np.concatenate(letters), np.concatenate(docs)
+    k, rows = len(m.langs), len(d) - 1
+    path = viterbi(s, d) if k else np.zeros(len(s), np.uint8)
+    doc = np.repeat(np.arange(rows), np.diff(d))
+    share = np.bincount(doc * max(1, k) + path, weights=n, minlength=rows * max(1, k)).reshape(rows, max(1, k))
+    total = share.sum(axis=1)
+    for i in np.flatnonzero(total == 0):
+        # letters of a block of characters where most are none
+        if any(c.isalpha() for c in texts[int(i)].as_py() or ""):
+            share[i, 0] = total[i] = 1
+    pick = np.where((total > 0) & (k > 0), share.argmax(axis=1), k)
+    score = np.where(pick < k, share.max(axis=1) / np.maximum(total, 1), 0.0)
+    return pick, score, d, doc, path
+
+
 def _label(model, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
         names = np.array([*m.langs, "und"], object)
         for batch in batches:
-            texts = spaced(batch.column(1))
-            scores, letters, docs = [], [], [np.zeros(1, np.int64)]
-            for w in blocks(texts):
-                s, n = m.scores(w)
-                scores.append(s)
-                letters.append(n)
-                docs.append(w.docs[1:] + docs[-1][-1])
-            if not batch.num_rows:
-                continue
-            s, n, d = np.concatenate(scores), np.concatenate(letters), np.concatenate(docs)
-            k = len(m.langs)
-            path = viterbi(s, d) if k else np.zeros(len(s), np.uint8)
-            doc = np.repeat(np.arange(len(d) - 1), np.diff(d))
-            share = np.bincount(doc * max(1, k) + path, weights=n, minlength=(len(d) - 1) * max(1, k)).reshape(len(d) - 1, -1)
-            total = share.sum(axis=1)
-            for i in np.flatnonzero(total == 0):
-                if any(c.isalpha() for c in batch.column(1)[int(i)].as_py() or ""):
-                    share[i, 0] = total[i] = 1
-            pick = np.where((total > 0) & (k > 0), share.argmax(axis=1), k)
-            score = np.where(pick < k, share.max(axis=1) / np.maximum(total, 1), 0.0)
+            pick, score, d, doc, path = _read(m, batch.column(1))
             new = np.append(True, (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])) if len(doc) else np.empty(0, bool)
             spans = np.bincount(doc[new], minlength=len(d) - 1)
             columns = [batch.column(0), pa.array(names[pick], pa.string()), pa.array(score), pa.array(spans, pa.int32())]
@@ -243,6 +247,15 @@ def _label(model, with_spans: bool):
     return run
 
 
+def _known(model, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(model.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_read(m, batch.column(column))[0] < len(m.langs)))
+
+    return run
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
     """A broadcast model from the rows whose language is known. It holds two MB for each language."""
     sc = docs.sparkSession.sparkContext
@@ -258,6 +271,11 @@ def label(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     return docs.mapInArrow(_label(model, spans), SPAN_OUT if spans else OUT)
 
 
+def known(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, whose language isn't ``und``."""
+    return docs.mapInArrow(_known(model, docs.columns.index(text_col)), docs.schema)
+
+
 def remainder(id_col: str, by: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by
 

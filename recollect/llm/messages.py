@@ -87,7 +87,7 @@ def unpack_table(body: bytes) -> pa.Table:
 
 
 def send_texts(count: int):
-    """A mapInArrow function: (id, text) rows to one message for each bucket of ids."""
+    """A mapInArrow function: rows that begin with an id to one message for each bucket of ids."""
 
     def run(batches):
         for batch in batches:

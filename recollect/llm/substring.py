@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .messages import MESSAGE, bucket_of, pack_places, rows, send_texts, split, unpack_places, unpack_table
 from .words import U, blocks, inside, windows
@@ -33,7 +34,6 @@ from .words import U, blocks, inside, windows
 WINDOW, BLOCK = 50, 25
 FLUSH = 1_500_000
 OUT = "id long, n_words long, n_removed long, kept_text string"
-_OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
 def _probe(count: int):
@@ -133,14 +133,17 @@ def _answer(count: int, anchors: bool):
     return run
 
 
-def _texts(table: pa.Table) -> pa.Table:
-    """The distinct (id, text) rows of a bucket, with how often each occurs, and its number among texts of its id."""
-    t = pa.concat_tables([unpack_table(x.as_py()) for x in table.column("body")]) if table.num_rows else pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
-    t = t.set_column(1, "text", pc.fill_null(t.column(1), ""))
-    t = t.group_by(["id", "text"]).aggregate([([], "count_all")]).sort_by([("id", "ascending"), ("text", "ascending")])
-    ids = t.column("id").to_numpy()
-    first = np.searchsorted(ids, ids)
-    return t.append_column("variant", pa.array(np.arange(len(ids)) - first))
+def _texts(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The rows of a bucket by id and text, each with its text's number among those of its id."""
+    t = pa.concat_tables([unpack_table(x.as_py()) for x in table.column("body")]) if table.num_rows else schema.empty_table()
+    t = t.set_column(1, "text", pc.fill_null(t.column(1), "")).sort_by([("id", "ascending"), ("text", "ascending")])
+    if not t.num_rows:
+        return t.append_column("variant", pa.array([], pa.int64()))
+    ids, text = t.column("id").to_numpy(), t.column("text")
+    new = np.append(True, ids[1:] != ids[:-1])
+    other = np.append(False, pc.not_equal(text[1:], text[:-1]).to_numpy())
+    sums = np.cumsum(other & ~new)
+    return t.append_column("variant", pa.array(sums - np.repeat(sums[new], np.diff(np.append(np.flatnonzero(new), len(ids))))))
 
 
 def _places(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +178,11 @@ def _reach(mark: np.ndarray, back: int, ahead: int) -> np.ndarray:
     return sums[np.minimum(i + ahead + 1, len(mark))] > sums[np.maximum(i - back, 0)]
 
 
-def _extend(count: int):
+def _extend(count: int, schema: pa.Schema):
     def run(texts: pa.Table, anchors: pa.Table) -> pa.Table:
         out, at = [], _places(anchors)
         if len(at[0]):
-            t = _texts(texts)
+            t = _texts(texts, schema)
             t = t.filter(pc.is_in(t.column("id"), pa.array(np.unique(at[0]))))
             ids, variant = t.column("id").to_numpy(), t.column("variant").to_numpy()
             for w in blocks(t.column("text")):
@@ -196,45 +199,43 @@ def _extend(count: int):
     return run
 
 
-def _cut(texts: pa.Table, repeats: pa.Table) -> pa.Table:
-    t, at = _texts(texts), _places(repeats)
-    return pa.Table.from_batches(list(_kept(t, at)), schema=_OUT)
-
-
-def _kept(t: pa.Table, at) -> Iterator[pa.RecordBatch]:
-    ids, variant, times = (t.column(c).to_numpy() for c in ("id", "variant", "count_all"))
+def _kept(t: pa.Table, at, layout: bool) -> pa.Table:
+    ids, variant = t.column("id").to_numpy(), t.column("variant").to_numpy()
+    kept, total, removed = [], [], []
     for w in blocks(t.column("text")):
         gone = _reach(_marks(w, ids, variant, at), WINDOW - 1, 0)
         data = w.data.tobytes()
-        own = slice(w.lo, w.hi)
-        kept = []
-        for a, b in zip(w.docs[:-1].tolist(), w.docs[1:].tolist()):
-            stay = np.flatnonzero(~gone[a:b]) + a
-            kept.append(b" ".join([data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist())]).decode("utf-8", "surrogatepass"))
         sums = np.concatenate([[0], np.cumsum(gone)])
-        n_gone = sums[w.docs[1:]] - sums[w.docs[:-1]]
-        batch = pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.diff(w.docs)), pa.array(n_gone), pa.array(kept, pa.string())], schema=_OUT)
-        yield batch.take(pa.array(np.repeat(np.arange(len(kept)), times[own])))
-
-
-def _unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_rows
-        t = pa.table({"id": batch.column(0).fill_null(0), "text": batch.column(1).fill_null(""), "count_all": pa.array(np.ones(n, np.int64)), "variant": pa.array(np.zeros(n, np.int64))})
-        for b in _kept(t, (np.empty(0, np.int64), np.empty(0, np.int64))):
-            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), *b.columns[1:]], schema=_OUT)
+        n = sums[w.docs[1:]] - sums[w.docs[:-1]]
+        for i, (a, b) in enumerate(zip(w.docs[:-1].tolist(), w.docs[1:].tolist())):
+            if layout and not n[i]:
+                kept.append(t.column("text")[w.lo + i].as_py())
+                continue
+            stay = np.flatnonzero(~gone[a:b]) + a
+            kept.append(b" ".join([data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist())]).decode())
+        total.append(np.diff(w.docs))
+        removed.append(n)
+    none = [np.empty(0, np.int64)]
+    new = pa.table({"id": t.column("id"), "n_words": np.concatenate(none + total).astype(np.int64), "n_removed": np.concatenate(none + removed).astype(np.int64), "kept_text": pa.array(kept, pa.string())})
+    for c in t.column_names[2:-1]:
+        new = new.append_column(c, t.column(c))
+    return new
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", map_out=None, out: str = OUT) -> DataFrame:
-    """``id, n_words, n_removed, kept_text`` for each row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), layout: bool = False, map_out=None, out: str = OUT) -> DataFrame:
+    """``id, n_words, n_removed, kept_text`` and the columns ``carry`` for each row.
 
-    ``map_out`` turns a table of those into one of the columns ``out`` before it leaves the task.
+    Kept words are joined by one space; with ``layout`` a text of which nothing goes stays as it is.
+    ``map_out`` turns a table of the first four into one of the columns ``out`` before it leaves the task.
     """
     spark = docs.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    schema = to_arrow_schema(docs.schema)
+    out += "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
     known = docs.where("id is not null")
     texts = known.mapInArrow(send_texts(count), MESSAGE)
+    finish = map_out or (lambda t: t)
 
     def to_buckets(df: DataFrame) -> DataFrame:
         return df.repartition(count, "bucket")
@@ -242,17 +243,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def with_texts(places: DataFrame, f, schema: str) -> DataFrame:
         return texts.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(f, schema)
 
+    def cut(texts: pa.Table, repeats: pa.Table) -> pa.Table:
+        return finish(_kept(_texts(texts, schema), _places(repeats), layout))
+
+    def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).set_column(0, "id", pa.array(np.zeros(batch.num_rows, np.int64)))
+            t = t.set_column(1, "text", pc.fill_null(t.column(1), "")).append_column("variant", pa.array(np.zeros(batch.num_rows, np.int64)))
+            t = finish(_kept(t, (np.empty(0, np.int64),) * 2, layout))
+            yield from t.set_column(0, "id", pa.nulls(t.num_rows, pa.int64())).to_batches()
+
     anchors = to_buckets(known.mapInArrow(_probe(count), MESSAGE)).mapInArrow(_answer(count, True), MESSAGE)
-    repeats = to_buckets(with_texts(anchors, _extend(count), MESSAGE)).mapInArrow(_answer(count, False), MESSAGE)
-    cut = (lambda a, b: map_out(_cut(a, b))) if map_out else _cut
-    rest = (lambda it: (map_out(pa.Table.from_batches([x])).combine_chunks().to_batches()[0] for x in _unchanged(it))) if map_out else _unchanged
-    return with_texts(repeats, cut, out).unionByName(docs.where("id is null").mapInArrow(rest, out))
+    repeats = to_buckets(with_texts(anchors, _extend(count, schema), MESSAGE)).mapInArrow(_answer(count, False), MESSAGE)
+    found = with_texts(repeats, cut, out).unionByName(docs.where("id is null").mapInArrow(unchanged, out))
+    return found.select(*(c for c in found.columns if not c.startswith("c_")), *(F.col(f"c_{c}").alias(c) for c in carry))
 
 
 def digest(t: pa.Table) -> pa.Table:
     """The kept text as a hash."""
     sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in t.column("kept_text")]
-    return t.drop_columns(["kept_text"]).append_column("kept_sha256", pa.array(sha, pa.string()))
+    return t.set_column(3, "kept_sha256", pa.array(sha, pa.string()))
 
 
 DIGEST = "id long, n_words long, n_removed long, kept_sha256 string"
