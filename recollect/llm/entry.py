@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash_nsw, substring
+from . import bpe, cotrain, decontam, langid, simhash_nsw, substring
 
 
 def op2_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,13 @@ def op2_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "n_spans")
 
 
+def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    found = cotrain.score(docs, labels).withColumnRenamed("id", "doc_id")
+    keep = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
+    return found.withColumns({"good": F.col("quality_score") >= 0.5, "toxic": F.col("toxic_score") >= 0.5, "kept": keep})
+
+
 def op4_fixed_block_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring.remove_repeats(docs, map_out=substring.digest, out=substring.DIGEST).withColumnRenamed("id", "doc_id")
