@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import U, mix
+
+#: Bits of a filter of ids, whatever their number: eight MB. Beyond some ten million ids it lets more pass than is wanted, never less.
+FILTER_BITS, FILTER_HASHES = 1 << 26, 4
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see (``spark.checkpoint.dir``); only where it is unset, one of our own."""
@@ -57,3 +66,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def _places(ids: np.ndarray) -> Iterator[np.ndarray]:
+    for i in range(FILTER_HASHES):
+        yield (mix(ids.view(np.uint64), 40 + i) % U(FILTER_BITS)).astype(np.int64)
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for batch in batches:
+        if batch.schema.field(0).type == pa.int64():
+            for at in _places(batch.column(0).to_numpy()):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        else:
+            for body in batch.column(0):
+                bits |= np.frombuffer(zstandard.decompress(body.as_py()), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def id_filter(ids: DataFrame):
+    """A broadcast Bloom filter of a column of non-null ids."""
+    few = ids.mapInArrow(_fill, "bits binary")
+    body = few.repartition(1).mapInArrow(_fill, "bits binary").first().bits
+    return ids.sparkSession.sparkContext.broadcast(bytes(body))
+
+
+def passes(filter_, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the filter."""
+    bits = np.frombuffer(zstandard.decompress(filter_.value), np.uint8)
+    keep = np.ones(len(ids), bool)
+    for at in _places(ids):
+        keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return keep
