@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontam, langid, simhash_nsw, substring
+from . import bpe, cotrain, decontam, dom_model, langid, simhash_nsw, substring
 
 
 def op2_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_model.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe.encode(docs, tokenizer_path(), finish=bpe.digest, out=bpe.DIGEST).withColumnRenamed("id", "doc_id")
