@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontam, dom_model, langid, simhash_nsw, substring
+from . import bpe, cotrain, decontam, dom_model, itq, langid, simhash_nsw, substring
 
 
 def op2_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path(), finish=bpe.digest, out=bpe.DIGEST).withColumnRenamed("id", "doc_id")
 
 
+def op7_itq_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = itq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontam.overlaps(docs, benchmark).select(F.col("id").alias("doc_id"), "n_tokens", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"), "overlaps")
