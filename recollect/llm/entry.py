@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontam, dom_model, itq, langid, simhash_nsw, substring
+from . import bpe, cotrain, decontam, dom_model, itq, kneser_ney, langid, simhash_nsw, substring
+
+
+def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kneser_ney.held_out_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
