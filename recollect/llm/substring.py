@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .messages import MESSAGE, bucket_of, pack_places, rows, send_texts, split, unpack_places, unpack_table
+from .messages import MESSAGE, bucket_of, pack_places, rows, send_texts, split, trim, unpack_places, unpack_table
 from .words import U, blocks, inside, windows
 
 WINDOW, BLOCK = 50, 25
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 OUT = "id long, n_words long, n_removed long, kept_text string"
 
 
@@ -58,6 +58,7 @@ def _probe(count: int):
                         yield flush()
         if held:
             yield flush()
+        trim()
 
     return run
 
@@ -100,14 +101,17 @@ def _answer(count: int, anchors: bool):
                     ids, pos, h = read(bucket, body)
                     fresh.append((h, ids, (pos % BLOCK == 0) if anchors else np.ones(len(h), bool)))
                     new += len(h)
-                    if new > 1 << 20:
+                    if new > 1 << 22:
                         seen.add(*(np.concatenate(x) for x in zip(*fresh)))
                         fresh, new = [], 0
                     sizes.append((bucket, len(body)))
                     spool.write(body)
             if fresh:
                 seen.add(*(np.concatenate(x) for x in zip(*fresh)))
+                fresh = []
             shared = seen.ref & (seen.low < seen.high)
+            if anchors:
+                seen.low = seen.high = None
             spool.seek(0)
             held, n = [], 0
 
@@ -129,6 +133,7 @@ def _answer(count: int, anchors: bool):
                         held, n = [], 0
             if held:
                 yield flush()
+        trim()
 
     return run
 
@@ -194,6 +199,7 @@ def _extend(count: int, schema: pa.Schema):
                     pos = (p - w.docs[doc]) | (variant[doc + w.lo] << 40)
                     own = ids[doc + w.lo]
                     out += [(b, pack_places(own[i], pos[i], h[i])) for b, i in split((h % U(count)).astype(np.int64), count)]
+        trim()
         return pa.Table.from_batches([rows(out)])
 
     return run
@@ -244,7 +250,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return texts.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(f, schema)
 
     def cut(texts: pa.Table, repeats: pa.Table) -> pa.Table:
-        return finish(_kept(_texts(texts, schema), _places(repeats), layout))
+        out = finish(_kept(_texts(texts, schema), _places(repeats), layout))
+        trim()
+        return out
 
     def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
