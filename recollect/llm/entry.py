@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontam, dom_model, itq, kneser_ney, langid, simhash_nsw, substring
+from . import bpe, cotrain, decontam, dom_model, itq, kneser_ney, langid, rangecoder, simhash_nsw, substring
 
 
 def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op7_itq_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = rangecoder.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return rangecoder.read(spark, files).withColumnRenamed("id", "doc_id")
+
+
 def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontam.overlaps(docs, benchmark).select(F.col("id").alias("doc_id"), "n_tokens", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"), "overlaps")
