@@ -43,9 +43,14 @@ def core_len(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Pairs of neighbouring word characters, across what is removed between them; a lone one is itself."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(pairs)
+    return pairs(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", ""))
+
+
+def pairs(text: Column) -> Column:
+    """Neighbouring characters, in time linear in the text."""
+    chars = F.split(text, "")
+    n = F.size(chars) - 1
+    return F.when(n < 1, F.filter(chars, lambda x: x != "")).otherwise(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b)))
 
 
 def fold(token: Column) -> Column:
@@ -65,7 +70,7 @@ def absolutize(text: Column, day: Column) -> Column:
             out = F.replace(out, F.lit(word + c), F.date_format(F.date_add(monday, days + min(i, 6)), "yyyy-MM-dd"))
     for word, days in _DAYS.items():
         out = F.replace(out, F.lit(word), F.date_format(F.date_add(base, days), "yyyy-MM-dd"))
-    return F.when(base.isNull(), text).otherwise(F.regexp_replace(out, _BARE, ""))
+    return F.when(base.isNull() | ~text.rlike("[周天月]"), text).otherwise(F.regexp_replace(out, _BARE, ""))
 
 
 def norm_due(value: Column, day: Column) -> Column:
@@ -111,12 +116,15 @@ def unescape(text: Column) -> Column:
 def mock_embedding(text: Column, dim: int = 64) -> Column:
     """Counts of character pairs by CRC, at unit length; a zero vector for empty text."""
     s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
-    n = F.length(s)
-    grams = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
-    slots = F.transform(grams, lambda g: (F.crc32(F.encode(g, "utf-8")) % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.size(F.filter(slots, lambda x: x == j)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))
+    slots = F.transform(pairs(s), lambda g: (F.crc32(F.encode(g, "utf-8")) % dim).cast("int"))
+    counts = let(slots, lambda x: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.size(F.filter(x, lambda y: y == j)).cast("double")))
+    unit = lambda x, n: F.transform(x, lambda y: F.when(n > 0, y / n).otherwise(0.0).cast("float"))
+    return let(counts, lambda x: let(F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, y: t + y * y)), lambda n: unit(x, n)))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def past_mentioned(query: Column) -> Column:

@@ -22,7 +22,7 @@ def similarity(a: Column, b: Column, ta: Column, tb: Column, floor: float) -> Co
 
 def duplicates(facts: DataFrame, floor: float = 0.8) -> DataFrame:
     """``uid, leader, id`` of each fact in a group of two or more: it joins the first leader of its slot that is like it."""
-    rows = FA.list_facts(facts).withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy(*FA.LIST_ORDER)))
+    rows = FA.list_facts(facts).withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy(*FA.list_order())))
     item = F.struct("n", "id", F.coalesce("object", F.lit("")).alias("object"), F.array_distinct(T.tokenize(F.col("object"))).alias("tokens"))
     slots = rows.groupBy("uid", "subject", "predicate").agg(F.sort_array(F.collect_list(item)).alias("items")).where(F.size("items") > 1)
     kind = "array<struct<id:string,leader:string,object:string,tokens:array<string>>>"

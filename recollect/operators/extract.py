@@ -35,25 +35,23 @@ def parse_summary(raw: Column) -> Column:
 def parse_topics(raw: Column, day: Column) -> Column:
     """The first valid topics: cut to size, of known kind, with a date or none."""
     rows = _first([*(F.from_json(F.get_json_object(c, "$.topics"), f"array<{TOPIC}>") for c in T.json_candidates(raw)), F.array().cast(f"array<{TOPIC}>")])
-    named = F.filter(rows, lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
-
-    def one(x: Column) -> Column:
-        kind = F.lower(F.trim(F.coalesce(x["kind"], F.lit("share"))))
-        due = T.absolutize(F.trim(F.coalesce(x["due_day"], F.lit(""))), day)
-        return F.struct(
-            F.substring(F.trim(x["text"]), 1, TOPIC_CHARS).alias("text"),
-            F.when(kind.isin(*TOPIC_KINDS), kind).otherwise("share").alias("kind"),
-            F.when(due.rlike(f"^{T.DATE}$"), due).otherwise("").alias("due_day"),
-            F.substring(F.trim(F.coalesce(x["ref"], F.lit(""))), 1, REF_CHARS).alias("ref"),
-        )
-
-    return F.slice(F.transform(named, one), 1, TOPICS_MAX)
-
-
-def coverage(quote: Column, text: Column) -> Column:
-    """The share of the quote's tokens that the text holds."""
+    named = F.slice(F.filter(rows, lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != ""), 1, TOPICS_MAX)
+    dated = F.transform(named, lambda x: F.struct(x.alias("t"), T.absolutize(F.trim(F.coalesce(x["due_day"], F.lit(""))), day).alias("due"), F.lower(F.trim(F.coalesce(x["kind"], F.lit("share")))).alias("kind")))
+    return F.transform(
+        dated,
+        lambda x: F.struct(
+            F.substring(F.trim(x["t"]["text"]), 1, TOPIC_CHARS).alias("text"),
+            F.when(x["kind"].isin(*TOPIC_KINDS), x["kind"]).otherwise("share").alias("kind"),
+            F.when(x["due"].rlike(f"^{T.DATE}$"), x["due"]).otherwise("").alias("due_day"),
+            F.substring(F.trim(F.coalesce(x["t"]["ref"], F.lit(""))), 1, REF_CHARS).alias("ref"),
+        ),
+    )
+
+
+def coverage(quote: Column, body: Column) -> Column:
+    """The share of the quote's tokens that a normalised text holds."""
     tokens = F.filter(T.tokenize(quote), lambda t: T.norm(t) != "")
-    held = F.filter(tokens, lambda t: F.contains(T.norm(text), T.norm(t)))
+    held = F.filter(tokens, lambda t: F.contains(body, T.norm(t)))
     return F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(held) / F.size(tokens))
 
 
@@ -68,11 +66,13 @@ def verify(candidates: DataFrame, turns: DataFrame, tolerance: float = 0.6) -> D
     own = (F.lower(F.trim(F.coalesce("kind", F.lit("")))) == "promise") | (F.trim(F.coalesce("subject", F.lit(""))) == HER)
     heard = (F.col("turn_role") == "user") | ((F.col("turn_role") == "assistant") & own)
     usable = (F.col("turn_ref") != "") & F.col("turn_role").isNotNull() & F.coalesce(heard, F.lit(False)) & (quote != "")
-    whole = F.contains(T.norm(F.col("turn_text")), T.norm(quote))
-    rows = rows.withColumn("share", F.when(usable & ~whole, coverage(quote, F.col("turn_text"))).otherwise(0.0))
+    rows = rows.withColumn("_body", T.norm(F.col("turn_text")))
+    rows = rows.withColumn("_whole", F.contains("_body", T.norm(quote)))
+    whole = F.col("_whole")
+    rows = rows.withColumn("share", F.when(usable & ~whole, coverage(quote, F.col("_body"))).otherwise(0.0))
     verdict = F.when(~usable, "drop").when(whole, "active").when(F.col("share") >= tolerance, "pending").otherwise("drop")
     score = F.when(usable & whole, 1.0).otherwise(F.round("share", 3))
-    return rows.withColumns({"verdict": verdict, "score": score}).drop("share")
+    return rows.withColumns({"verdict": verdict, "score": score}).drop("share", "_body", "_whole")
 
 
 def clean(rows: DataFrame, persona_name: str = HER) -> DataFrame:

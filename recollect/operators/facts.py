@@ -12,13 +12,14 @@ from ..schemas import KINDS, TOPIC_KINDS
 
 EDITABLE = ("subject", "predicate", "object", "importance", "persona_attention", "due", "kind")
 TEXT_MAX = 200
-LIST_ORDER = [F.desc("pinned"), F.desc("importance"), F.desc("persona_attention"), F.asc("id")]
-
-
 class EditError(ValueError):
     """A field's value isn't allowed."""
 
 
+def list_order() -> list[Column]:
+    return [F.desc("pinned"), F.desc("importance"), F.desc("persona_attention"), F.asc("id")]
+
+
 def is_open() -> Column:
     """Still valid."""
     return F.coalesce("valid_to", F.lit("")) == ""
@@ -127,6 +128,6 @@ def render(facts: DataFrame) -> DataFrame:
     ended = F.format_string("- %s %s: until %s", F.col("id"), F.concat("subject", "predicate", "object"), F.coalesce(F.nullif("valid_to", F.lit("")), F.lit("?")))
     shown = facts.where(((F.col("status") == "active") & is_open()) | (F.col("status") == "superseded"))
     part = F.when(F.col("status") == "active", 0).otherwise(1)
-    order = F.row_number().over(Window.partitionBy("uid").orderBy(part, *LIST_ORDER))
+    order = F.row_number().over(Window.partitionBy("uid").orderBy(part, *list_order()))
     rows = shown.select("uid", order.alias("n"), F.when(part == 0, one).otherwise(ended).alias("line"))
     return rows.groupBy("uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("view"))

@@ -227,7 +227,7 @@ def w12_usage(spark: S, sf: P) -> DataFrame:
     return FA.with_usage(D.facts(spark, sf), usage).select("uid", "id", "use_count", "last_used_at")
 
 
-_TOK = "CASE WHEN {s} = '' THEN [] ELSE list_transform(range(1, greatest(length({s}) - 1, 1) + 1), lambda i: substr({s}, i, 2)) END"
+_TOK = "CASE WHEN length({s}) < 2 THEN list_filter([{s}], lambda x: x <> '') ELSE list_transform(list_zip(string_split({s}, '')[1:length({s}) - 1], string_split({s}, '')[2:]), lambda x: x[1] || x[2]) END"
 _WORDY = "regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
 
 
@@ -275,9 +275,9 @@ def _asked(spark: S, sf: P) -> DataFrame:
 
 
 _ASKED = "asked AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS uid, event_type AS qid, CASE WHEN event_type LIKE 'c%' THEN 'k1 k2' WHEN event_type LIKE 'p%' THEN '说过 k3' ELSE 'k4' END AS text FROM events)"
-_SLOT = f"""tk AS (SELECT uid, qid, i AS at, list_extract(t, i) AS token FROM (SELECT uid, qid, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT uid, qid, {_tok('text')} AS t FROM asked)) WHERE length(list_extract(t, i)) >= 2),
-hit AS (SELECT t.uid, t.qid, t.at, f.id, row_number() OVER (PARTITION BY t.uid, t.qid, t.at ORDER BY f.first_seq, f.id) AS n FROM tk t JOIN facts f ON t.uid = f.uid AND (f.predicate = t.token OR f.object = t.token) WHERE f.status = 'active' AND f.valid_to IS NULL),
-slot AS (SELECT uid, qid, id, row_number() OVER (PARTITION BY uid, qid ORDER BY min(at * 100 + n)) AS rank FROM hit WHERE n <= 8 GROUP BY uid, qid, id)"""
+_SLOT = f"""tk AS (SELECT uid, qid, i AS place, list_extract(t, i) AS token FROM (SELECT uid, qid, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT uid, qid, {_tok('text')} AS t FROM asked)) WHERE length(list_extract(t, i)) >= 2),
+hit AS (SELECT t.uid, t.qid, t.place, f.id, row_number() OVER (PARTITION BY t.uid, t.qid, t.place ORDER BY f.first_seq, f.id) AS n FROM tk t JOIN facts f ON t.uid = f.uid AND (f.predicate = t.token OR f.object = t.token) WHERE f.status = 'active' AND f.valid_to IS NULL),
+slot AS (SELECT uid, qid, id, row_number() OVER (PARTITION BY uid, qid ORDER BY min(place * 100 + n)) AS rank FROM hit WHERE n <= 8 GROUP BY uid, qid, id)"""
 
 
 @query(f"WITH {D.FACTS}, {_ASKED}, {_SLOT} SELECT uid, qid, id, CAST(rank AS INTEGER) AS rank FROM slot")
@@ -389,8 +389,8 @@ def _clip(x: str, b: int) -> str:
 
 def _prose_sql(listed: str, budget: int, k: int, fetch: int) -> str:
     return f"""pr AS (SELECT *, CASE WHEN rank = 1 THEN {_clip('text', budget)} ELSE text END AS said FROM {listed} WHERE rank <= {fetch}),
-pb AS (SELECT *, sum({_TOKENS.format(x='said')}) OVER (PARTITION BY uid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM pr)
-SELECT uid, id, said AS text, CAST(used AS BIGINT) AS used FROM pb WHERE (rank = 1 OR used <= {budget}) AND rank <= {k}"""
+pb AS (SELECT *, sum({_TOKENS.format(x='said')}) OVER (PARTITION BY uid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS spent FROM pr)
+SELECT uid, id, said AS text, CAST(spent AS BIGINT) AS used FROM pb WHERE (rank = 1 OR spent <= {budget}) AND rank <= {k}"""
 
 
 @query(_LISTED + ", " + _prose_sql("ls", 160, 3, 12))
@@ -470,7 +470,7 @@ def f3_absolutize(spark: S, sf: P) -> DataFrame:
     return _phrases(spark, sf).select("event_id", T.absolutize(F.col("phrase"), F.col("day")).alias("text"), T.norm_due(F.col("phrase"), F.col("day")).alias("due"))
 
 
-@query("SELECT event_id, coalesce(least(1::DOUBLE, greatest(0::DOUBLE, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'abc' ELSE CAST(value / 100 AS VARCHAR) END AS DOUBLE))), 0.7::DOUBLE) AS v FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.7::DOUBLE ELSE least(1::DOUBLE, greatest(0::DOUBLE, value / 100)) END AS v FROM events")
 def f5_clamp(spark: S, sf: P) -> DataFrame:
     raw = F.when(F.col("event_id") % 5 == 0, "abc").otherwise((F.col("value") / 100).cast("string"))
     return D.read(spark, sf, "events").select("event_id", T.clamp(raw, 0.0, 1.0, 0.7).alias("v"))
