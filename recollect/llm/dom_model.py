@@ -50,6 +50,8 @@ TAGS = sorted(BLOCKS)
 _TAG_NO, _KEY_NO = {t: i for i, t in enumerate(TAGS)}, {k: len(TAGS) + 1 + i for i, k in enumerate(KEYS)}
 _LEAF = len(TAGS) + 1 + len(KEYS)
 WIDTH = _LEAF + 16
+#: What holds a whole page: its children's labels tell little of its own. Kinds of pairs: element or leaf, each below a frame or not.
+_FRAME, KINDS = {_TAG_NO["html"], _TAG_NO["body"], len(TAGS)}, 4
 
 
 @dataclass
@@ -176,7 +178,8 @@ class Messages:
     def __init__(self, forest: Forest):
         self.parent = np.array(forest.parent, np.int64)
         n = len(self.parent)
-        self.kind = np.array(forest.leaf, np.int64)
+        framed = np.array([f[0] in _FRAME if f else False for f in forest.features], bool)
+        self.kind = np.array(forest.leaf, np.int64) + 2 * (framed[self.parent] & (self.parent >= 0)) if n else np.empty(0, np.int64)
         size = np.array([len(f) for f in forest.features], np.int64)
         self.rows, self.columns = np.repeat(np.arange(n), size), np.array([x for f in forest.features for x in f], np.int64)
         depth = np.zeros(n, np.int64)
@@ -218,21 +221,21 @@ def fit(pages: list[str], steps: int = 300, l2: float = 0.003) -> tuple[np.ndarr
         forest.add(i, p)
     messages, y = Messages(forest), np.array(forest.label)
     below = messages.parent >= 0
-    seen = np.zeros((2, 2, 2))
+    seen = np.zeros((KINDS, 2, 2))
     np.add.at(seen, (messages.kind[below], y[messages.parent[below]], y[below]), 1)
-    x = np.zeros(WIDTH + 8)
+    x = np.zeros(WIDTH + 4 * KINDS)
     m, v = np.zeros_like(x), np.zeros_like(x)
     weight = np.full(len(x), l2)
     weight[_LEAF:WIDTH] *= 30  # what a text looks like tells less than where it stands
     for t in range(1, steps + 1):
-        p, joint = messages.run(x[:WIDTH], x[WIDTH:].reshape(2, 2, 2))
+        p, joint = messages.run(x[:WIDTH], x[WIDTH:].reshape(KINDS, 2, 2))
         g = np.bincount(messages.columns, weights=(y - p[:, 1])[messages.rows], minlength=WIDTH)
-        expected = np.zeros((2, 2, 2))
+        expected = np.zeros((KINDS, 2, 2))
         np.add.at(expected, messages.kind[below], joint[below])
         g = np.concatenate([g, (seen - expected).ravel()]) / len(pages) - weight * x
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x + 0.15 * min(1, 2 - 2 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return x[:WIDTH], x[WIDTH:].reshape(2, 2, 2)
+    return x[:WIDTH], x[WIDTH:].reshape(KINDS, 2, 2)
 
 
 def labelled_pages(count: int = 400, seed: int = 1) -> list[str]:
@@ -324,7 +327,7 @@ def labelled_pages(count: int = 400, seed: int = 1) -> list[str]:
         elif kind < 0.65:
             body = f"<main{attr('content', 'main')} data-y=1>{''.join(parts)}</main>"
         elif kind < 0.75:
-            body = f"<main><article data-y=1>{''.join(parts)}</article></main>"
+            body = f"<main data-y=1><article>{''.join(parts)}</article></main>"
         else:
             body = f"<{(t := r.choice(('div', 'div', 'section')))}{named('content', 'post-content', 'entry-content', 'article-body', 'story', 'main-content', 'article', 'post', 'page-content', 'markdown-body')} data-y=1>{''.join(parts)}</{t}>"
         before, after = [], []
