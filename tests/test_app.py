@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,7 +66,10 @@ def test_trigger_stream(spark, tmp_path):
     spark.createDataFrame([("a", "user", float(i)) for i in range(5)] + [("b", "user", 1.0), ("a", "assistant", 9.0)], "uid string, role string, ts double").write.parquet(src)
     rows = spark.readStream.schema("uid string, role string, ts double").parquet(src)
     q = worker.triggers(rows, max_turns=5).writeStream.format("memory").queryName("trig").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    q.processAllAvailable()
+    # with a timeout in use there is always another batch to come, so the query never counts as idle
+    end = time.time() + 60
+    while not spark.table("trig").count() and time.time() < end:
+        time.sleep(0.5)
     q.stop()
     assert [(r.uid, r.reason, r.rounds) for r in spark.table("trig").collect()] == [("a", "turns", 5)]
 
