@@ -66,9 +66,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_nsw.near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"), "n_shingles")
 
 
+_WORDS = "d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)"
+_OP4 = f"""WITH {_WORDS}, h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT k, min(doc_id) AS low FROM h GROUP BY k), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM h JOIN m USING (k) WHERE low < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d), y AS (SELECT x.doc_id, x.word, x.pos, g.pos IS NOT NULL AS gone FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.pos = g.pos),
+z AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM y GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN z ON d.doc_id = z.doc_id"""
+_REACH = "reach(node, root) AS (SELECT id, id FROM n UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.root = l.a)"
+_OP7 = f"""WITH RECURSIVE n AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS s FROM n WHERE len(e) > 0),
+l AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.s * b.s) >= 0.95), {_REACH}
+SELECT node AS vec_id, (SELECT count(*) FROM l WHERE l.a = node) AS n_links, min(root) AS component_id, node = min(root) AS kept FROM reach GROUP BY node"""
+_OP10 = f"""WITH RECURSIVE {_WORDS}, n AS (SELECT doc_id AS id FROM documents),
+s AS (SELECT DISTINCT doc_id AS id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)), c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM s x JOIN s y ON x.t = y.t AND x.id <> y.id GROUP BY 1, 2), l AS (SELECT a, b FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE common * 5 >= (ca.n + cb.n - common) * 4), {_REACH}
+SELECT node AS doc_id, min(root) AS class_id, node = min(root) AS kept, coalesce(max(c.n), 0) AS n_shingles FROM reach LEFT JOIN c ON c.id = node GROUP BY node"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_fixed_block_substring_dedup": _OP4, "op7_itq_embedding_near_dedup": _OP7, "op10_simhash_near_dedup": _OP10}
