@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .messages import MESSAGE, bucket_of, pack_table, rows, split, unpack_table
+from .messages import MESSAGE, bucket_of, pack_table, rows, split, trim, unpack_table
 
 ROLL, CUT = 16, 256
-CACHE = 400_000
+CACHE = 300_000
 WIDEST = 64
 _BASE = 0x2545F4914F6CDD1D
 OUT = "id long, ids array<int>, decoded string"
@@ -223,6 +223,7 @@ def _encode_chunks(path: str, count: int):
                     held, n = [], 0
         if held:
             yield flush()
+        trim()
 
     return run
 
@@ -256,13 +257,15 @@ def _assemble(path: str, finish):
                     d[1][p] = values[c]
         out = []
         for (i, _, null), (times, parts) in docs.items():
-            x = finish(enc, np.frombuffer(b"".join(parts), enc.kind).tolist())
+            x = finish(enc, np.frombuffer(b"".join(parts), enc.kind))
             out += [(None if null else i, *x)] * times
-            if len(out) >= 2000:
+            if len(out) >= 200:
                 yield _rows(out)
                 out = []
         if out:
             yield _rows(out)
+        docs.clear()
+        trim()
 
     def _rows(out):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), finish.types)], names=[f"c{i}" for i in range(len(finish.types))])
@@ -270,15 +273,15 @@ def _assemble(path: str, finish):
     return run
 
 
-def whole(enc: Encoder, ids: list[int]) -> tuple:
-    return ids, enc.decode(ids)
+def whole(enc: Encoder, ids: np.ndarray) -> tuple:
+    return ids.astype(np.int32), enc.decode(ids.tolist())
 
 
 whole.types = [pa.int64(), pa.list_(pa.int32()), pa.string()]
 
 
-def digest(enc: Encoder, ids: list[int]) -> tuple:
-    numbers = enc.numbers
+def digest(enc: Encoder, ids: np.ndarray) -> tuple:
+    numbers, ids = enc.numbers, ids.tolist()
     sha = hashlib.sha256(" ".join([numbers[i] for i in ids]).encode()).hexdigest()
     return len(ids), sha, hashlib.sha256(enc.decode(ids).encode()).hexdigest()
 
@@ -286,8 +289,8 @@ def digest(enc: Encoder, ids: list[int]) -> tuple:
 digest.types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
-def digest_and_ids(enc: Encoder, ids: list[int]) -> tuple:
-    return *digest(enc, ids), ids
+def digest_and_ids(enc: Encoder, ids: np.ndarray) -> tuple:
+    return *digest(enc, ids), ids.astype(np.int32)
 
 
 digest_and_ids.types = [*digest.types, pa.list_(pa.int32())]

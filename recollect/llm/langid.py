@@ -22,12 +22,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .messages import trim
 from .words import blocks
 
 SWITCH = 6.0
 GRAMS = (1 << 16, 1 << 16, 1 << 17)
 TABLE = sum(GRAMS)
 SMOOTH = 0.5
+#: Rows read at once, and bytes of their n-grams.
+ROWS, PIECE = 2500, 1 << 18
 #: Inclusive ranges of code points by script; other letters are of script 1.
 RANGES = [
     (2, 0x41, 0x24F), (2, 0x1E00, 0x1EFF), (3, 0x370, 0x3FF), (3, 0x1F00, 0x1FFF), (4, 0x400, 0x52F), (5, 0x530, 0x58F), (6, 0x590, 0x5FF),
@@ -99,7 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
-        for w in blocks(spaced(batch.column(0))):
+        for w in blocks(spaced(batch.column(0)), PIECE):
             grams, first, letters, script = features(w)
             word_doc = w.doc_of()
             byte_doc = np.repeat(word_doc, w.ends - w.starts)
@@ -111,6 +114,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = mine[word_doc]
                 s[TABLE:] += np.bincount(script[m], weights=letters[m], minlength=SCRIPTS).astype(np.int64)
     yield from _sums(sums)
+    trim()
 
 
 def _sums(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +152,8 @@ class Model:
     def scores(self, w) -> tuple[np.ndarray, np.ndarray]:
         """Scores [words, languages] and letters of each word."""
         grams, first, letters, script = features(w)
-        if not len(first):
-            return np.zeros((0, len(self.langs)), np.float32), letters
+        if not len(first) or not self.langs:
+            return np.zeros((len(first), len(self.langs)), np.float32), letters
         s = self.logs[grams[:, 0]]
         s += self.logs[grams[:, 1]]
         s += self.logs[grams[:, 2]]
@@ -201,10 +205,17 @@ def _model(parts: tuple) -> Model:
     return Model({lang: np.frombuffer(zstandard.decompress(b), np.int64) for lang, b in parts})
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+    trim()
+
+
 def _read(m: Model, texts: pa.Array):
     """Of each text: language number (that after the last for ``und``), score, first word; of each word: text and language."""
     scores, letters, docs = [np.zeros((0, len(m.langs)), np.float32)], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
-    for w in blocks(spaced(texts)):
+    for w in blocks(spaced(texts), PIECE):
         s, n = m.scores(w)
         scores.append(s)
         letters.append(n)
@@ -228,7 +239,7 @@ def _label(model, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
         names = np.array([*m.langs, "und"], object)
-        for batch in batches:
+        for batch in _pieces(batches):
             pick, score, d, doc, path = _read(m, batch.column(1))
             new = np.append(True, (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])) if len(doc) else np.empty(0, bool)
             spans = np.bincount(doc[new], minlength=len(d) - 1)
@@ -250,7 +261,7 @@ def _label(model, with_spans: bool):
 def _known(model, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
-        for batch in batches:
+        for batch in _pieces(batches):
             yield batch.filter(pa.array(_read(m, batch.column(column))[0] < len(m.langs)))
 
     return run

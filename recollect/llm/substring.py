@@ -32,6 +32,8 @@ from .messages import MESSAGE, bucket_of, pack_places, rows, send_texts, split,
 from .words import U, blocks, inside, windows
 
 WINDOW, BLOCK = 50, 25
+#: Buckets of hashes for each bucket of documents.
+FINER = 2
 FLUSH = 1_000_000
 OUT = "id long, n_words long, n_removed long, kept_text string"
 
@@ -71,13 +73,18 @@ class _Distinct:
         self.low = self.high = np.empty(0, np.int64)
         self.ref = np.empty(0, bool)
 
-    def add(self, h, ids, ref):
-        h, low, high, ref = np.concatenate([self.h, h]), np.concatenate([self.low, ids]), np.concatenate([self.high, ids]), np.concatenate([self.ref, ref])
+    def add(self, fresh: list[tuple[np.ndarray, ...]]):
+        """Takes in (hashes, ids, references) and empties the list; one column after the other, to hold little at once."""
+        h = np.concatenate([self.h, *(x[0] for x in fresh)])
         order = np.argsort(h, kind="stable")
         h = h[order]
         at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-        if len(h):
-            self.h, self.low, self.high, self.ref = h[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), np.logical_or.reduceat(ref[order], at)
+        self.h = h[at]
+        del h
+        for name, column, reduce in (("low", 1, np.minimum), ("high", 1, np.maximum), ("ref", 2, np.logical_or)):
+            x = np.concatenate([getattr(self, name), *(y[column] for y in fresh)])[order]
+            setattr(self, name, reduce.reduceat(x, at) if len(at) else x)
+        fresh.clear()
 
     def find(self, h):
         return np.searchsorted(self.h, h)
@@ -102,13 +109,11 @@ def _answer(count: int, anchors: bool):
                     fresh.append((h, ids, (pos % BLOCK == 0) if anchors else np.ones(len(h), bool)))
                     new += len(h)
                     if new > 1 << 22:
-                        seen.add(*(np.concatenate(x) for x in zip(*fresh)))
-                        fresh, new = [], 0
+                        seen.add(fresh)
+                        new = 0
                     sizes.append((bucket, len(body)))
                     spool.write(body)
-            if fresh:
-                seen.add(*(np.concatenate(x) for x in zip(*fresh)))
-                fresh = []
+            seen.add(fresh)
             shared = seen.ref & (seen.low < seen.high)
             if anchors:
                 seen.low = seen.high = None
@@ -243,8 +248,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = known.mapInArrow(send_texts(count), MESSAGE)
     finish = map_out or (lambda t: t)
 
+    fine = FINER * count
+
     def to_buckets(df: DataFrame) -> DataFrame:
-        return df.repartition(count, "bucket")
+        return df.repartition(fine, "bucket")
 
     def with_texts(places: DataFrame, f, schema: str) -> DataFrame:
         return texts.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(f, schema)
@@ -261,8 +268,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             t = finish(_kept(t, (np.empty(0, np.int64),) * 2, layout))
             yield from t.set_column(0, "id", pa.nulls(t.num_rows, pa.int64())).to_batches()
 
-    anchors = to_buckets(known.mapInArrow(_probe(count), MESSAGE)).mapInArrow(_answer(count, True), MESSAGE)
-    repeats = to_buckets(with_texts(anchors, _extend(count, schema), MESSAGE)).mapInArrow(_answer(count, False), MESSAGE)
+    anchors = to_buckets(known.mapInArrow(_probe(fine), MESSAGE)).mapInArrow(_answer(count, True), MESSAGE)
+    repeats = to_buckets(with_texts(anchors, _extend(fine, schema), MESSAGE)).mapInArrow(_answer(count, False), MESSAGE)
     found = with_texts(repeats, cut, out).unionByName(docs.where("id is null").mapInArrow(unchanged, out))
     return found.select(*(c for c in found.columns if not c.startswith("c_")), *(F.col(f"c_{c}").alias(c) for c in carry))
 

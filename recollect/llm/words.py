@@ -7,13 +7,14 @@ memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _SOLID = np.ones(256, bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -22,6 +23,17 @@ _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 U = np.uint64
 
 
+def _return_memory() -> None:
+    """Large arrays go back to the system when freed, so a worker that lives on holds little between tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    lib = ctypes.CDLL(None)
+    if hasattr(lib, "mallopt"):
+        lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows with use
+
+
+_return_memory()
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finalizer (splitmix64)."""
     with np.errstate(over="ignore"):
