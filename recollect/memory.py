@@ -16,7 +16,7 @@ from .operators import facts as FA
 from .operators import replay as R
 from .operators import retrieve as RE
 from .operators import turns as TU
-from .schemas import OPS, TURNS, USAGE
+from .schemas import FACTS, OPS, TURNS, USAGE
 
 _OP_TYPES = dict(x.split(" ", 1) for x in OPS.split(", "))
 
@@ -26,6 +26,7 @@ class Memory:
 
     def __init__(self, spark: SparkSession, uid: str, config: Config = Config(), persona: Persona = Persona(), model=None, encoder=None, now: str | None = None):
         self.spark, self.uid, self.config, self.persona, self.model, self.encoder, self._now = spark, str(uid), config, persona, model, encoder, now
+        self._held, self._seq = None, None
 
     # tables
     def now(self) -> str:
@@ -56,8 +57,13 @@ class Memory:
         self._append("ops", [{"uid": self.uid, "seq": last + i, "ts": self.now()} | o for i, o in enumerate(ops, 1)], OPS)
 
     def _facts(self) -> DataFrame:
-        rows = R.facts(self._ops(), self.now()[:10]).where(F.col("uid") == self.uid)
-        return FA.with_usage(rows, self._read("usage", USAGE))
+        ops = self._ops()
+        seq = ops.agg(F.max("seq")).first()[0]
+        if seq != self._seq or self._held is None:
+            # one user's facts are few: the fold is kept until the log grows
+            rows = R.facts(ops, self.now()[:10]).collect()
+            self._held, self._seq = self.spark.createDataFrame([tuple(r) for r in rows], FACTS).coalesce(1), seq
+        return FA.with_usage(self._held, self._read("usage", USAGE))
 
     def _used(self, ids: list[str]) -> None:
         if ids:
