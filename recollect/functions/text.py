@@ -46,6 +46,12 @@ def tokenize(text: Column) -> Column:
     return pairs(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", ""))
 
 
+def token_count(text: Column) -> Column:
+    """The size of ``tokenize`` without the tokens."""
+    n = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", ""))
+    return F.when(n == 0, 0).otherwise(F.greatest(n - 1, F.lit(1)))
+
+
 def pairs(text: Column) -> Column:
     """Neighbouring characters, in time linear in the text."""
     chars = F.split(text, "")
@@ -53,11 +59,11 @@ def pairs(text: Column) -> Column:
     return F.when(n < 1, F.filter(chars, lambda x: x != "")).otherwise(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b)))
 
 
-def fold(token: Column) -> Column:
+def fold(text: Column) -> Column:
     """Case and Latin diacritics folded, as full-text search does."""
     marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
     plain = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
-    return F.translate(F.lower(token), marked, plain)
+    return F.translate(F.lower(text), marked, plain)
 
 
 def absolutize(text: Column, day: Column) -> Column:

@@ -87,7 +87,7 @@ def hot_topics(topics: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def postings(rows: DataFrame, id_col: str = "id") -> DataFrame:
     """``uid, id, text`` to ``uid, id, token, tf, length`` of folded tokens."""
-    tokens = rows.select("uid", F.col(id_col).alias("id"), F.transform(T.tokenize(F.col("text")), T.fold).alias("tokens"))
+    tokens = rows.select("uid", F.col(id_col).alias("id"), T.tokenize(T.fold(F.col("text"))).alias("tokens"))
     one = tokens.select("uid", "id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     return one.groupBy("uid", "id", "length", "token").agg(F.count("*").alias("tf"))
 
@@ -98,8 +98,8 @@ def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: DataFrame | None
     Counts and lengths are over all rows of a ``uid``; only ids of ``keep`` are answers. A token twice in a query counts twice.
     Queries' tokens meet postings on (uid, token), so a frequent token spreads over its rows.
     """
-    size = rows.select("uid", F.size(T.tokenize(F.col("text"))).alias("n")).groupBy("uid").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    asked = queries.select(*Q, F.explode(F.transform(T.tokenize(F.col("text")), T.fold)).alias("token")).groupBy(*Q, "token").agg(F.count("*").alias("times"))
+    size = rows.select("uid", T.token_count(F.col("text")).alias("n")).groupBy("uid").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    asked = queries.select(*Q, F.explode(T.tokenize(T.fold(F.col("text")))).alias("token")).groupBy(*Q, "token").agg(F.count("*").alias("times"))
     post = postings(rows).join(asked.select("uid", "token").distinct(), ["uid", "token"], "left_semi")
     df = post.groupBy("uid", "token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
