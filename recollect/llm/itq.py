@@ -2,8 +2,10 @@
 
 A rotation of the principal axes is learned on ``SAMPLE`` vectors so that their signs lose least (Gong and
 Lazebnik, 2011); the signs are the code. Multi-index tables over overlapping substrings of the code,
-``TABLES`` of them and longer with the number of vectors, bring together vectors that agree in one substring at
-least; the original vectors then decide by their cosine in double precision.
+``TABLES`` of them, bring together vectors that agree in one substring at least; the original vectors then
+decide by their cosine in double precision. Substrings grow with the number of vectors only as long as
+``MEET`` of the partners planted at cosine ``COSINE`` beside sampled vectors meet theirs; from there on the
+buckets grow.
 
 Equal vectors are one class at once and count as many. A bucket is compared within itself by matrix
 products; one of more than ``BLOCK`` vectors is cut into blocks that meet pair by pair in tasks of their
@@ -27,6 +29,7 @@ from .shared import components, materialize
 
 COSINE, BITS, TABLES, BLOCK, SAMPLE, ITERATIONS = 0.95, 64, 16, 2048, 20_000, 40
 PER_BUCKET = 8
+MEET, PLANTED = 0.95, 4000
 
 
 def learn(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +62,28 @@ def substring(code: np.ndarray, table: int, width: int) -> np.ndarray:
     return turned >> np.uint64(64 - width)
 
 
+def meeting(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], width: int) -> float:
+    """Share of unit vectors that meet a random partner at cosine ``COSINE`` in one table at least."""
+    u = np.random.default_rng(9).normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-300)
+    apart = codes(x, model) ^ codes(COSINE * x + np.sqrt(1 - COSINE**2) * u, model)
+    return float(np.any([substring(apart, t, width) == 0 for t in range(TABLES)], axis=0).mean())
+
+
+def fitting_width(rows: int, models: dict, by_size: dict[int, list[np.ndarray]]) -> int:
+    """Length of the substrings: for ``PER_BUCKET`` vectors a bucket, or the longest at which ``MEET`` of planted partners meet."""
+    width = int(np.clip(np.log2(max(1, rows) / PER_BUCKET), 8, 24))
+    for size, model in models.items():
+        r = np.random.default_rng(8)
+        x = np.stack(by_size[size][:PLANTED]) if size in by_size else r.normal(size=(PLANTED, size))
+        x = np.tile(x, (-(-PLANTED // len(x)), 1))
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        while width > 1 and meeting(x, model, width) < MEET:
+            width -= 1
+    return width
+
+
 def vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """Rows that hold a usable vector, and those as unit vectors in double precision."""
     at, out = [], []
@@ -162,7 +187,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     # vectors of a length that the sample lacks are compared too: any rotation gives right links
     sizes = [r[0] for r in same.select(F.size("embedding")).distinct().collect()]
     models = {s: learn(np.stack(by_size[s])) if s in by_size else (np.zeros(s), np.eye(s)[:, :BITS]) for s in sizes}
-    width = int(np.clip(np.log2(max(1, same.count()) / PER_BUCKET), 8, 24))
+    width = fitting_width(same.count(), models, by_size)
     kind = "bucket long, id long, copies long, code long, embedding array<double>"
     placed = same.select("rep", "copies", "embedding").mapInArrow(_place(spark.sparkContext.broadcast(models), width), kind)
     hot = placed.groupBy("bucket").count().where(F.col("count") > BLOCK).withColumn("k", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")

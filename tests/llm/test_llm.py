@@ -311,6 +311,22 @@ def test_op7_links(spark):
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op7_recall_at_large_tables(spark, monkeypatch):
+    """Substrings as long as many rows ask for, and links of a cosine just above the limit."""
+    monkeypatch.setattr(itq, "PER_BUCKET", 1e-6)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(600, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    u = r.normal(size=base.shape)
+    u -= (u * base).sum(axis=1, keepdims=True) * base
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * u])
+    got = itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    link = x @ x.T >= 0.95
+    assert link.sum() - len(x) >= 1200
+    assert sum(q.n_links for q in got) >= 0.9 * (link.sum() - len(x))
+
+
 def test_op7_hot_bucket(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 16)
     r = np.random.default_rng(3)
