@@ -9,7 +9,7 @@ from . import bpe, cotrain, decontam, dom_model, itq, kneser_ney, langid, rangec
 
 
 def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = kneser_ney.held_out_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    found = kneser_ney.held_out_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

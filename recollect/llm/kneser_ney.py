@@ -1,10 +1,11 @@
-"""Language-model scores by interpolated modified Kneser-Ney (Chen and Goodman, 1999), of order 2.
+"""Language-model scores by interpolated modified Kneser-Ney (Chen and Goodman, 1999), of any order from 2 on.
 
-Counting: each task adds up its texts' (word before, word) pairs; they meet packed in the bucket of the word
-before, which sums them and writes sorted arrays of 64-bit keys with counts, and the statistics of each word
-before. Its distinct pairs go on to the bucket of the word, which writes the words' counts and numbers of
-different words before. The words before of most pairs are spread over several buckets each. Files are written
-under another name and then renamed, so a task that runs twice does no harm.
+Counting: each task adds up its texts' n-grams of the highest order; they meet packed in the bucket of their
+context (the words before), which sums them and writes sorted arrays of 64-bit keys with counts, and the statistics
+of each context. Its distinct n-grams go on without their first word to the bucket of the shorter context, as one
+more word seen before each; so down to single words. An n-gram that begins with the text's beginning has no longer
+one and keeps its plain count, as usual. The n-grams of frequent contexts are spread over several buckets each.
+Files are written under another name and then renamed, so a task that runs twice does no harm.
 
 Scoring: workers map the arrays into memory and look sorted keys up. The folder is the shared one; the
 workers must see it as a file system.
@@ -19,10 +20,11 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .langid import remainder
@@ -38,22 +40,32 @@ OUT = "id long, n_tokens long, n_known long, train_tokens long, base_score doubl
 _OUT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def pairs(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token of a block, the end tokens included: the word before, the word, the text. Words are 56-bit hashes."""
+def grams(w, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each token of a block, the end tokens included: the words before, farthest first and 0 before the beginning, and the word; the text. Words are 56-bit hashes."""
     h, n = w.hashes(LOWER) & MASK, w.hi - w.lo
     word = np.full(len(h) + n, END & MASK, np.uint64)
-    doc = w.doc_of()
-    word[np.arange(len(h)) + doc] = h
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[w.docs[:-1] + np.arange(n)] = BEGIN & MASK
-    return before, word, np.repeat(np.arange(n), np.diff(w.docs) + 1)
+    word[np.arange(len(h)) + w.doc_of()] = h
+    size = np.diff(w.docs) + 1
+    at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    out = [word]
+    for k in range(1, order):
+        before = np.zeros_like(word)
+        before[k:] = word[:-k]
+        before[at == k - 1] = BEGIN & MASK
+        before[at < k - 1] = 0
+        out.insert(0, before)
+    return out, np.repeat(np.arange(n), size)
 
 
 def key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before, 51) ^ word, 52)
 
 
+def context(words: list[np.ndarray]) -> np.ndarray:
+    """One key of the words before."""
+    return reduce(key, words)
+
+
 class Buckets:
     """Buckets of pairs and words; ``hot`` are words before that take several buckets."""
 
@@ -78,13 +90,14 @@ class Buckets:
         return b.astype(np.int64)
 
 
-def _sum(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Sums by (a, b), in order."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, bool)
+def _sum(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums by the keys, in order."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     at = np.flatnonzero(new)
-    return [a[at], b[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)]
+    return [k[at] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
 def _low_bytes(x: np.ndarray) -> np.ndarray:
@@ -98,21 +111,35 @@ def _from_bytes(x: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _count_pairs(to: Buckets):
+def _messages(to: Buckets, bucket: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+    """Sorted n-grams with values, packed for their buckets."""
+    first, *more = keys
+    return rows([(b, pack(np.diff(first[i], prepend=U(0)), *(_low_bytes(k[i]) for k in more), *(v[i] for v in values))) for b, i in split(bucket, to.count)])
+
+
+def _reader(order: int, values: int):
+    def read(body):
+        first, *more = unpack(body, "u8", *["V7"] * (order - 1), *["i8"] * values)
+        return [np.cumsum(first), *map(_from_bytes, more[: order - 1])], more[order - 1 :]
+
+    return read
+
+
+def _count(to: Buckets, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush():
-            v, w = (np.concatenate(x) for x in zip(*held))
-            v, w, c = _sum(v, w, np.ones(len(v), np.int64))
-            return rows([(b, pack(np.diff(v[i], prepend=U(0)), _low_bytes(w[i]), c[i])) for b, i in split(to.of_pair(v, w), to.count)])
+            keys = [np.concatenate(x) for x in zip(*held)]
+            keys, values = _sum(keys, [np.ones(len(keys[0]), np.int64)])
+            return _messages(to, to.of_pair(context(keys[:-1]), keys[-1]), keys, values)
 
         for batch in batches:
             for w in blocks(batch.column(0)):
-                v, x, _ = pairs(w)
-                held.append((v, x))
-                n += len(v)
-                if n > FLUSH:
+                x, _ = grams(w, order)
+                held.append(x)
+                n += len(x[0])
+                if n * order > 2 * FLUSH:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -129,12 +156,23 @@ def _save(path: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
+def _save_counts(path: str, keys: np.ndarray, values: np.ndarray) -> None:
+    """Sorted keys and rows of values; a byte each, and whole where one doesn't fit."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    _save(f"{path}.npy", keys)
+    _save(f"{path}-n.npy", np.minimum(values, 255).astype(np.uint8))
+    big = (values >= 255).any(axis=1)
+    _save(f"{path}-big.npy", np.concatenate([keys[big][:, None], values[big].astype(np.uint64)], axis=1))
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch], read):
     """Sums of each bucket of a partition whose rows come sorted by bucket."""
     now, held, n = None, [], 0
 
     def merged():
-        return _sum(*(np.concatenate(x) for x in zip(*held)))
+        keys, values = ([np.concatenate(y) for y in zip(*x)] for x in zip(*held))
+        return _sum(keys, values)
 
     for batch in batches:
         for b, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -144,51 +182,44 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], read):
             now = b
             x = read(body.as_py())
             held.append(x)
-            n += len(x[0])
-            if n > MERGE:
+            n += len(x[0][0])
+            if n * len(x[0]) > 2 * MERGE:
                 held = [merged()]
-                n = len(held[0][0]) // 2
+                n = len(held[0][0][0]) // 2
     if held:
         yield now, merged()
 
 
-def _write_pairs(to: Buckets, folder: str):
-    def read(body):
-        v, w, c = unpack(body, "u8", "V7", "i8")
-        return np.cumsum(v), _from_bytes(w), c
+def _write_grams(to: Buckets, lower: Buckets | None, folder: str, order: int, values: int):
+    """Files of the n-grams of an order, which go on without their first word: to buckets of ``lower``, or of single words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (v, w, c) in _by_bucket(batches, read):
-            k = key(v, w)
-            order = np.argsort(k)
-            k, kc = k[order], c[order]
-            _save(f"{folder}/pairs-{b}.npy", k)
-            _save(f"{folder}/pairs-{b}-n.npy", np.minimum(kc, 255).astype(np.uint8))
-            big = kc >= 255
-            _save(f"{folder}/pairs-{b}-big.npy", np.stack([k[big], kc[big].astype(np.uint64)], axis=1))
-            at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-            stats = np.stack([np.add.reduceat(c, at), *(np.add.reduceat((c == i).astype(np.int64), at) for i in (1, 2)), np.add.reduceat((c > 2).astype(np.int64), at)], axis=1)
-            _save(f"{folder}/before-{b}.npy", v[at])
-            _save(f"{folder}/before-{b}-n.npy", stats)
-            hot = to.find_hot(v[at])[0]
-            _save(f"{folder}/hot-{b}.npy", np.concatenate([v[at][hot][:, None].astype(np.int64), stats[hot]], axis=1))
-            _save(f"{folder}/sums-{b}.npy", np.array([len(c), *((c == i).sum() for i in (1, 2, 3, 4))], np.int64))
-            word, _, types, count = _sum(w, np.zeros(len(w), np.uint64), np.ones(len(w), np.int64), c)
-            yield rows([(x, pack(np.diff(word[i], prepend=U(0)), types[i], count[i])) for x, i in split(to.of_word(word), to.count)])
+        for b, (keys, counts) in _by_bucket(batches, _reader(order, values)):
+            real = keys[0] != 0
+            before, c = context([k[real] for k in keys[:-1]]), counts[0][real]
+            _save_counts(f"{folder}/grams{order}-{b}", key(before, keys[-1][real]), c[:, None])
+            new = np.ones(len(c), bool)
+            new[1:] = before[1:] != before[:-1]
+            at = np.flatnonzero(new)
+            parts = [c, *((c == i).astype(np.int64) for i in (1, 2)), (c > 2).astype(np.int64)]
+            stats = np.stack([np.add.reduceat(x, at) if len(at) else x for x in parts], axis=1)
+            _save_counts(f"{folder}/before{order}-{b}", before[at], stats)
+            hot = to.find_hot(before[at])[0]
+            _save(f"{folder}/hot{order}-{b}.npy", np.concatenate([before[at][hot][:, None].view(np.int64), stats[hot]], axis=1))
+            _save(f"{folder}/sums{order}-{b}.npy", np.array([len(c), *((c == i).sum() for i in (1, 2, 3, 4))], np.int64))
+            # as many words before as n-grams, or the plain count at a text's beginning; with it the plain count
+            keys, sums = _sum(keys[1:], [np.where(real, 1, counts[0]), counts[-1]])
+            bucket = lower.of_pair(context(keys[:-1]), keys[-1]) if lower else to.of_word(keys[0])
+            yield _messages(to, bucket, keys, sums)
             trim()
 
     return run
 
 
 def _write_words(folder: str):
-    def read(body):
-        w, types, count = unpack(body, "u8", "i8", "i8")
-        return np.cumsum(w), np.zeros(len(w), np.uint64), types, count
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (w, _, types, count) in _by_bucket(batches, read):
-            _save(f"{folder}/words-{b}.npy", w)
-            _save(f"{folder}/words-{b}-n.npy", np.stack([types, count], axis=1))
+        for b, ((w,), (types, count)) in _by_bucket(batches, _reader(1, 2)):
+            _save_counts(f"{folder}/words-{b}", w, np.stack([types, count], axis=1))
             sums = [len(w), types.sum(), count.sum(), *((types == i).sum() for i in (1, 2, 3, 4))]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([[int(x) for x in sums]], pa.list_(pa.int64()))], names=["bucket", "sums"])
             trim()
@@ -207,7 +238,7 @@ class Model:
     """A model's arrays, mapped into memory."""
 
     def __init__(self, spec: dict):
-        self.spec, self.to = spec, Buckets(spec["count"], spec["hot"], spec["spread"])
+        self.spec, self.to = spec, {n: Buckets(spec["count"], *x) for n, x in spec["hot"].items()}
         self.files: dict[str, np.ndarray | None] = {}
 
     def _open(self, name: str) -> np.ndarray | None:
@@ -220,7 +251,7 @@ class Model:
         """Values of keys, bucket by bucket, 0 for those that aren't there."""
         out = np.zeros((len(k), width), np.int64)
         order = np.lexsort((k, bucket))
-        cuts = np.searchsorted(bucket[order], np.arange(self.to.count + 1))
+        cuts = np.searchsorted(bucket[order], np.arange(self.spec["count"] + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             keys = self._open(f"{kind}-{b}")
             if keys is None or not len(keys):
@@ -229,37 +260,37 @@ class Model:
             at = np.minimum(np.searchsorted(keys, k[i]), len(keys) - 1)
             hit = keys[at] == k[i]
             i, at = i[hit], at[hit]
-            values = self._open(f"{kind}-{b}-n")[at]
-            out[i] = values.reshape(len(i), -1)
-            if kind == "pairs":
-                big = self._open(f"{kind}-{b}-big")
-                if len(big):
-                    over = np.flatnonzero(out[i, 0] == 255)
-                    out[i[over], 0] = big[np.searchsorted(big[:, 0], k[i[over]]), 1]
+            out[i] = self._open(f"{kind}-{b}-n")[at]
+            big = self._open(f"{kind}-{b}-big")
+            if len(big):
+                over = i[(out[i] == 255).any(axis=1)]
+                out[over] = big[np.searchsorted(big[:, 0], k[over]), 1:]
         return out
 
-    def score(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its count, log10 of its base and model probability."""
-        s = self.spec
-        words, index = np.unique(word, return_inverse=True)
-        types, count = self._look("words", self.to.of_word(words), words, 2)[index].T
+    def score(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token, its words before and itself: its count, log10 of its base and model probability."""
+        s, to = self.spec, self.to
+        single, index = np.unique(words[-1], return_inverse=True)
+        types, count = self._look("words", to[2].of_word(single), single, 2)[index].T
         base = np.log10((count + 1) / (s["tokens"] + s["words"] + 1))
-        d = np.array([0.0, *s["d1"]])
-        total = max(1, s["pairs"])
-        lower = (types - d[np.minimum(types, 3)]) / total + s["rest"] / (s["words"] + 1)
-        pair = self._look("pairs", self.to.of_pair(before, word), key(before, word), 1)[:, 0]
-        v, index = np.unique(before, return_inverse=True)
-        stats = self._look("before", (mix(v, 62) % U(self.to.count)).astype(np.int64), v, 4)
-        is_hot, at = self.to.find_hot(v)
-        if is_hot.any():
-            stats[is_hot] = s["hot_stats"][at[is_hot]]
-        stats = stats[index]
-        seen = np.maximum(stats[:, 0], 1)
-        d = np.array([0.0, *s["d2"]])
-        high = (pair - d[np.minimum(pair, 3)]) / seen
-        back = np.where(stats[:, 0] > 0, stats[:, 1:] @ d[1:] / seen, 1.0)
+        d = np.array([0.0, *s["d"][1]])
+        p = (types - d[np.minimum(types, 3)]) / max(1, s["pairs"]) + s["rest"] / (s["words"] + 1)
+        for n in range(2, s["order"] + 1):
+            has = words[-n] != 0
+            before, word = context([x[has] for x in words[-n:-1]]), words[-1][has]
+            own = self._look(f"grams{n}", to[n].of_pair(before, word), key(before, word), 1)[:, 0]
+            v, index = np.unique(before, return_inverse=True)
+            stats = self._look(f"before{n}", (mix(v, 62) % U(s["count"])).astype(np.int64), v, 4)
+            is_hot, at = to[n].find_hot(v)
+            if is_hot.any():
+                stats[is_hot] = s["hot_stats"][n][at[is_hot]]
+            stats = stats[index]
+            seen = np.maximum(stats[:, 0], 1)
+            d = np.array([0.0, *s["d"][n]])
+            back = np.where(stats[:, 0] > 0, stats[:, 1:] @ d[1:] / seen, 1.0)
+            p[has] = (own - d[np.minimum(own, 3)]) / seen + back * p[has]
         with np.errstate(divide="ignore"):
-            return count, base, np.log10(high + back * lower)
+            return count, base, np.log10(p)
 
 
 _models: dict[str, Model] = {}
@@ -279,19 +310,19 @@ def _score(spec, folder: str):
         held, n = [], 0
 
         def flush():
-            v, w = (np.concatenate([x[i] for x in held]) for i in (1, 2))
-            size = np.concatenate([x[3] for x in held])
+            words = [np.concatenate(x) for x in zip(*(x[1] for x in held))]
+            size = np.concatenate([x[2] for x in held])
             doc = np.repeat(np.arange(len(size)), size)
-            count, base, score = m.score(v, w)
+            count, base, score = m.score(words)
             sums = [np.bincount(doc, weights=x, minlength=len(size)) for x in (count > 0, base, score)]
             ids = pa.concat_arrays([x[0] for x in held])
             return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(size), m.spec["tokens"])), pa.array(sums[1]), pa.array(sums[2])], schema=_OUT)
 
         for batch in batches:
             for w in blocks(batch.column(1)):
-                v, x, _ = pairs(w)
-                held.append((batch.column(0).slice(w.lo, w.hi - w.lo), v, x, np.diff(w.docs) + 1))
-                n += len(v)
+                x, _ = grams(w, m.spec["order"])
+                held.append((batch.column(0).slice(w.lo, w.hi - w.lo), x, np.diff(w.docs) + 1))
+                n += len(x[0])
                 if n > TOKENS:
                     yield flush()
                     held, n = [], 0
@@ -302,47 +333,65 @@ def _score(spec, folder: str):
     return run
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The most frequent words before of a partition, with their shares in millionths."""
-    total, sums = 0, {}
-    for batch in batches:
-        for w in blocks(batch.column(0)):
-            v, c = np.unique(pairs(w)[0], return_counts=True)
-            total += int(c.sum())
-            for k in np.argsort(-c)[:256].tolist():
-                sums[int(v[k])] = sums.get(int(v[k]), 0) + int(c[k])
-    top = sorted(sums.items(), key=lambda x: -x[1])[:1024]
-    yield pa.RecordBatch.from_arrays([pa.array([np.int64(k) for k, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64()), pa.array([total if not i else 0 for i in range(len(top))], pa.int64())], names=["v", "c", "total"])
+def _tops(order: int):
+    """The most frequent contexts of each order of a partition, with their shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums = 0, {n: {} for n in range(2, order + 1)}
+        for batch in batches:
+            for w in blocks(batch.column(0)):
+                words, _ = grams(w, order)
+                total += len(words[0])
+                for n, found in sums.items():
+                    v, c = np.unique(context(words[-n:-1]), return_counts=True)
+                    for k in np.argsort(-c)[:256].tolist():
+                        found[int(v[k])] = found.get(int(v[k]), 0) + int(c[k])
+        for n, found in sums.items():
+            top = sorted(found.items(), key=lambda x: -x[1])[:1024]
+            v, c = np.array([k for k, _ in top], np.uint64).view(np.int64), np.array([c for _, c in top], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(top), pa.int32()), pa.array(v), pa.array(c), pa.array([total if not i else 0 for i in range(len(top))], pa.int64())], names=["n", "v", "c", "total"])
+
+    return run
 
 
-def train(docs: DataFrame, count: int) -> dict:
+def train(docs: DataFrame, count: int, order: int = 2) -> dict:
     """Counts the ``text`` of all rows and writes the arrays; what it returns is small."""
     spark = docs.sparkSession
     folder = f"{local_path(shared_dir(spark))}/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
     texts = docs.select("text")
-    # which words before are frequent matters for the tasks' sizes only, so a share of the rows tells it
-    few = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_tops, "v long, c long, total long")
-    tops = few.groupBy("v").agg(F.sum("c").alias("c"), F.sum("total").alias("t"))
-    total = tops.agg(F.sum("t")).first()[0] or 0
-    hot = tops.where(F.col("c") * HOT * count > total).orderBy(F.desc("c")).limit(HOT * count).collect() if total else []
-    hot = sorted((r.v, int(np.ceil(r.c * HOT * count / total))) for r in hot)
-    to = Buckets(count, np.array([v for v, _ in hot], np.uint64), np.minimum(np.array([s for _, s in hot], np.uint64), U(count)))
-    counted = texts.mapInArrow(_count_pairs(to), MESSAGE).repartition(count, "bucket").sortWithinPartitions("bucket")
-    words = counted.mapInArrow(_write_pairs(to, folder), MESSAGE).repartition(count, "bucket").sortWithinPartitions("bucket")
+    # which contexts are frequent matters for the tasks' sizes only, so a share of the rows tells it
+    few = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_tops(order), "n int, v long, c long, total long")
+    tops = few.groupBy("n", "v").agg(F.sum("c").alias("c"), F.sum("total").alias("t"))
+    top = tops.withColumn("t", F.sum("t").over(Window.partitionBy("n"))).where(F.col("c") * HOT * count > F.col("t")).collect()
+    hot = {}
+    for n in range(2, order + 1):
+        most = sorted((r for r in top if r.n == n), key=lambda r: -r.c)[: HOT * count]
+        v = np.array([r.v for r in most], np.int64).view(np.uint64)
+        spread = np.minimum(np.array([-(-r.c * HOT * count // r.t) for r in most], np.uint64), U(count))
+        at = np.argsort(v)
+        hot[n] = (v[at], spread[at])
+    to = {n: Buckets(count, *x) for n, x in hot.items()}
+    counted = texts.mapInArrow(_count(to[order], order), MESSAGE)
+    for n in range(order, 1, -1):
+        counted = counted.repartition(count, "bucket").sortWithinPartitions("bucket")
+        counted = counted.mapInArrow(_write_grams(to[n], to.get(n - 1), folder, n, 1 if n == order else 2), MESSAGE)
+    words = counted.repartition(count, "bucket").sortWithinPartitions("bucket")
     word_sums = [r.sums for r in words.mapInArrow(_write_words(folder), "bucket int, sums array<long>").collect()]
-    n = np.array(word_sums, np.int64).reshape(-1, 7).sum(axis=0)
-    pair_sums = np.zeros(5, np.int64)
-    hot_stats = np.zeros((len(to.hot), 4), np.int64)
-    for b in range(count):
-        if os.path.exists(f"{folder}/sums-{b}.npy"):
-            pair_sums += np.load(f"{folder}/sums-{b}.npy")
-            part = np.load(f"{folder}/hot-{b}.npy")
-            np.add.at(hot_stats, np.searchsorted(to.hot, part[:, 0].astype(np.uint64)), part[:, 1:])
-    d1, d2 = discounts(*n[3:]), discounts(*pair_sums[1:])
-    counts = [int(n[3]), int(n[4]), int(n[0] - n[3] - n[4])]
-    rest = sum(a * b for a, b in zip(d1, counts)) / max(1, int(n[1])) if n[1] else 1.0
-    return {"folder": folder, "count": count, "hot": to.hot, "spread": to.spread, "hot_stats": hot_stats, "words": int(n[0]), "pairs": int(n[1]), "tokens": int(n[2]), "d1": d1, "d2": d2, "rest": rest}
+    total = np.array(word_sums, np.int64).reshape(-1, 7).sum(axis=0)
+    d, hot_stats = {1: discounts(*total[3:])}, {}
+    for n in range(2, order + 1):
+        sums = np.zeros(5, np.int64)
+        hot_stats[n] = np.zeros((len(hot[n][0]), 4), np.int64)
+        for b in range(count):
+            if os.path.exists(f"{folder}/sums{n}-{b}.npy"):
+                sums += np.load(f"{folder}/sums{n}-{b}.npy")
+                part = np.load(f"{folder}/hot{n}-{b}.npy")
+                np.add.at(hot_stats[n], np.searchsorted(hot[n][0], part[:, 0].astype(np.uint64)), part[:, 1:])
+        d[n] = discounts(*sums[1:])
+    counts = [int(total[3]), int(total[4]), int(total[0] - total[3] - total[4])]
+    rest = sum(a * b for a, b in zip(d[1], counts)) / max(1, int(total[1])) if total[1] else 1.0
+    return {"folder": folder, "count": count, "order": order, "hot": hot, "hot_stats": hot_stats, "words": int(total[0]), "pairs": int(total[1]), "tokens": int(total[2]), "d": d, "rest": rest}
 
 
 def score(docs: DataFrame, spec: dict) -> DataFrame:
@@ -350,9 +399,9 @@ def score(docs: DataFrame, spec: dict) -> DataFrame:
     return docs.select("id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(spec), spec["folder"]), OUT)
 
 
-def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all rows by a model of those whose remainder by 7 is not 2."""
+def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """Scores of all rows by a model, of an order, of those whose remainder by 7 is not 2."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held = F.coalesce(remainder("id", 7) == 2, F.lit(False))
-    spec = train(docs.where(~held), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spec = train(docs.where(~held), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), order)
     return score(docs, spec).withColumn("held_out", held)

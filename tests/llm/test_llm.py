@@ -290,6 +290,43 @@ def test_op1_scores(docs, rows, empty):
     assert kneser_ney.held_out_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_op1_higher_orders(docs, rows, order):
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    cut = lambda t: ["<s>", *(t or "").encode().translate(lower).split(), None]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [cut(t) for i, t in rows if not held(i)]
+    plain = [collections.Counter(tuple(x[j - n + 1 : j + 1]) for x in train for j in range(max(1, n - 1), len(x))) for n in range(1, order + 1)]
+    counts = {order: plain[-1]}
+    for n in range(order - 1, 0, -1):
+        kinds = collections.Counter(g[1:] for g in plain[n])
+        counts[n] = {g: k if g[0] == "<s>" else kinds[g] for g, k in plain[n - 1].items()}
+    d = {n: [0.0, *kneser_ney.discounts(*(sum(x == k for x in c.values()) for k in (1, 2, 3, 4)))] for n, c in counts.items()}
+    stats = collections.defaultdict(lambda: [0, 0.0])
+    for n, c in counts.items():
+        for g, k in c.items():
+            stats[g[:-1]][0] += k
+            stats[g[:-1]][1] += d[n][min(k, 3)]
+    v = len(counts[1])
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        total, freed = stats.get(g[:-1], (0, 0.0))
+        k = counts[len(g)].get(g, 0)
+        return (k - d[len(g)][min(k, 3)] + freed * lower) / total if total else lower
+
+    words_ = [g[0] for g in counts[1]]
+    for c in [g[:-1] for g in list(counts[order])[:3]] + [("<s>",)]:
+        assert abs(sum(p((*c, w)) for w in words_) + p((*c, "unseen")) - 1) < 1e-9
+    got = collections.defaultdict(list)
+    for r in kneser_ney.held_out_scores(docs, order=order).collect():
+        got[r.id].append(r.score)
+    for i, t in rows:
+        x = cut(t)
+        score = sum(math.log10(p(tuple(x[max(0, j - order + 1) : j + 1]))) for j in range(1, len(x)))
+        assert all(abs(y - score) < 1e-6 for y in got[i])
+
+
 def test_op7_links(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(120, 32))
