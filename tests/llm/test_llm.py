@@ -103,6 +103,41 @@ def test_op10_classes(docs, rows, empty):
     assert simhash_nsw.near_duplicates(empty).count() == 0
 
 
+def test_op10_pairs_that_graphs_miss(spark, monkeypatch):
+    """Texts of 8 and 9 words at similarity 4/5, of which all min-hashes differ or the codes are far apart."""
+    monkeypatch.setattr(simhash_nsw, "PER_SHARD", 1)
+    r = random.Random(8)
+    rows = []
+    for i in range(6000):
+        t = [f"w{r.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(t[:8])), (2 * i + 1, " ".join(t))]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["id", "text"])
+    fp = pa.Table.from_batches(list(simhash_nsw._fingerprints([batch]))).to_pylist()
+    code = np.array([[x["c1"], x["c2"]] for x in fp]).view(np.uint64)
+    far = simhash_nsw.hamming(code[::2], code[1::2]) > simhash_nsw.RADIUS
+    apart = [not set(a["mins"]) & set(b["mins"]) for a, b in zip(fp[::2], fp[1::2])]
+    picked = [i for i in range(6000) if far[i] or apart[i]]
+    assert far.sum() > 3 and sum(apart) > 3
+    d = spark.createDataFrame([x for i in picked for x in rows[2 * i : 2 * i + 2]], "doc_id long, text string")
+    got = {x.id: x.class_id for x in simhash_nsw.near_duplicates(d).collect()}
+    assert got == {j: 2 * i for i in picked for j in (2 * i, 2 * i + 1)}
+
+
+def test_op10_prefixes_lose_no_pair():
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(150):
+        base = r.choice(500, r.integers(1, 60), replace=False)
+        sets += [base, base[: max(1, int(len(base) * r.uniform(0.75, 1)))], np.union1d(base[1:], r.choice(500, 2))]
+    sets = [np.unique(x).astype(np.uint64) for x in sets]
+    seen = r.integers(0, 9, simhash_nsw.COUNTERS).astype(np.uint8)
+    doc, h, n, place = simhash_nsw.prefixes(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), seen)
+    got = {p for a, b in simhash_nsw.meetings(h, doc, n, place) for p in zip(a.tolist(), b.tolist())}
+    as_sets = [set(x.tolist()) for x in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(as_sets[i] & as_sets[j]) * 5 >= len(as_sets[i] | as_sets[j]) * 4}
+    assert len(want) > 50 and want <= got
+
+
 def test_small_world_recall():
     r = np.random.default_rng(0)
     base = r.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
