@@ -2,7 +2,9 @@
 
 A page becomes a tree of its block elements, with a leaf for each run of text between block borders. Each
 node is content or not. A node's potential is log-linear in its tag, the words of its class, id and role, and
-for leaves in the text's size, links and signs; each parent-child pair has a potential for its kind. Sum-product
+for leaves in the text's size, links and signs. Each parent-child pair has a potential for its kind: what the
+child's own tag and names speak of (furniture, an article, nothing; or it is a text), and whether the parent is the
+page's frame; so a form or comments inside an article needn't pull the article along. Sum-product
 messages go up and down the tree, exact as it is a tree, and give each leaf's marginal; the leaves of one half
 or more are the page's text. Potentials are fitted to labelled pages by the gradient of their
 likelihood, which the same messages give.
@@ -11,7 +13,10 @@ The labelled pages are made here (``labelled_pages``): layouts of many kinds who
 parsed like any page.
 
 Defined results: null, empty and text-free pages give empty text; unclosed, misnested and cut-off markup is
-taken as far as it goes; character references are decoded, also those without a semicolon that HTML knows.
+taken as far as it goes, an element whose insides are no text hides the rest of the page only if browsers do so too;
+character references are decoded, also those without a semicolon that HTML knows. Pages are read whole, whatever
+their length. A marginal of exactly one half is content. Repeated rows and null ids are kept, a row each; a kept
+column named ``text`` or ``n_chars`` gets a ``_`` before its name.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,12 +32,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCKS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul video audio canvas".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul video audio canvas xmp".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+RAW = frozenset("script style textarea title template iframe svg".split())
+#: Of these the end must be there, else only the tag is skipped.
+CLOSED = frozenset("svg iframe template".split())
 #: An opening tag that ends these open ones, within the nearest of the second set.
 _LIST, _TABLE = frozenset(("ul", "ol", "menu", "dir")), frozenset(("table",))
 ENDS = {"li": (frozenset(("li",)), _LIST), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))), "tr": (frozenset(("tr", "td", "th")), _TABLE), "td": (frozenset(("td", "th")), _TABLE | {"tr"}), "th": (frozenset(("td", "th")), _TABLE | {"tr"}), "option": (frozenset(("option",)), frozenset(("select",)))}
@@ -40,6 +49,9 @@ _P_STOPS = frozenset(("button", "td", "th", "caption", "table", "object", "html"
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+DEEPEST = 512
+#: Begins a labelled page without a frame.
+ALL = "<!--1-->"
 
 KEYS = (
     "ad ads advert advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login form search nav navbar navigation menu breadcrumb breadcrumbs "
@@ -50,8 +62,12 @@ TAGS = sorted(BLOCKS)
 _TAG_NO, _KEY_NO = {t: i for i, t in enumerate(TAGS)}, {k: len(TAGS) + 1 + i for i, k in enumerate(KEYS)}
 _LEAF = len(TAGS) + 1 + len(KEYS)
 WIDTH = _LEAF + 16
-#: What holds a whole page: its children's labels tell little of its own. Kinds of pairs: element or leaf, each below a frame or not.
-_FRAME, KINDS = {_TAG_NO["html"], _TAG_NO["body"], len(TAGS)}, 4
+#: Names and tags that speak of furniture, and of an article.
+_GOOD = frozenset("content article post entry story main body text page blog news markdown prose paragraph".split())
+_FURNITURE = frozenset([_KEY_NO[k] for k in KEYS if k not in _GOOD] + [_TAG_NO[t] for t in "aside button dialog fieldset footer form header legend menu nav noscript optgroup option select textarea".split()])
+_ARTICLE = frozenset([_KEY_NO[k] for k in _GOOD] + [_TAG_NO[t] for t in ("article", "main")])
+#: What holds a whole page: its children's labels tell little of its own. Kinds of pairs: the child is a plain element, a text, furniture or an article; each below a frame or not.
+_FRAME, KINDS = {_TAG_NO["html"], _TAG_NO["body"], len(TAGS)}, 8
 
 
 @dataclass
@@ -70,10 +86,11 @@ class Forest:
             values.append(x)
         return len(self.parent) - 1
 
-    def add(self, page: int, source: str) -> None:
-        """Parses one page."""
-        root = self.node(page, -1, False, [len(TAGS)], 0)
+    def add(self, page: int, source: str, labelled: bool = False) -> None:
+        """Parses one page; elements nested deeper than ``DEEPEST`` stand beside each other there."""
+        root = self.node(page, -1, False, [len(TAGS)], int(labelled and source.startswith(ALL)))
         stack = [("", root, root)]  # tag, its node or the nearest block's, and the block
+        open_ = Counter()
         run, links, in_link = [], 0, 0
 
         def close_run():
@@ -92,9 +109,12 @@ class Forest:
                 if tag in BLOCKS:
                     close_run()
                 in_link -= tag == "a"
+                open_[tag] -= 1
                 stack.pop()
 
         def end_open(ends, stops):
+            if not any(open_[t] for t in ends):
+                return
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] in stops:
                     return
@@ -117,7 +137,7 @@ class Forest:
                 continue
             tag = tag.lower()
             if close:
-                for d in range(len(stack) - 1, 0, -1):
+                for d in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                     if stack[d][0] == tag:
                         pop_to(d)
                         break
@@ -135,25 +155,27 @@ class Forest:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                at = end.end() if end else at if tag in CLOSED else len(source)
                 continue
             block = stack[-1][2]
             if tag in BLOCKS:
-                f, label = _element(tag, attributes, self.label[block])
+                block = stack[min(len(stack), DEEPEST) - 1][2]
+                f, label = _element(tag, attributes, self.label[block], labelled)
                 block = self.node(page, block, False, f, label)
             in_link += tag == "a"
+            open_[tag] += 1
             stack.append((tag, block, block))
         pop_to(1)
         close_run()
 
 
-def _element(tag: str, attributes: str, label: int) -> tuple[list[int], int]:
+def _element(tag: str, attributes: str, label: int, labelled: bool) -> tuple[list[int], int]:
     f = [_TAG_NO[tag]]
     if attributes:
         for m in _ATTR.finditer(attributes):
             value = m[2].strip("\"'")
             if m[1].lower() == "data-y":
-                label = int(value)
+                label = int(value) if labelled else label
                 continue
             f += [_KEY_NO[w] for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w in _KEY_NO]
     return f, label
@@ -172,6 +194,11 @@ def _leaf(text: str, links: int) -> list[int]:
     return [_LEAF + x for x in f]
 
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
 class Messages:
     """Sum-product over a forest: levels by depth, all pages at once."""
 
@@ -179,7 +206,8 @@ class Messages:
         self.parent = np.array(forest.parent, np.int64)
         n = len(self.parent)
         framed = np.array([f[0] in _FRAME if f else False for f in forest.features], bool)
-        self.kind = np.array(forest.leaf, np.int64) + 2 * (framed[self.parent] & (self.parent >= 0)) if n else np.empty(0, np.int64)
+        own = np.array([1 if leaf else 2 if _FURNITURE.intersection(f) else 3 if _ARTICLE.intersection(f) else 0 for leaf, f in zip(forest.leaf, forest.features)], np.int64)
+        self.kind = own + 4 * (framed[self.parent] & (self.parent >= 0)) if n else own
         size = np.array([len(f) for f in forest.features], np.int64)
         self.rows, self.columns = np.repeat(np.arange(n), size), np.array([x for f in forest.features for x in f], np.int64)
         depth = np.zeros(n, np.int64)
@@ -197,20 +225,21 @@ class Messages:
         own[:, 1] = np.bincount(self.rows, weights=w[self.columns], minlength=n)
         up, to_parent = own.copy(), np.zeros((n, 2))
         for level in reversed(self.levels):
-            m = np.logaddexp.reduce(pair[self.kind[level]] + up[level][:, None, :], axis=2)
+            m = _log_sum(pair[self.kind[level]] + up[level][:, None, :], 2)
             to_parent[level] = m
-            np.add.at(up, self.parent[level], m)
+            for k in (0, 1):
+                up[:, k] += np.bincount(self.parent[level], weights=m[:, k], minlength=n)
         down = np.zeros((n, 2))
         joint = np.zeros((n, 2, 2))
         for level in self.levels:
             p = self.parent[level]
             rest = (up[p] - to_parent[level] + down[p])[:, :, None] + pair[self.kind[level]]
-            down[level] = np.logaddexp.reduce(rest, axis=1)
+            down[level] = _log_sum(rest, 1)
             j = rest + up[level][:, None, :]
-            j -= np.logaddexp.reduce(j.reshape(len(level), 4), axis=1)[:, None, None]
+            j -= _log_sum(j.reshape(len(level), 4), 1)[:, None, None]
             joint[level] = np.exp(j)
         belief = up + down
-        belief -= np.logaddexp.reduce(belief, axis=1)[:, None]
+        belief -= _log_sum(belief, 1)[:, None]
         return np.exp(belief), joint
 
 
@@ -218,7 +247,7 @@ def fit(pages: list[str], steps: int = 300, l2: float = 0.003) -> tuple[np.ndarr
     """Potentials that maximise the likelihood of labelled pages (elements with ``data-y``)."""
     forest = Forest()
     for i, p in enumerate(pages):
-        forest.add(i, p)
+        forest.add(i, p, True)
     messages, y = Messages(forest), np.array(forest.label)
     below = messages.parent >= 0
     seen = np.zeros((KINDS, 2, 2))
@@ -304,7 +333,11 @@ def labelled_pages(count: int = 400, seed: int = 1) -> list[str]:
                 lambda: f"<div{named('sidebar', 'side', 'widget', 'rail')} data-y=0><h3>{words(1, 4)}</h3><p>{sentence()}</p><ul>{links(5)}</ul></div>",
                 lambda: f"<nav{attr('breadcrumbs', 'menu')} data-y=0><ul>{links(r.randint(1, 7))}</ul></nav>",
             ]
-        return r.choice(some)()
+        found = r.choice(some)()
+        if r.random() < 0.1:
+            n = r.choice((1, 2, 6, 12, 30))
+            found = found.replace(line, "<div>" * n + line + "</div>" * n)
+        return found
 
     def comments() -> str:
         tag = r.choice(("section", "div", "ol"))
@@ -317,12 +350,22 @@ def labelled_pages(count: int = 400, seed: int = 1) -> list[str]:
         parts = [f"<h1>{title}</h1>"] if r.random() < 0.85 else []
         if r.random() < 0.1:
             parts = [f"<header>{''.join(parts)}</header>"]
-        for _ in range(r.choice((0, 1, 2, 3, 5, 8, 12))):
+        for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 12))):
             parts.append(paragraph())
-            if r.random() < 0.08:
+            if r.random() < 0.15:
                 parts.append(noise(True))
-        kind = r.random()
-        if kind < 0.5:
+        if r.random() < 0.15:
+            parts.append(comments())
+        if r.random() < 0.15:
+            at, n = r.randint(0, len(parts)), r.choice((1, 2, 3, 6, 12, 30))
+            parts[at:] = ["<div>" * n + "".join(parts[at:]) + "</div>" * n] if at < len(parts) else []
+        kind, frame = r.random(), ""
+        if kind < 0.14:
+            frame = " data-y=1"
+            body = "".join(sentence() if r.random() < 0.1 else x for x in parts) or f"<p>{sentence()}</p>"
+        elif kind < 0.22:
+            body = f"<{(t := r.choice(('div', 'div', 'section')))} data-y=1>{''.join(parts)}</{t}>"
+        elif kind < 0.5:
             body = f"<article{attr('post', 'story', 'entry')} data-y=1>{''.join(parts)}</article>"
         elif kind < 0.65:
             body = f"<main{attr('content', 'main')} data-y=1>{''.join(parts)}</main>"
@@ -346,10 +389,15 @@ def labelled_pages(count: int = 400, seed: int = 1) -> list[str]:
         if r.random() < 0.85:
             tag = r.choice(("footer", "footer", "footer", "div"))
             after.append(f"<{tag}{attr('footer') if tag == 'footer' else named('footer', 'bottom', 'site-footer')} data-y=0>{r.choice(('&copy; ', '', ''))}{words(1, 4)} {r.choice(('&middot; ', ''))}{sentence(2, 20)}</{tag}>")
+        if frame and r.random() < 0.4:
+            before, after = [], []
+            if r.random() < 0.5:
+                pages.append(f"<div data-y=1>{body}</div>" if r.random() < 0.3 else f"{ALL}{body}")
+                continue
         inner = "".join(before) + body + "".join(after)
         if r.random() < 0.3:
-            inner = f"<div{attr('wrapper', 'container', 'page')}>{inner}</div>"
-        pages.append(f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{inner}" + r.choice(("</body></html>", "")))
+            inner = f"<div{attr('wrapper', 'container', 'page')}{frame}>{inner}</div>"
+        pages.append(f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body{frame}>{inner}" + r.choice(("</body></html>", "")))
     return pages
 
 
@@ -385,6 +433,6 @@ def _extract(model):
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``text, n_chars`` of each row, after the columns ``keep``."""
     model = pages.sparkSession.sparkContext.broadcast(_fitted())
-    rows = pages.select(*keep, html_col)
+    rows = pages.select(*(F.col(c).alias(f"_{c}" if c in ("text", "n_chars") else c) for c in keep), F.col(html_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string, n_chars long"
     return rows.mapInArrow(_extract(model), schema)

@@ -448,6 +448,41 @@ def test_op5_layouts(spark):
     assert dom_model.extract(d.where("false")).count() == 0
 
 
+_LINE = "A long enough paragraph of text, with several words in it."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>One</p><div class='comment'><p>Nice read, thanks.</p></div><p>Two words more here.</p></article>", ["One", "Two words more here."]),
+        (f"<article><p>{_LINE}</p><form><label>Your name here</label><button>Send</button></form><ol class=comment-list><li class=comment>First! Great.</li></ol></article>", [_LINE]),
+        (f"<main><h1>T</h1><form><label>Name</label><input><p>Fill this form in please.</p></form><p>{_LINE}</p></main>", ["T", _LINE]),
+        ("<body><p>Just a short page of text.</p></body>", ["Just a short page of text."]),
+        ("Only text here, no markup at all.", ["Only text here, no markup at all."]),
+        ("<body>Plain text in the body. It goes on.<p>And a paragraph.</p><footer>foot note</footer></body>", ["Plain text in the body. It goes on.", "And a paragraph."]),
+        ("<body><nav><a href=/>Home</a></nav><article><p>Short.</p></article><footer>c</footer></body>", ["Short."]),
+        ("<article><p>Energy <math><mi>E</mi></math> equals mass.</p></article>", ["Energy E equals mass."]),
+        ("<body><article><svg><path d=1><p>The story goes on here, for long.</p></article>", ["The story goes on here, for long."]),
+        ("<body><noscript>Please enable scripts.<article><p>The story goes on here, for long.</p></article>", ["The story goes on here, for long."]),
+        (f"<body><div class=nav><a href=/>Home</a></div><div><h1>Title of it</h1><p>{_LINE}</p></div><div class=sidebar><p>{_LINE}</p></div></body>", ["Title of it", _LINE]),
+        (f"<body><section class=post><h2>Head</h2><p>{_LINE}</p><aside><p>Read also this story</p></aside></section><div class='cookie-consent'>We use cookies <button>OK</button></div></body>", ["Head", _LINE]),
+        ("<article data-y=abc><p>One two three four five.</p></article>", ["One two three four five."]),
+        ("<main><ul><li>One thing<li>Another thing</ul><ol><li>Third</ol></main>", ["One thing", "Another thing", "Third"]),
+        ("<div>" * 5000 + "<article><p>Deep text stands here, quite long." + "</b>" * 5000, ["Deep text stands here, quite long."]),
+        ("<article>" + f"<p>{_LINE}</p>" * 5000 + "</article>", [_LINE] * 5000),
+    ],
+)
+def test_op5_layouts_that_are_not_generated(page, text):
+    assert dom_model.texts([page], dom_model._fitted()) == ["\n".join(text)]
+
+
+def test_op5_kept_columns_and_repeats(spark):
+    d = spark.createDataFrame([(1, "t", 5, f"<p>{_LINE}")] * 2 + [(None, None, None, None)], "page_id long, text string, n_chars int, html string")
+    got = dom_model.extract(d, keep=("page_id", "text", "n_chars"))
+    assert got.columns == ["page_id", "_text", "_n_chars", "text", "n_chars"]
+    assert collections.Counter(map(tuple, got.collect())) == {(1, "t", 5, _LINE, len(_LINE)): 2, (None, None, None, "", 0): 1}
+
+
 def test_op5_messages_are_exact():
     """Marginals of a small tree against all its labellings."""
     import itertools
@@ -456,7 +491,7 @@ def test_op5_messages_are_exact():
     for parent, leaf in ((-1, False), (0, False), (1, True), (0, True), (1, True)):
         f.node(0, parent, leaf, [dom_model._LEAF + len(f.parent)], 0)
     r = np.random.default_rng(0)
-    w, pair = np.zeros(dom_model.WIDTH), r.normal(size=(4, 2, 2))
+    w, pair = np.zeros(dom_model.WIDTH), r.normal(size=(dom_model.KINDS, 2, 2))
     w[dom_model._LEAF : dom_model._LEAF + 5] = own = r.normal(size=5)
     p, _ = dom_model.Messages(f).run(w, pair)
     total = np.zeros((5, 2))
@@ -470,7 +505,7 @@ def test_op5_messages_are_exact():
 def test_op5_held_out_layouts():
     f = dom_model.Forest()
     for i, p in enumerate(dom_model.labelled_pages(80, 77)):
-        f.add(i, p)
+        f.add(i, p, True)
     belief, _ = dom_model.Messages(f).run(*dom_model._fitted())
     leaf = np.array(f.leaf)
     assert ((belief[:, 1] >= 0.5) == np.array(f.label))[leaf].mean() > 0.98
