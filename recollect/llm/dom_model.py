@@ -66,6 +66,7 @@ WIDTH = _LEAF + 16
 _GOOD = frozenset("content article post entry story main body text page blog news markdown prose paragraph".split())
 _FURNITURE = frozenset([_KEY_NO[k] for k in KEYS if k not in _GOOD] + [_TAG_NO[t] for t in "aside button dialog fieldset footer form header legend menu nav noscript optgroup option select textarea".split()])
 _ARTICLE = frozenset([_KEY_NO[k] for k in _GOOD] + [_TAG_NO[t] for t in ("article", "main")])
+_PLAIN = frozenset(_TAG_NO[t] for t in "div section p li ul ol dl dd dt table tbody tr td th blockquote center".split())
 #: What holds a whole page: its children's labels tell little of its own. Kinds of pairs: the child is a plain element, a text, furniture or an article; each below a frame or not.
 _FRAME, KINDS = {_TAG_NO["html"], _TAG_NO["body"], len(TAGS)}, 8
 
@@ -87,7 +88,7 @@ class Forest:
         return len(self.parent) - 1
 
     def add(self, page: int, source: str, labelled: bool = False) -> None:
-        """Parses one page; elements nested deeper than ``DEEPEST`` stand beside each other there."""
+        """Parses one page; elements nested deeper than ``DEEPEST`` stand beside each other there, but for plain ones, whose text is the outer one's."""
         root = self.node(page, -1, False, [len(TAGS)], int(labelled and source.startswith(ALL)))
         stack = [("", root, root)]  # tag, its node or the nearest block's, and the block
         open_ = Counter()
@@ -159,9 +160,9 @@ class Forest:
                 continue
             block = stack[-1][2]
             if tag in BLOCKS:
-                block = stack[min(len(stack), DEEPEST) - 1][2]
                 f, label = _element(tag, attributes, self.label[block], labelled)
-                block = self.node(page, block, False, f, label)
+                if len(stack) < DEEPEST or len(f) > 1 or not _PLAIN.issuperset(f):
+                    block = self.node(page, stack[min(len(stack), DEEPEST) - 1][2], False, f, label)
             in_link += tag == "a"
             open_[tag] += 1
             stack.append((tag, block, block))
@@ -243,7 +244,7 @@ class Messages:
         return np.exp(belief), joint
 
 
-def fit(pages: list[str], steps: int = 300, l2: float = 0.003) -> tuple[np.ndarray, np.ndarray]:
+def fit(pages: list[str], steps: int = 200, l2: float = 0.003) -> tuple[np.ndarray, np.ndarray]:
     """Potentials that maximise the likelihood of labelled pages (elements with ``data-y``)."""
     forest = Forest()
     for i, p in enumerate(pages):
@@ -346,6 +347,9 @@ def labelled_pages(count: int = 400, seed: int = 1) -> list[str]:
 
     pages = []
     for i in range(count):
+        if r.random() < 0.06:
+            pages.append(ALL + "".join(paragraph() if r.random() < 0.8 else sentence() for _ in range(r.choice((1, 1, 2, 3)))))
+            continue
         title = words(2, 12)
         parts = [f"<h1>{title}</h1>"] if r.random() < 0.85 else []
         if r.random() < 0.1:
