@@ -1,16 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are the words of the lower-cased text with ASCII punctuation taken as space. Each mask of
-``MASKS`` looks at some of ``SPAN`` successive tokens and ignores the others, so a substituted token
-leaves other seeds whole. Seeds of training texts are joined with those of the benchmark; around a hit
+Tokens are the words of the lower-cased text with ASCII punctuation taken as space. Each mask looks at two runs of
+successive tokens, ``RUN`` each, some tokens apart, and ignores those between, so a substituted token leaves other
+seeds whole. Seeds of training texts are joined with those of the benchmark; around a hit
 both texts are compared along its diagonal, a match counting 1 and a substitution ``-MISMATCH``, and
-the best stretch is an overlap if it has ``MATCHES`` equal tokens, or four fifths of a shorter item.
-Items of fewer than ``SPAN`` tokens have one seed of all their tokens.
-
-The benchmark is broadcast in parts of at most ``PART`` characters; a larger one takes several passes.
-
-Defined results: null texts and items have no tokens; items without tokens match nothing; null ids and
-repeated rows are kept, a row each. Columns other than id and text are not read.
+the best stretch is an overlap if it has ``MATCHES`` equal tokens. Of an item of fewer than ``LONG`` tokens four fifths
+must be equal, wherever they stand in it. Items below ``SHORT`` tokens have masks of runs of ``SMALL``. Those below
+``WHOLE`` have one seed of all their tokens, and must occur whole. Three substitutions in 15 tokens (of shorter items: a
+fifth) leave two runs whole wherever they stand, so these are always found.
+
+The benchmark is broadcast in parts of at most ``PART`` characters. A larger one takes a pass for each, which adds to the
+rows' overlaps and is written to the shared folder; so a row needs no key.
+
+Defined results: null texts and items have no tokens; items without tokens or without id match nothing; null ids and
+repeated rows are kept, a row each, whatever the number of parts; an empty benchmark matches nothing. Texts are read
+whole, whatever their length. Equal overlaps of one item are told once, in the order of item and place. Columns other
+than id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, blocks, inside, mix, windows
+from .shared import materialize
+from .words import U, blocks, mix, windows
 
-SPAN = 11
-MASKS = ((0, 1, 2, 4, 6, 7, 10), (0, 2, 3, 5, 8, 9, 10), (0, 1, 3, 4, 7, 8, 10))
+RUN, APART = 3, (3, 4, 5, 6, 7, 8, 9, 12)
+SMALL, WHOLE, SHORT, LONG = 2, 11, 15, 17
 MATCHES, MISMATCH, SHARE = 13, 2, 0.8
 PART = 8 << 20
-_FACTORS = mix(np.arange(SPAN, dtype=np.uint64), 5) | U(1)
 _SPACE = bytes(0x20 if chr(b) in string.punctuation else b for b in range(256))
 OUT = "id long, n_tokens long, items array<long>, overlaps array<struct<item:long,start:int,tokens:int,equal:int>>"
 _SPAN_TYPE = pa.struct([("item", pa.int64()), ("start", pa.int32()), ("tokens", pa.int32()), ("equal", pa.int32())])
+_KEYS = ("item", "start", "tokens", "equal")
 _OUT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("items", pa.list_(pa.int64())), ("overlaps", pa.list_(_SPAN_TYPE))])
 
 
@@ -41,35 +47,42 @@ def normal(texts: pa.Array) -> pa.Array:
     return pa.array([(t or "").lower().encode().translate(_SPACE) for t in texts.to_pylist()], pa.binary())
 
 
-def seeds(h: np.ndarray, mask: int) -> np.ndarray:
-    """Hash of the masked tokens from each position on."""
-    n = len(h) - SPAN + 1
+def seeds(runs: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of two runs, of each position and ``apart`` tokens on; ``runs`` are the hashes of one."""
+    n = len(runs) - apart
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for o in MASKS[mask]:
-            out += h[o : o + n] * _FACTORS[o]
-    return mix(out, mask)
+        return mix(runs[:n] * U(0x9FB21C651E98DF25) + runs[apart:], apart)
+
+
+def masks(n: int) -> list[tuple[int, int]]:
+    """(run, apart) of the masks of an item of ``n`` tokens; ``(n, 0)`` is all of them."""
+    if n < WHOLE:
+        return [(n, 0)] if n else []
+    return [(SMALL, d) for d in range(1, n - SMALL + 1)] if n < SHORT else [(RUN, d) for d in APART]
 
 
 class Index:
     """Seeds of some benchmark items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.tokens, found = ids, [], {}
+        self.ids, found = ids, {}
+        words, cuts = [np.empty(0, np.uint64)], [0]
         for w in blocks(normal(pa.array(texts, pa.string()))):
             h = w.hashes()
             for a, b in zip(w.docs[:-1], w.docs[1:]):
-                item, own = len(self.tokens), h[a:b]
-                self.tokens.append(own)
-                if len(own) >= SPAN:
-                    for m in range(len(MASKS)):
-                        found.setdefault(m, []).append((seeds(own, m), item))
-                elif len(own):
-                    found.setdefault(-len(own), []).append((windows(own, len(own)), item))
+                item, own = len(cuts) - 1, h[a:b]
+                words.append(own)
+                cuts.append(cuts[-1] + len(own))
+                for run, apart in masks(len(own)):
+                    runs = windows(own, run)
+                    found.setdefault((run, apart), []).append((seeds(runs, apart) if apart else runs, item))
+        self.words, self.cuts = np.concatenate(words), np.array(cuts)
+        n = np.diff(self.cuts)
+        self.need = np.where(n < WHOLE, np.maximum(1, n), np.where(n < LONG, np.ceil(SHARE * n - 1e-9), MATCHES)).astype(np.int64)
         self.tables = {}
-        for kind, parts in found.items():
+        for kind, parts in sorted(found.items()):
             s = np.concatenate([x for x, _ in parts])
             item = np.concatenate([np.full(len(x), i) for x, i in parts])
             at = np.concatenate([np.arange(len(x)) for x, _ in parts])
@@ -79,37 +92,55 @@ class Index:
             self.tables[kind] = s[order], item[order], at[order], bits
 
     def hits(self, w, h) -> np.ndarray:
-        """Distinct (text, item, diagonal) rows of a block."""
-        out = []
-        for kind, (s, item, at, bits) in self.tables.items():
-            size = SPAN if kind >= 0 else -kind
-            own = seeds(h, kind) if kind >= 0 else windows(h, size)
+        """Distinct (text, item, diagonal) rows of a block, of which enough tokens are equal somewhere."""
+        out, runs = [], {}
+        for (run, apart), (s, item, at, bits) in self.tables.items():
+            if run not in runs:
+                runs[run] = windows(h, run)
+            own = seeds(runs[run], apart) if apart else runs[run]
             p = np.flatnonzero(bits[own >> U(44)])
             lo, hi = np.searchsorted(s, own[p]), np.searchsorted(s, own[p], side="right")
             n = hi - lo
             if not n.any():
                 continue
-            ok = np.zeros(len(h), bool)
-            ok[inside(w, size)] = True
-            n[~ok[p]] = 0
-            pos = np.repeat(p, n)
+            p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
+            doc = np.searchsorted(w.docs, p, side="right") - 1
+            n[p + apart + run > w.docs[doc + 1]] = 0
+            pos, doc = np.repeat(p, n), np.repeat(doc, n)
             k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(pos))
-            doc = np.searchsorted(w.docs, pos, side="right") - 1
             out.append(np.stack([doc, item[k], pos - w.docs[doc] - at[k]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
+        if not out:
+            return np.empty((0, 3), np.int64)
+        out = np.unique(np.concatenate(out), axis=0)
+        keep = [self._equal(w, h, out[i : i + 4096]) >= self.need[out[i : i + 4096, 1]] for i in range(0, len(out), 4096)]
+        return out[np.concatenate(keep)]
+
+    def _equal(self, w, h, rows: np.ndarray) -> np.ndarray:
+        """Equal tokens along each row's diagonal."""
+        doc, item, diagonal = rows.T
+        lo = np.maximum(0, -diagonal)
+        hi = np.minimum(self.cuts[item + 1] - self.cuts[item], w.docs[doc + 1] - w.docs[doc] - diagonal)
+        n = hi - lo
+        row = np.repeat(np.arange(len(rows)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+        same = h[w.docs[doc][row] + diagonal[row] + k] == self.words[self.cuts[item][row] + k]
+        return np.bincount(row[same], minlength=len(rows))
 
     def overlap(self, text: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """Start, length and equal tokens of the best stretch along a diagonal, if long enough."""
-        tokens = self.tokens[item]
+        """Start, length and equal tokens of the best stretch along a diagonal, if long enough; of a short item, of all that is equal."""
+        tokens = self.words[self.cuts[item] : self.cuts[item + 1]]
         lo, hi = max(0, diagonal), min(len(text), diagonal + len(tokens))
         same = text[lo:hi] == tokens[lo - diagonal : hi - diagonal]
-        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-        low = np.minimum.accumulate(sums)
-        end = int(np.argmax(sums - low))
-        start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
+        if len(tokens) < LONG:
+            at = np.flatnonzero(same)
+            start, end = (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+        else:
+            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
+            low = np.minimum.accumulate(sums)
+            end = int(np.argmax(sums - low))
+            start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
         equal = int(same[start:end].sum())
-        need = min(MATCHES, int(np.ceil(SHARE * len(tokens))))
-        return (lo + start, end - start, equal) if equal >= max(1, need) else None
+        return (lo + start, end - start, equal) if equal >= self.need[item] else None
 
 
 @lru_cache(maxsize=2)
@@ -131,14 +162,23 @@ def _spans(index: Index, texts: pa.Array) -> tuple[list[int], list[list[tuple]]]
     return tokens, spans
 
 
-def _find(part):
+def _find(part, more: bool):
+    """With ``more``, rows (id, text, n_tokens, items, overlaps) to such rows, with this part's overlaps added; else from (id, text), and without the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(*part.value)
         for batch in batches:
             tokens, spans = _spans(index, batch.column(1))
+            if batch.num_columns > 2:
+                before = [[tuple(x[k] for k in _KEYS) for x in s] for s in batch.column(4).to_pylist()]
+                spans = [sorted({*a, *b}) for a, b in zip(before, spans)]
             items = [sorted({x[0] for x in s}) for s in spans]
-            spans = [[dict(zip(("item", "start", "tokens", "equal"), x)) for x in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(_SPAN_TYPE))], schema=_OUT)
+            spans = [[dict(zip(_KEYS, x)) for x in s] for s in spans]
+            columns = [pa.array(tokens, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(_SPAN_TYPE))]
+            if more:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "text", *_OUT.names[1:]])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=_OUT)
 
     return run
 
@@ -169,25 +209,20 @@ def _parts(benchmark: DataFrame):
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, that overlap no item. Nothing is shuffled."""
     benchmark = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    for p in _parts(benchmark):
-        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(p), docs.columns.index(text_col)), docs.schema)
+    sc, column = docs.sparkSession.sparkContext, docs.columns.index(text_col)
+    for i, p in enumerate(_parts(benchmark)):
+        docs = (materialize(docs, "clean") if i else docs).mapInArrow(_drop(sc.broadcast(p), column), docs.schema)
     return docs
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id, n_tokens, items, overlaps`` for each row of ``docs``: benchmark items it overlaps, and where (in tokens)."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     benchmark = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    found = [docs.mapInArrow(_find(sc.broadcast(p)), OUT) for p in _parts(benchmark)] or [docs.mapInArrow(_find(sc.broadcast(((), ()))), OUT)]
-    if len(found) == 1:
-        return found[0]
-    rest = found[0]
-    for i, more in enumerate(found[1:]):
-        more = more.where(F.size("items") > 0).groupBy(F.col("id").alias("i")).agg(F.flatten(F.collect_set("items")).alias("x"), F.flatten(F.collect_set("overlaps")).alias("y"))
-        none = F.array().cast("array<long>")
-        rest = rest.join(more, F.col("id") == F.col("i"), "left").select(
-            "id", "n_tokens", F.array_sort(F.array_union("items", F.coalesce("x", none))).alias("items"),
-            F.when(F.col("y").isNull(), F.col("overlaps")).otherwise(F.array_union("overlaps", "y")).alias("overlaps"),
-        )
-    return rest
+    parts = _parts(benchmark)
+    p = next(parts, ((), ()))
+    while (after := next(parts, None)) is not None:
+        rows = materialize(rows.mapInArrow(_find(sc.broadcast(p), True), OUT.replace("id long,", "id long, text string,", 1)), "overlaps")
+        p = after
+    return rows.mapInArrow(_find(sc.broadcast(p), False), OUT)

@@ -205,11 +205,55 @@ def test_op9_overlaps(spark, docs, empty):
 
 
 def test_op9_parts_agree(spark, monkeypatch):
-    bench = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(6)], "item_id long, text string").coalesce(1)
-    d = spark.createDataFrame([(1, "x alpha2 beta2 gamma2 delta2 y alpha5 beta5 gamma5 delta5"), (2, "none")], "doc_id long, text string")
-    whole = {r.id: r["items"] for r in decontam.overlaps(d, bench).collect()}
+    """With null ids, repeated ids and rows, and clashing columns."""
+    bench = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(6)] + [(None, "some item without id"), (9, None)], "item_id long, text string").coalesce(1)
+    rows = [(1, "x alpha2 beta2 gamma2 delta2 y alpha5 beta5 gamma5 delta5"), (2, "none"), (None, "alpha5 beta5 gamma5 delta5"), (7, "alpha5 beta5 gamma5 delta5"), (7, "clean"), (7, "clean"), (None, None)]
+    d = spark.createDataFrame([(i, t, 3, [4]) for i, t in rows], "doc_id long, text string, id int, items array<int>")
+    find = lambda: collections.Counter((r.id, r.n_tokens, tuple(r["items"]), tuple(r.overlaps)) for r in decontam.overlaps(d, bench).collect())
+    whole, left = find(), collections.Counter(map(str, decontam.clean(d, bench).collect()))
+    assert collections.Counter((i, x) for i, _, x, _ in whole.elements()) == collections.Counter({(1, (2, 5)): 1, (2, ()): 1, (None, (5,)): 1, (None, ()): 1, (7, (5,)): 1, (7, ()): 2})
+    assert sum(left.values()) == 4
     monkeypatch.setattr(decontam, "PART", 60)
-    assert {r.id: r["items"] for r in decontam.overlaps(d, bench).collect()} == whole == {1: [2, 5], 2: []}
+    assert find() == whole and collections.Counter(map(str, decontam.clean(d, bench).collect())) == left
+
+
+def test_op9_against_brute_force():
+    """Every diagonal of every text and item, without seeds; items of all lengths, substitutions anywhere."""
+    r = random.Random(12)
+    items = [[f"w{r.randrange(3000)}" for _ in range(n)] for n in [*range(1, 30), *range(5, 21), 59]]
+    texts = []
+    for k in range(400):
+        item = r.choice(items)
+        own = list(item)
+        for j in r.sample(range(len(own)), min(len(own), r.choice((0, 1, 2, 3, 4)))):
+            own[j] = f"x{r.randrange(50)}"
+        a, b = (0, len(own)) if k % 3 else sorted(r.sample(range(len(own) + 1), 2))
+        texts.append([f"w{r.randrange(3000)}" for _ in range(r.choice((0, 3, 30)))] + own[a:b] + [f"w{r.randrange(3000)}" for _ in range(r.choice((0, 5)))])
+    texts += [[], ["w1"], r.choice(items) * 3, ["w7"] * 30000]
+    index = decontam.Index(list(range(len(items))), [" ".join(x) for x in items])
+    _, got = decontam._spans(index, pa.array([" ".join(t) for t in texts]))
+    sure, missed = 0, 0
+    for t, spans in zip(texts, got):
+        for i, item in enumerate(items):
+            n, want = len(item), False
+            for d in range(1 - n, len(t)) if len(t) < 1000 else ():
+                same = [0 <= d + k < len(t) and t[d + k] == item[k] for k in range(n)]
+                if n < decontam.LONG:
+                    want |= sum(same) >= (n if n < decontam.WHOLE else math.ceil(0.8 * n))
+                elif sum(same) >= 13:
+                    best, at = 0, (0, 0)
+                    for b in range(1, n + 1):
+                        for a in range(b - 1, -1, -1):
+                            if (x := sum(1 if y else -2 for y in same[a:b])) > best:
+                                best, at = x, (a, b)
+                    a, b = at
+                    want |= sum(same[a:b]) >= 13 and b - a - sum(same[a:b]) <= 3
+            found = any(x[0] == i for x in spans)
+            sure += want
+            missed += want and not found
+            if n < decontam.LONG and len(t) < 1000:
+                assert want == found
+    assert sure > 150 and missed == 0
 
 
 def test_op2_languages(spark, empty):
