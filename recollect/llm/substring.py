@@ -7,8 +7,8 @@ around it, those occurring in a document with a smaller id are repeats, and repe
 to maximal ones.
 
 Probes travel to their hash's bucket packed to about six bytes each, anchors and repeats travel back to
-their documents' bucket. A bucket's occurrences are kept packed, what it holds unpacked are its distinct
-hashes; a passage in a third of all documents is one hash there. No pair of documents is ever formed.
+their documents' bucket. A task has one bucket of hashes; its occurrences are kept packed, what it holds unpacked are
+its distinct hashes; a passage in a third of all documents is one hash there. No pair of documents is ever formed.
 Equality is that of 64-bit hashes and, within it, of an anchor.
 
 Defined results: null text has no words; documents of one id don't repeat each other; null ids neither
@@ -18,7 +18,6 @@ repeat nor are repeated, their rows are returned unchanged. Columns other than i
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +31,9 @@ from .messages import MESSAGE, bucket_of, pack_places, rows, send_texts, split,
 from .words import U, blocks, inside, windows
 
 WINDOW, BLOCK = 50, 25
-#: Buckets of hashes for each bucket of documents.
-FINER = 2
-FLUSH = 1_000_000
+#: Buckets for each of Spark's shuffle partitions: of hashes, and of documents.
+FINER, GROUPS = 4, 4
+FLUSH, MERGE = 1_000_000, 1 << 20
 OUT = "id long, n_words long, n_removed long, kept_text string"
 
 
@@ -89,55 +88,61 @@ class _Distinct:
     def find(self, h):
         return np.searchsorted(self.h, h)
 
+    def has(self, h):
+        at = self.find(h)
+        at[at == len(self.h)] = 0
+        return self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
+
 
 def _answer(count: int, anchors: bool):
-    """One bucket of hashes after the other: which places are anchors, or else repeats; to the documents' buckets."""
+    """A partition is one bucket of hashes: which places are anchors, or else repeats; to the documents' buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, fresh, new = _Distinct(), [], 0
-        with tempfile.SpooledTemporaryFile(max_size=64 << 20) as spool:
-            sizes = []
-
-            def read(bucket, body):
-                ids, pos, h = unpack_places(body, "u4" if anchors else "u8")
-                return ids, pos, (U(bucket) << U(32)) | h.astype(np.uint64) if anchors else h
-
-            for batch in batches:
-                for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    body = body.as_py()
-                    ids, pos, h = read(bucket, body)
-                    fresh.append((h, ids, (pos % BLOCK == 0) if anchors else np.ones(len(h), bool)))
-                    new += len(h)
-                    if new > 1 << 22:
-                        seen.add(fresh)
-                        new = 0
-                    sizes.append((bucket, len(body)))
-                    spool.write(body)
-            seen.add(fresh)
-            shared = seen.ref & (seen.low < seen.high)
+        seen, fresh, new, bodies = _Distinct(), [], 0, []
+
+        def read(bucket, body):
+            ids, pos, h = unpack_places(body, "u4" if anchors else "u8")
+            return ids, pos, (U(bucket) << U(32)) | h.astype(np.uint64) if anchors else h
+
+        for batch in batches:
+            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                body = body.as_py()
+                bodies.append((bucket, body))
+                ids, pos, h = read(bucket, body)
+                fresh.append((h, ids, (pos % BLOCK == 0) if anchors else np.ones(len(h), bool)))
+                new += len(h)
+                if new > MERGE:
+                    seen.add(fresh)
+                    new = 0
+        seen.add(fresh)
+        shared = seen.ref & (seen.low < seen.high)
+        if anchors:
+            # of the hashes only those of anchors are asked for
+            seen.h, shared = seen.h[shared], None
+            seen.low = seen.high = seen.ref = None
+        held, n = [], 0
+
+        def flush():
+            ids, pos = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((pos, ids))
+            ids, pos = ids[order], pos[order]
+            return rows([(b, pack_places(ids[i], pos[i])) for b, i in split(bucket_of(ids, count), count)])
+
+        for bucket, body in bodies:
+            ids, pos, h = read(bucket, body)
             if anchors:
-                seen.low = seen.high = None
-            spool.seek(0)
-            held, n = [], 0
-
-            def flush():
-                ids, pos = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((pos, ids))
-                ids, pos = ids[order], pos[order]
-                return rows([(b, pack_places(ids[i], pos[i])) for b, i in split(bucket_of(ids, count), count)])
-
-            for bucket, size in sizes:
-                ids, pos, h = read(bucket, spool.read(size))
-                at = seen.find(h)
-                hit = shared[at] if anchors else seen.low[at] < ids
-                if hit.any():
-                    held.append((ids[hit], pos[hit]))
-                    n += int(hit.sum())
-                    if n > FLUSH:
-                        yield flush()
-                        held, n = [], 0
-            if held:
-                yield flush()
+                hit = seen.has(h)
+            else:
+                hit = seen.low[seen.find(h)] < ids
+            if hit.any():
+                held.append((ids[hit], pos[hit]))
+                n += int(hit.sum())
+                if n > FLUSH:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+        del seen, bodies, held
         trim()
 
     return run
@@ -245,13 +250,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = to_arrow_schema(docs.schema)
     out += "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
     known = docs.where("id is not null")
-    texts = known.mapInArrow(send_texts(count), MESSAGE)
+    fine, groups = FINER * count, GROUPS * count
+    texts = known.mapInArrow(send_texts(groups), MESSAGE)
     finish = map_out or (lambda t: t)
 
-    fine = FINER * count
-
     def to_buckets(df: DataFrame) -> DataFrame:
-        return df.repartition(fine, "bucket")
+        return df.repartitionById(fine, "bucket")
 
     def with_texts(places: DataFrame, f, schema: str) -> DataFrame:
         return texts.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(f, schema)
@@ -268,8 +272,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             t = finish(_kept(t, (np.empty(0, np.int64),) * 2, layout))
             yield from t.set_column(0, "id", pa.nulls(t.num_rows, pa.int64())).to_batches()
 
-    anchors = to_buckets(known.mapInArrow(_probe(fine), MESSAGE)).mapInArrow(_answer(count, True), MESSAGE)
-    repeats = to_buckets(with_texts(anchors, _extend(fine, schema), MESSAGE)).mapInArrow(_answer(count, False), MESSAGE)
+    anchors = to_buckets(known.mapInArrow(_probe(fine), MESSAGE)).mapInArrow(_answer(groups, True), MESSAGE)
+    repeats = to_buckets(with_texts(anchors, _extend(fine, schema), MESSAGE)).mapInArrow(_answer(groups, False), MESSAGE)
     found = with_texts(repeats, cut, out).unionByName(docs.where("id is null").mapInArrow(unchanged, out))
     return found.select(*(c for c in found.columns if not c.startswith("c_")), *(F.col(f"c_{c}").alias(c) for c in carry))
 
