@@ -7,7 +7,9 @@ times its letters. Viterbi over a text's words, where changing the language cost
 spans; the text's language is that of most letters, and its score the share of those.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and where nothing was
-learned; ties go to the first language by name. Repeated rows and null ids are kept, a row each.
+learned; a letter is a character of Unicode's letter categories, whatever stands beside it. Ties go to the first
+language by name. Texts are read whole, whatever their length. Repeated rows and null ids are kept, a row each. Columns
+other than those named are not read; ``known`` passes them on.
 """
 
 from __future__ import annotations
@@ -45,28 +47,26 @@ _OUT = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.f
 SPAN_OUT = OUT + ", spans array<struct<first_word:int,words:int,lang:string>>"
 
 
-def script_of(c: int) -> int:
-    """0 for what is no letter."""
-    if not unicodedata.category(chr(c)).startswith("L"):
-        return 0
-    return next((s for s, a, b in RANGES if a <= c <= b), 1)
-
-
 @lru_cache
-def _scripts() -> tuple[np.ndarray, np.ndarray]:
-    """Script by first byte, and by first and second byte (for a block of characters, that of most)."""
-    one = np.zeros(256, np.uint8)
-    for c in range(128):
-        one[c] = script_of(c)
-    two = np.zeros(65536, np.uint8)
-    votes: dict[int, list[int]] = {}
-    for c in [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x30000, 16)]:
-        b = chr(c).encode()
-        votes.setdefault(b[0] << 8 | b[1], []).append(script_of(c))
-    for k, v in votes.items():
-        letters = [x for x in v if x]
-        two[k] = max(set(letters), key=letters.count) if letters else 0
-    return one, two
+def _scripts() -> np.ndarray:
+    """Script by code point; beyond the last plane with letters there are none."""
+    out = np.zeros(1 << 18, np.uint8)
+    out[[c for c in range(1 << 18) if unicodedata.category(chr(c))[0] == "L"]] = 1
+    for s, a, b in RANGES:
+        out[a : b + 1] *= s
+    return out
+
+
+def _kinds(b: np.ndarray, c: np.ndarray, d: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Script of the character that begins with byte ``b`` and goes on with the others; 0 within one."""
+    table = _scripts()
+    kind = np.where(b < 128, table[np.minimum(b, 127)], np.where(b >= 0xC0, table[((b & 31) << 6) | (c & 63)], 0)).astype(np.uint8)
+    long = np.flatnonzero(b >= 0xE0)
+    if len(long):
+        b, c, d, e = b[long], c[long] & 63, d[long] & 63, e[long] & 63
+        point = np.where(b < 0xF0, ((b & 15) << 12) | (c << 6) | d, ((b & 7) << 18) | (c << 12) | (d << 6) | e)
+        kind[long] = np.where(point < len(table), table[np.minimum(point, len(table) - 1)], 0)
+    return kind
 
 
 def spaced(texts: pa.Array) -> pa.Array:
@@ -81,7 +81,7 @@ def features(w) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     solid[w.ends] -= 1
     at = np.flatnonzero(np.cumsum(solid)[:-1])
     d = w.data.astype(np.uint32)
-    pad = np.concatenate([[32], np.where((d == 32) | ((d >= 9) & (d <= 13)), 32, d), [32, 32]]).astype(np.uint32)
+    pad = np.concatenate([[32], np.where((d == 32) | ((d >= 9) & (d <= 13)), 32, d), [32, 32, 32]]).astype(np.uint32)
     a, b, c, e = pad[at], pad[at + 1], pad[at + 2], pad[at + 3]
     g2 = (a << 8) | b
     g3 = (((g2 << 8) | c) * np.uint32(2654435761)) >> np.uint32(16)
@@ -89,8 +89,7 @@ def features(w) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     grams = np.stack([g2, g3 + GRAMS[0], g4 + GRAMS[0] + GRAMS[1]], axis=1)
     size = w.ends - w.starts
     first = np.cumsum(size) - size
-    one, two = _scripts()
-    kind = np.where(b < 128, one[b], np.where(b >= 0xC0, two[(b << 8) | c], 0)).astype(np.uint8)
+    kind = _kinds(b, c, e, pad[at + 4])
     letter = kind > 0
     if not len(first):
         return grams, first, first, first
@@ -226,10 +225,6 @@ def _read(m: Model, texts: pa.Array):
     doc = np.repeat(np.arange(rows), np.diff(d))
     share = np.bincount(doc * max(1, k) + path, weights=n, minlength=rows * max(1, k)).reshape(rows, max(1, k))
     total = share.sum(axis=1)
-    for i in np.flatnonzero(total == 0):
-        # letters of a block of characters where most are none
-        if any(c.isalpha() for c in texts[int(i)].as_py() or ""):
-            share[i, 0] = total[i] = 1
     pick = np.where((total > 0) & (k > 0), share.argmax(axis=1), k)
     score = np.where(pick < k, share.max(axis=1) / np.maximum(total, 1), 0.0)
     return pick, score, d, doc, path

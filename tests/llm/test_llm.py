@@ -272,6 +272,31 @@ def test_op2_languages(spark, empty):
     assert langid.label(d, langid.train(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_op2_letters(spark):
+    """Every character's script, and texts of signs that share blocks with letters."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(33, 1 << 18) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    for lo in range(0, len(chars), 50000):
+        own = chars[lo : lo + 50000]
+        w = next(words.blocks(pa.array([" ".join(own)]), 1 << 30))
+        _, _, letters, script = langid.features(w)
+        assert len(letters) == len(own)
+        assert all((n > 0) == (k > 0) == (unicodedata.category(c)[0] == "L") for n, k, c in zip(letters.tolist(), script.tolist(), own))
+    signs = ["。", "！！", "１２３", "™", "№", "℃ 5", "²³", "（）", "\U0001f600 \U0001f4a9", "12 34", ""]
+    letters = ["々", "ー", "ㄱ", "ａ", "ª", "𝐀", "x", "ʼ", "𠀀"]
+    rows = [(i, t, None, 5) for i, t in enumerate(signs + letters)] + [(100 + i, "abc def", "aa", 5) for i in range(9)] + [(200, "def " * 100_000 + "。", None, 5)] * 2 + [(None, "abc", "aa", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    got = collections.defaultdict(list)
+    for r in langid.predict(d).collect():
+        got[r.id].append(r.lang_pred)
+    assert [got[i] for i in range(len(signs))] == [["und"]] * len(signs)
+    assert [got[i + len(signs)] for i in range(len(letters))] == [["aa"]] * len(letters)
+    assert got[200] == ["aa", "aa"] and got[None] == ["aa"]
+    kept = langid.known(d, langid.train(d))
+    assert kept.columns == d.columns and kept.count() == len(letters) + 9 + 3
+
+
 def test_viterbi_is_best_path():
     r = np.random.default_rng(1)
     docs = np.array([0, 4, 4, 9, 10])
