@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from . import facts as FA
 
 PINS, SLOT_LIMIT, K1, B = 64, 8, 1.2, 0.75
 Q = ["uid", "qid"]
+#: Tokens of queries whose weights are broadcast: some 40 MB.
+ASKED = 500_000
 
 
 def budget(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, limit: int) -> DataFrame:
@@ -92,23 +96,87 @@ def postings(rows: DataFrame, id_col: str = "id") -> DataFrame:
     return one.groupBy("uid", "id", "length", "token").agg(F.count("*").alias("tf"))
 
 
-def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: DataFrame | None = None) -> DataFrame:
+def _top_scores(weights, limit: int):
+    """A task's best ``limit`` rows of each query: one pass over its rows ``uid, id, tokens``."""
+
+    def run(batches):
+        asked = weights.value
+        of_uid: dict[str, list[tuple]] = {}
+        numbers: dict[str, dict[str, int]] = {}
+        for (uid, qid, mean), (tokens, w) in asked.items():
+            known = numbers.setdefault(uid, {})
+            at = np.array([known.setdefault(t, len(known)) for t in tokens], np.int64)
+            of_uid.setdefault(uid, []).append((qid, mean, at, w))
+        best: dict[tuple, list] = {}
+        for batch in batches:
+            uids, ids = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist(), object)
+            length = np.array(batch.column(2).value_lengths().fill_null(0))
+            doc = np.repeat(np.arange(len(ids)), length)
+            coded = batch.column(2).flatten().dictionary_encode()
+            token, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            for uid in set(uids) & set(of_uid):
+                known = numbers[uid]
+                number = np.array([known.get(t, -1) for t in names], np.int64)
+                mine = uids == uid
+                n = number[token]
+                use = (n >= 0) & mine[doc]
+                pairs, tf = np.unique(doc[use] * len(known) + n[use], return_counts=True)
+                d, t = pairs // len(known), pairs % len(known)
+                rows, first = np.unique(d, return_index=True)
+                for qid, mean, at, w in of_uid[uid]:
+                    own = np.zeros(len(known))
+                    own[at] = w
+                    # tenths of a trillionth, so that sums don't depend on their order
+                    part = np.rint(own[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean)) * 1e12).astype(np.int64)
+                    total = np.add.reduceat(part, first) if len(first) else part
+                    met = np.add.reduceat(own[t] != 0, first) > 0 if len(first) else first
+                    key, held = (uid, qid), best.get((uid, qid), [])
+                    floor = held[-1][0] if len(held) == limit else -(1 << 62)
+                    pick = np.flatnonzero(met & (-total <= -floor))
+                    if len(pick) > 4 * limit:
+                        pick = pick[total[pick] >= np.partition(total[pick], len(pick) - limit)[len(pick) - limit]]
+                    held = sorted([*held, *((int(total[i]), ids[rows[i]]) for i in pick)], key=lambda x: x[1])
+                    best[key] = sorted(held, key=lambda x: -x[0])[:limit]
+        flat = [(uid, qid, i, total) for (uid, qid), held in best.items() for total, i in held]
+        columns = list(zip(*flat)) if flat else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([*(pa.array(list(c)) if flat else pa.array([], pa.string()) for c in columns[:3]), pa.array(list(columns[3]), pa.int64())], names=["uid", "qid", "id", "total"])
+
+    return run
+
+
+def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: DataFrame | None = None, one_pass: bool = True) -> DataFrame:
     """The best ``limit`` rows of each query (``uid, qid, text``) with ``score`` and ``rank``.
 
     Counts and lengths are over all rows of a ``uid``; only ids of ``keep`` are answers. A token twice in a query counts twice.
-    Queries' tokens meet postings on (uid, token), so a frequent token spreads over its rows.
+    Where the queries' distinct tokens are ``ASKED`` at most, their weights are broadcast, each task scores its rows in one pass and
+    only its best of each query are shuffled. Beyond that, or without ``one_pass`` (many users with few rows each), tokens meet
+    postings on (uid, token), so a frequent token spreads over its rows.
     """
     size = rows.select("uid", T.token_count(F.col("text")).alias("n")).groupBy("uid").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     asked = queries.select(*Q, F.explode(T.tokenize(T.fold(F.col("text")))).alias("token")).groupBy(*Q, "token").agg(F.count("*").alias("times"))
+    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    rank = F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("score"), F.asc("id")))
+    if one_pass and asked.limit(ASKED + 1).count() <= ASKED:
+        tokens = rows.select("uid", "id", T.tokenize(T.fold(F.col("text"))).alias("tokens"))
+        df = tokens.select("uid", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("uid", "token").agg(F.count("*").alias("df"))
+        weighed = asked.join(df, ["uid", "token"]).join(size, "uid").select(*Q, "mean", "token", (idf * F.col("times")).alias("w"))
+        weights: dict[tuple, tuple] = {}
+        for r in weighed.groupBy(*Q, "mean").agg(F.collect_list("token").alias("t"), F.collect_list("w").alias("w")).collect():
+            weights[(r.uid, r.qid, r.mean)] = (r.t, np.array(r.w))
+        if keep is not None:
+            tokens = tokens.join(keep.select("uid", "id").distinct(), ["uid", "id"], "left_semi")
+        kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *queries.schema.fields]}
+        schema = f"uid string, qid {kinds['qid']}, id {kinds['id']}, total long"
+        scores = tokens.mapInArrow(_top_scores(rows.sparkSession.sparkContext.broadcast(weights), limit), schema)
+        scores = scores.select(*Q, "id", (F.col("total") / F.lit(1e12)).alias("score"))
+        return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
     post = postings(rows).join(asked.select("uid", "token").distinct(), ["uid", "token"], "left_semi")
     df = post.groupBy("uid", "token").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighed = asked.join(df, ["uid", "token"]).join(size, "uid").withColumn("w", idf * F.col("times"))
     if keep is not None:
         post = post.join(keep.select("uid", "id").distinct(), ["uid", "id"], "left_semi")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scores = post.join(weighed, ["uid", "token"]).withColumn("part", F.round(part, 12).cast("decimal(28,12)")).groupBy(*Q, "id").agg(F.sum("part").cast("double").alias("score"))
-    rank = F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("score"), F.asc("id")))
     return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
@@ -168,7 +236,7 @@ def recall(facts: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors
     n = max(8, 4 * cfg.recall_k)
     live = FA.list_facts(facts)
     indexed = facts.select("uid", "id", F.concat_ws(" ", "subject", "predicate", "object").alias("text"))
-    legs = [("slot", slot_hits(facts, queries)), ("fts", bm25(indexed, queries, n, live))]
+    legs = [("slot", slot_hits(facts, queries)), ("fts", bm25(indexed, queries, n, live, one_pass=False))]
     if vectors is not None:
         legs.append(("vec", vector_hits(vectors.join(live.select("uid", F.col("id").alias("fact_id")), ["uid", "fact_id"], "left_semi"), queries, n, cfg.embed_min_cos)))
     found = fuse(legs, cfg.rrf_k)
