@@ -113,10 +113,9 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    # a doubled backslash is set aside first, so that what follows it isn't taken for an escape
-    s = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
-    s = F.replace(F.replace(s, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-    return F.replace(s, F.lit("\u0000"), F.lit("\\"))
+    # between doubled backslashes, so that what follows one isn't taken for an escape
+    parts = F.split(text, r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))), "\\")
 
 
 def mock_embedding(text: Column, dim: int = 64) -> Column:

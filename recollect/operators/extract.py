@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Persona
 from ..functions import text as T
 from ..schemas import KINDS, TOPIC_KINDS
 
@@ -130,6 +131,26 @@ def resolve(candidates: DataFrame, facts: DataFrame, last: DataFrame | None = No
     return rows.withColumn("action", action).drop("held", "head", "doubtful", "is_new", "first_new", "acts", "n")
 
 
+SYSTEM = """You keep the long-term notes of a conversation between a user (lines marked 他说) and {name} (lines marked 她说).{about}
+From the numbered lines take down what is worth knowing weeks from now. Answer with one JSON object and nothing else:
+{{"facts": [...], "summary": "...", "topics": [...]}}.
+A fact has: turn_ref, the number in brackets of the line it comes from; quote, words copied from that line; subject, 他 for the user or 她 for {name};
+predicate, a short verb phrase; object, what exactly; kind, one of fact, commitment, promise; due, a date as YYYY-MM-DD or null;
+confidence, 0 to 1, near 1 only for what is said outright; importance, 0 to 1; persona_attention, 0 to 1: {attention}
+The user's facts come from the user's lines only. From {name}'s lines take only what {name} promises or says of herself.
+Leave out jokes, guesses, questions and small talk. The summary has one or two sentences, or is empty.
+At most three topics to come back to: text, kind (followup, share or ask), due_day or null, ref (a line's number)."""
+ASK = "Today is {today}.\n\n{lines}"
+
+
+def messages(prompt: str, today: str, persona: Persona = Persona()) -> list[dict]:
+    """What a chat model is sent for one chunk's lines."""
+    about = f" {persona.description}" if persona.description else ""
+    attention = persona.attention_hint or f"how much {persona.name} would care"
+    system = SYSTEM.format(name=persona.name, about=about, attention=attention)
+    return [{"role": "system", "content": system}, {"role": "user", "content": ASK.format(today=today, lines=prompt)}]
+
+
 def prompt_lines(lines: DataFrame) -> DataFrame:
     """Rows for the model (from ``turns.lines``) to one numbered text for each chunk."""
     who = F.when(F.col("role") == "assistant", "她说").otherwise("他说")
@@ -139,14 +160,14 @@ def prompt_lines(lines: DataFrame) -> DataFrame:
 
 
 def call_model(prompts: DataFrame, model, max_tokens: int = 8000, per_line: int = 200) -> DataFrame:
-    """Runs ``model(prompt, max_tokens) -> (text, finish_reason)`` on each chunk: adds ``raw, status``.
+    """Runs ``model(prompt, max_tokens) -> (text, finish_reason)`` on each chunk: adds ``raw, status`` and estimates of the tokens in and out, ``tin, tout``.
 
     ``failed`` (raised, empty, or cut off by the limit) leaves the cursor where it is; ``skipped`` (no model) doesn't.
     """
 
     def run(batches):
         for pdf in batches:
-            raw, status = [], []
+            raw, status, tin, tout = [], [], [], []
             for prompt, n in zip(pdf.prompt, pdf.n_lines):
                 try:
                     out, why = ("", "none") if model is None else model(prompt, min(max_tokens, per_line * max(1, n)))
@@ -155,9 +176,11 @@ def call_model(prompts: DataFrame, model, max_tokens: int = 8000, per_line: int
                 good = bool((out or "").strip()) and why != "length"
                 raw.append(out if good else "")
                 status.append("skipped" if model is None else "ok" if good else "failed")
-            yield pdf.assign(raw=raw, status=status)
+                tin.append(0 if model is None else int(len(prompt) / 1.5) + 1)
+                tout.append(int(len(out) / 1.5) + 1 if out else 0)
+            yield pdf.assign(raw=raw, status=status, tin=tin, tout=tout)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", raw string, status string"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", raw string, status string, tin long, tout long"
     return prompts.mapInPandas(run, schema)
 
 
@@ -167,6 +190,19 @@ def candidates(answers: DataFrame) -> DataFrame:
     return rows.select("uid", (F.col("chunk").cast("long") * 100000 + F.col("pos")).alias("seq"), "f.*")
 
 
+def model_usage(answers: DataFrame) -> DataFrame:
+    """Calls, failed ones, and tokens of each ``uid``."""
+    return answers.groupBy("uid").agg(F.count_if(F.col("status") != "skipped").alias("calls"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("tin").alias("tin"), F.sum("tout").alias("tout"))
+
+
+def run_stats(verified: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Of each ``uid`` how many candidates were active, pending and dropped, and what the others did."""
+    seen = verified.groupBy("uid").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in ("active", "pending", "drop")))
+    done = resolved.groupBy("uid").agg(*(F.count_if(F.col("action") == a).alias(a.lower()) for a in ("ADD", "SUPERSEDE", "NOOP")))
+    out = seen.join(done, "uid", "left")
+    return out.select("uid", "active", "pending", "drop", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("add", "supersede", "noop")))
+
+
 def ops_of(resolved: DataFrame, first_seq: DataFrame | None = None) -> DataFrame:
     """Resolved candidates that do something, as log rows."""
     rows = resolved.where("action <> 'NOOP'").withColumnRenamed("action", "op")

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..schemas import KINDS, TOPIC_KINDS
 
+#: Sections of a session's own notes, which stand in where nothing was retrieved.
+NOTES = ("user_profile", "shared_moments", "promises", "commitments", "her_self")
 EDITABLE = ("subject", "predicate", "object", "importance", "persona_attention", "due", "kind")
 TEXT_MAX = 200
+
+
 class EditError(ValueError):
     """A field's value isn't allowed."""
 
@@ -66,6 +70,53 @@ def with_usage(facts: DataFrame, usage: DataFrame) -> DataFrame:
     return facts.join(sums, ["uid", "id"], "left").withColumn("use_count", F.coalesce("use_count", F.lit(0)))
 
 
+def material(users: DataFrame, facts: DataFrame, summaries: DataFrame, topics: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """For each ``uid`` whether there is a live fact, a summary, a topic, an unused topic, a vector; ``any_material``: one of the first three."""
+    of = {"has_fact": list_facts(facts), "has_summary": summaries, "has_topic": topics, "has_open_topic": topics.where(~F.col("used"))}
+    of["has_vector"] = vectors if vectors is not None else facts.where("false")
+    out = users.select("uid").distinct()
+    for name, rows in of.items():
+        out = out.join(rows.select("uid").distinct().withColumn(name, F.lit(True)), "uid", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.withColumn("any_material", F.col("has_fact") | F.col("has_summary") | F.col("has_topic"))
+
+
+def recall_material(session: dict) -> bool:
+    """Whether a turn has something to say: what ``_mem`` was given, or else the session's own notes."""
+    found = session.get("_mem") if isinstance(session.get("_mem"), dict) else {}
+    notes = session.get("memory") if isinstance(session.get("memory"), dict) else {}
+    return any(isinstance(found.get(k), list) and found[k] for k in ("facts", "summaries", "topics")) or any(bool(notes.get(k)) for k in NOTES)
+
+
+def context_rows(session: dict, kind: str) -> list:
+    """The turn's ``facts``, ``summaries`` or ``topics``; nothing where the session holds something else."""
+    found = session.get("_mem")
+    rows = found.get(kind) if isinstance(found, dict) else None
+    return rows if isinstance(rows, list) else []
+
+
+def export(facts: DataFrame, summaries: DataFrame, topics: DataFrame, ops: DataFrame) -> DataFrame:
+    """``uid, section, id, row``: all that is known of each user, a JSON text a row."""
+    parts = {"facts": facts, "pending": pending(facts), "summaries": list_summaries(summaries, 100), "topics": list_topics(topics, 100, True), "ops": ops}
+    out = None
+    for name, rows in parts.items():
+        one = rows.select("uid", F.lit(name).alias("section"), "id", F.to_json(F.struct(*(c for c in rows.columns if c != "uid"))).alias("row"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def without(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """The rows of all but some users: a reset for good."""
+    return rows.join(users.select("uid").distinct(), "uid", "left_anti")
+
+
+def use_topics(topics: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Topics with those of ``chosen(uid, id)`` used; without it every one, so that none is open."""
+    if chosen is None:
+        return topics.withColumn("used", F.lit(True))
+    mark = chosen.select("uid", "id").distinct().withColumn("_now", F.lit(True))
+    return topics.join(mark, ["uid", "id"], "left").withColumn("used", F.col("used") | F.coalesce("_now", F.lit(False))).drop("_now")
+
+
 def list_summaries(summaries: DataFrame, limit: int = 20) -> DataFrame:
     """The newest of each ``uid``, with their ``rank``."""
     w = Window.partitionBy("uid").orderBy(F.desc("day"), F.desc("created_at"), F.desc("id"))
@@ -122,6 +173,24 @@ def validate(fields: dict) -> dict:
     return out
 
 
+def _lines(rows: DataFrame, order: str, line: Column) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), line.alias("line"))))
+    return rows.groupBy("uid").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("view"))
+
+
+def render_summaries(summaries: DataFrame, limit: int = 500) -> DataFrame:
+    """``uid, view``: the newest summaries, oldest first."""
+    since = F.when(F.coalesce("turn_ref", F.lit("")) != "", F.concat(F.lit("\n- since "), "turn_ref")).otherwise("") if "turn_ref" in summaries.columns else F.lit("")
+    rows = list_summaries(summaries, limit).withColumn("place", -F.col("rank"))
+    return _lines(rows, "place", F.concat(F.lit("## "), "day", F.lit(" "), "id", F.lit("\n"), "text", since))
+
+
+def render_topics(topics: DataFrame, limit: int = 200) -> DataFrame:
+    """``uid, view``: topics, used ones too, with their kind and date."""
+    marks = F.concat_ws(", ", "id", "kind", F.when(F.col("used"), "used"), F.when(F.coalesce("due_day", F.lit("")) != "", F.concat(F.lit("by "), "due_day")))
+    return _lines(list_topics(topics, limit, True), "rank", F.concat(F.lit("- "), F.substring("day", 1, 10), F.lit(" "), "text", F.lit(" ("), marks, F.lit(")")))
+
+
 def render(facts: DataFrame) -> DataFrame:
     """``uid, view``: a readable list of live facts, and of those that ended."""
     one = F.format_string("## %s (#%s, %s, %.1f, %.1f%s)\n- %s %s (%s)", F.concat("subject", "predicate", "object"), F.col("id"), F.col("status"), F.col("importance"), F.col("persona_attention"), F.when(F.col("pinned"), ", pinned").otherwise(""), F.substring(F.coalesce("valid_from", F.lit("")), 1, 10), F.coalesce("quote", F.lit("")), F.coalesce("turn_ref", F.lit("")))

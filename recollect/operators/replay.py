@@ -94,6 +94,18 @@ def facts(ops: DataFrame, today: str, base: DataFrame | None = None) -> DataFram
     return base.join(s.select("uid", "id").distinct(), ["uid", "id"], "left_anti").select(*out.columns).unionByName(out)
 
 
+def fact(ops: DataFrame, uid: str, fact_id: str, today: str) -> DataFrame:
+    """One fact, folded from its own operations only: the filter reaches the scan of the log."""
+    own = ops.where((F.col("uid") == uid) & ((F.col("id") == fact_id) | (F.col("replaces") == fact_id)))
+    return facts(own, today).where(F.col("id") == fact_id)
+
+
+def last_fact_ids(ops: DataFrame) -> DataFrame:
+    """``uid, seq``: the greatest number that the log ever gave to a fact, whether or not it is still there; new ids go on from it."""
+    number = F.regexp_extract("id", r"^F-(\d+)$", 1).try_cast("long")
+    return ops.groupBy("uid").agg(F.coalesce(F.max(number), F.lit(0)).cast("long").alias("seq"))
+
+
 def _latest(ops: DataFrame, kind: str) -> DataFrame:
     w = Window.partitionBy("uid", "id").orderBy(F.desc("seq"))
     return ops.where((F.col("op") == kind) & (F.coalesce("id", F.lit("")) != "")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

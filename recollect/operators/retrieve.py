@@ -286,6 +286,24 @@ def context(facts: DataFrame, queries: DataFrame, cfg: Config = Config(), vector
     return both.withColumn("place", F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("source"), "place")))
 
 
+def outcomes(queries: DataFrame, triggered: DataFrame, found: DataFrame) -> DataFrame:
+    """``uid, qid, reason, hits, by_vector`` of each query: ``skipped`` (not triggered), ``no_hit`` or ``ok``; sums of it are the counters."""
+    hits = found.groupBy(*Q).agg(F.count("*").alias("hits"), F.count_if(F.col("match") == "vec").alias("by_vector"))
+    rows = queries.select(*Q).join(triggered.select(*Q, "triggered"), Q, "left").join(hits, Q, "left")
+    rows = rows.withColumns({"hits": F.coalesce("hits", F.lit(0)), "by_vector": F.coalesce("by_vector", F.lit(0))})
+    reason = F.when(~F.coalesce("triggered", F.lit(False)), "skipped").when(F.col("hits") == 0, "no_hit").otherwise("ok")
+    return rows.select(*Q, reason.alias("reason"), "hits", "by_vector")
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """For each share q the value at place floor(n q) of the ordered values, the last at most; null values are left out."""
+    w = Window.partitionBy(*keys)
+    ranked = rows.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
+    wanted = ranked.withColumn("share", F.explode(F.array(*(F.lit(float(q)) for q in shares))))
+    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.col("share"))) + 1
+    return wanted.where(F.col("_r") == at).select(*keys, "share", value)
+
+
 def context_totals(rows: DataFrame) -> DataFrame:
     """Facts and tokens of each context."""
     return rows.groupBy(*Q).agg(F.count_if(F.col("source") == "hot").alias("hot"), F.count_if(F.col("source") == "cold").alias("cold"), F.sum(T.estimate_tokens(F.col("card"))).alias("used_tokens"))

@@ -50,6 +50,37 @@ def user_turns(rows: DataFrame) -> DataFrame:
     return rows.where("role = 'user'")
 
 
+def tenants(rows: DataFrame) -> DataFrame:
+    """Every ``uid`` that ever spoke."""
+    return rows.select("uid").where(F.coalesce("uid", F.lit("")) != "").distinct()
+
+
+def state(rows: DataFrame, cursor: DataFrame | None = None) -> DataFrame:
+    """What is known of each ``uid``: its counters and the rounds read so far (``cursor(uid, rounds)``, 0 if it has none)."""
+    spoke = F.count_if(F.col("role") == "user").alias("user_rounds")
+    out = rows.groupBy("uid").agg(F.count("*").alias("messages"), spoke, F.max_by("id", "seq").alias("last_turn_id"), F.max("day").alias("last_day"))
+    if cursor is None:
+        return out.withColumn("extracted_rounds", F.lit(0).cast("long"))
+    done = cursor.groupBy("uid").agg(F.max("rounds").cast("long").alias("extracted_rounds"))
+    return out.join(done, "uid", "left").withColumn("extracted_rounds", F.coalesce("extracted_rounds", F.lit(0).cast("long")))
+
+
+def recent_refs(rows: DataFrame, window: int) -> DataFrame:
+    """``uid, turn_ref`` of the last ``window`` messages of each ``uid``: what was just said."""
+    newest = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("seq")))
+    return rows.withColumn("_n", newest).where(F.col("_n") <= max(0, window)).select("uid", F.col("id").alias("turn_ref"))
+
+
+def log_stats(live: DataFrame, archived: DataFrame) -> DataFrame:
+    """Of each ``uid`` the days and bytes that are live and archived, and the messages of both (a live day hides its archived copy)."""
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("long")
+    one = lambda rows, prefix: rows.groupBy("uid").agg(F.count_distinct("day").alias(f"{prefix}days"), size.alias(f"{prefix}bytes"))
+    turns = union_days(live.select("uid", "day"), archived.select("uid", "day")).groupBy("uid").agg(F.count("*").alias("turns"))
+    out = turns.join(one(live, ""), "uid", "left").join(one(archived, "archived_"), "uid", "left")
+    names = ("days", "bytes", "archived_days", "archived_bytes")
+    return out.select("uid", "turns", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names))
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """Days, messages and characters of each ``uid``."""
     return rows.groupBy("uid").agg(F.count_distinct("day").alias("days"), F.count("*").alias("turns"), F.sum(F.length("text")).cast("long").alias("chars"))
@@ -102,6 +133,11 @@ def archive_plan(rows: DataFrame, now: str, months: int) -> DataFrame:
     return by_month.where(F.col("month") < cutoff)
 
 
+def archive_due(state: DataFrame, today: str) -> DataFrame:
+    """``uid``s whose turns weren't archived today yet, by ``last_archive`` (a day, or null)."""
+    return state.where(F.coalesce("last_archive", F.lit("")) < today).select("uid")
+
+
 def union_days(live: DataFrame, archived: DataFrame) -> DataFrame:
     """Rows of both; of a day that both hold the live ones."""
     held = live.select("uid", "day").distinct()

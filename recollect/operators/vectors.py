@@ -57,10 +57,12 @@ def mock_encode(facts: DataFrame, dim: int = 64) -> DataFrame:
     return facts.select("uid", F.col("id").alias("fact_id"), F.lit(dim).alias("dim"), T.mock_embedding(text, dim).alias("vec"), T.text_hash(text).alias("text_hash"), F.lit("mock").alias("model"))
 
 
-def stats(facts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Facts, vectors, how many are missing, the greatest length, the models."""
+def stats(facts: DataFrame, vectors: DataFrame, model: str | None = None) -> DataFrame:
+    """Facts, vectors, how many are missing, the greatest length, the models; with ``model`` whether vectors are of others."""
     f = facts.where(F.col("status").isin("active", "pending")).groupBy("uid").agg(F.count("*").alias("facts"))
     v = vectors.groupBy("uid").agg(F.count("*").alias("vectors"), F.max("dim").alias("dim"), F.array_sort(F.collect_set("model")).alias("models"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     rows = f.join(v, "uid", "full").withColumns({"facts": zero("facts"), "vectors": zero("vectors"), "dim": zero("dim")})
-    return rows.withColumn("stale", F.greatest(F.lit(0), F.col("facts") - F.col("vectors")))
+    rows = rows.withColumns({"stale": F.greatest(F.lit(0), F.col("facts") - F.col("vectors")), "models": F.coalesce("models", F.array().cast("array<string>"))})
+    other = (F.col("vectors") > 0) & (F.col("models") != F.array(F.lit(model))) if model else F.lit(False)
+    return rows.withColumn("model_mismatch", other)

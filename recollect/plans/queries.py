@@ -16,11 +16,13 @@ from ..operators import replay as R
 from ..operators import retrieve as RE
 from ..operators import turns as TU
 from ..operators import vectors as V
+from ..sources import logs
 from . import tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 S, P = SparkSession, str
+_FACT_TEXT = "subject || ' ' || predicate || ' ' || object"
 
 
 def query(sql: str | None = None):
@@ -89,6 +91,73 @@ def n4_her_lines(spark: S, sf: P) -> DataFrame:
     return TU.lines(rows, TU.chunks(rows, size=2)).select("uid", "id", "chunk", "text")
 
 
+@query(f"WITH {D.TURNS} SELECT DISTINCT uid FROM turns")
+def s11_tenants(spark: S, sf: P) -> DataFrame:
+    return TU.tenants(D.turns(spark, sf))
+
+
+@query(f"WITH {D.TURNS} SELECT uid, count(*) AS messages, count(*) FILTER (role = 'user') AS user_rounds, arg_max(id, seq) AS last_turn_id, max(day) AS last_day, CAST(CAST(uid AS BIGINT) % 4 AS BIGINT) AS extracted_rounds FROM turns GROUP BY uid")
+def s10_state(spark: S, sf: P) -> DataFrame:
+    rows = D.turns(spark, sf)
+    done = F.col("uid").cast("long") % 4
+    return TU.state(rows, rows.select("uid", done.alias("rounds")).where("rounds > 0"))
+
+
+@query(f"WITH {D.TURNS} SELECT uid, id AS turn_ref FROM turns QUALIFY row_number() OVER (PARTITION BY uid ORDER BY seq DESC) <= 3")
+def n7_recent_refs(spark: S, sf: P) -> DataFrame:
+    return TU.recent_refs(D.turns(spark, sf), 3)
+
+
+@query(f"WITH {D.TURNS}, l AS (SELECT uid, substr(day, 1, 8) || lpad(CAST(seq % 3 + 1 AS VARCHAR), 2, '0') AS day, text, seq FROM turns), live AS (SELECT * FROM l WHERE seq % 2 = 0), old AS (SELECT * FROM l WHERE seq % 2 = 1), b AS (SELECT uid FROM live UNION ALL SELECT uid FROM old WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.uid = old.uid AND live.day = old.day)) SELECT uid, count(*) AS turns, (SELECT count(DISTINCT day) FROM live WHERE live.uid = b.uid) AS days, (SELECT CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) FROM live WHERE live.uid = b.uid) AS bytes, (SELECT count(DISTINCT day) FROM old WHERE old.uid = b.uid) AS archived_days, (SELECT CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) FROM old WHERE old.uid = b.uid) AS archived_bytes FROM b GROUP BY uid")
+def s14_archive_stats(spark: S, sf: P) -> DataFrame:
+    rows = D.turns(spark, sf).withColumn("day", F.concat(F.substring("day", 1, 8), F.lpad((F.col("seq") % 3 + 1).cast("string"), 2, "0")))
+    return TU.log_stats(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS uid FROM events GROUP BY user_id HAVING strftime(max(ts), '%Y-%m-%d') < '2024-01-30' OR user_id % 5 = 0")
+def x7_archive_due(spark: S, sf: P) -> DataFrame:
+    last = F.when(F.col("user_id") % 5 > 0, F.date_format(F.max("ts"), "yyyy-MM-dd"))
+    return TU.archive_due(D.read(spark, sf, "events").groupBy("user_id").agg(last.alias("last_archive")).withColumn("uid", F.col("user_id").cast("string")), "2024-01-30")
+
+
+@query(f"WITH {D.TURNS} SELECT uid, seq, id, day, role, regexp_replace(text, CASE WHEN role = 'assistant' THEN '^(\\[[^\\]]*\\]\\s*)*' ELSE '^$' END, '') AS text FROM turns")
+def s2_parse_turns(spark: S, sf: P) -> DataFrame:
+    """Turns written as day files and read back."""
+    return logs.parse_days(logs.day_text(D.turns(spark, sf).withColumn("time", F.lit("10:00:00")))).select("uid", "seq", "id", "day", "role", "text")
+
+
+@query(f"WITH {D.OPS} SELECT uid, n AS seq, op, event_type || '-' || CAST(k % 5 AS VARCHAR) AS id, 'o' || CAST(n % 100 AS VARCHAR) AS object, 'e' || CAST(n % 100 AS VARCHAR) AS edit FROM e")
+def s3_parse_ops(spark: S, sf: P) -> DataFrame:
+    """The log written as JSON lines and read back, with torn lines between."""
+    log = D.ops(spark, sf)
+    line = F.to_json(F.struct(*(F.col(c) for c in log.columns if c not in ("uid", "seq", "edits")), F.col("edits").alias("set")))
+    lines = log.select("uid", "seq", line.alias("line")).unionByName(log.select("uid", "seq", F.lit('{"op":').alias("line")))
+    return logs.parse_ops(lines).select("uid", "seq", "op", "id", "object", F.element_at("edits", F.lit("object")).alias("edit"))
+
+
+_PROMPTS = f"""pl AS (SELECT uid, 0 AS chunk, string_agg('[' || id || '] ' || day || ' 00:00:00 ' || CASE WHEN role = 'user' THEN '他说' ELSE '她说' END || '：' || said, chr(10) ORDER BY seq) AS prompt, count(*) AS n_lines, count(*) FILTER (role = 'user') AS n_user
+ FROM (SELECT *, CASE WHEN role = 'user' THEN text ELSE substr(text, 1, 160) END AS said, row_number() OVER (PARTITION BY uid, role ORDER BY seq DESC) AS newest, min(CASE WHEN role = 'user' THEN seq END) OVER (PARTITION BY uid) AS opened FROM turns) WHERE seq >= opened AND (role = 'user' OR newest <= 16) GROUP BY uid)"""
+
+
+def _prompts(spark: S, sf: P) -> DataFrame:
+    rows = D.turns(spark, sf).withColumn("time", F.lit("00:00:00"))
+    return X.prompt_lines(TU.lines(rows, TU.chunks(rows)))
+
+
+@query(f"WITH {D.TURNS}, {_PROMPTS} SELECT uid, chunk, prompt, n_lines, n_user FROM pl")
+def v5_prompts(spark: S, sf: P) -> DataFrame:
+    """No conversation here fills a second chunk."""
+    return _prompts(spark, sf).select("uid", "chunk", "prompt", "n_lines", "n_user")
+
+
+@query(f"WITH {D.TURNS}, {_PROMPTS} SELECT uid, 1::BIGINT AS calls, CASE WHEN n_lines % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS failed, CAST(floor(length(prompt) / 1.5::DOUBLE) + 1 AS BIGINT) AS tin, CASE WHEN n_lines % 3 = 0 THEN 0 ELSE 3 END::BIGINT AS tout FROM pl")
+def m3_model_usage(spark: S, sf: P) -> DataFrame:
+    def model(prompt: str, max_tokens: int) -> tuple[str, str]:
+        return ("", "error") if (prompt.count("\n[T-") + 1) % 3 == 0 else ("{} ", "stop")
+
+    return X.model_usage(X.call_model(_prompts(spark, sf), model))
+
+
 @query()
 def m2_extract(spark: S, sf: P) -> DataFrame:
     """Chunks through a rule-based stand-in for the model, to verified facts."""
@@ -168,7 +237,35 @@ def a6_resolve_ops(spark: S, sf: P) -> DataFrame:
     return X.resolve(D.candidates(spark, sf), none).select("uid", "seq", "action", "id", "replaces")
 
 
-_FOLD_OF = "CASE WHEN x.step = 'ADD' THEN {add} WHEN NOT a.here THEN {none} {rest} ELSE a.{field} END"
+_OLD_NEW = f"""{D.FACTS}, cand AS (SELECT uid, first_seq AS seq, subject, predicate, CASE WHEN first_seq % 2 = 0 THEN object ELSE 'v' || CAST(first_seq % 3 AS VARCHAR) END AS object FROM facts WHERE first_seq % 3 = 0),
+held AS (SELECT uid, subject, predicate, list(DISTINCT object) AS held, arg_max(id, {{'a': pinned, 'b': importance, 'c': persona_attention, 'd': -first_seq}}) AS head FROM facts WHERE status = 'active' AND first_seq % 3 > 0 GROUP BY ALL),
+r AS (SELECT c.*, head, lag(object) OVER w AS before, coalesce(NOT list_contains(held, object), true) AS fresh FROM cand c LEFT JOIN held USING (uid, subject, predicate) WINDOW w AS (PARTITION BY uid, subject, predicate ORDER BY seq)),
+b AS (SELECT *, min(CASE WHEN fresh THEN seq END) OVER (PARTITION BY uid, subject, predicate) AS first_new FROM r), a AS (SELECT *, coalesce(seq = first_new OR (seq > first_new AND before IS DISTINCT FROM object), false) AS acts FROM b),
+n AS (SELECT *, CASE WHEN acts THEN 'F-' || lpad(CAST(1000 + sum(CAST(acts AS INTEGER)) OVER (PARTITION BY uid ORDER BY seq) AS VARCHAR), 4, '0') END AS id FROM a),
+z AS (SELECT *, coalesce(last_value(id IGNORE NULLS) OVER (PARTITION BY uid, subject, predicate ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), head) AS earlier FROM n),
+done AS (SELECT uid, seq, CASE WHEN NOT acts THEN 'NOOP' WHEN earlier IS NOT NULL THEN 'SUPERSEDE' ELSE 'ADD' END AS action, id, CASE WHEN acts THEN earlier END AS replaces FROM z)"""
+
+
+def _resolved(spark: S, sf: P) -> DataFrame:
+    """Candidates of every third event against the facts of the others."""
+    f = D.facts(spark, sf)
+    value = F.when(F.col("first_seq") % 2 == 0, F.col("object")).otherwise(F.concat(F.lit("v"), F.col("first_seq") % 3))
+    cand = f.where("first_seq % 3 = 0").select("uid", F.col("first_seq").alias("seq"), "subject", "predicate", value.alias("object"), F.lit("active").alias("status"))
+    return X.resolve(cand, f.where("first_seq % 3 > 0"), f.select("uid", F.lit(1000).cast("long").alias("seq")).distinct())
+
+
+@query(f"WITH {_OLD_NEW} SELECT uid, seq, action, id, replaces FROM done")
+def j5_resolve_against_facts(spark: S, sf: P) -> DataFrame:
+    return _resolved(spark, sf).select("uid", "seq", "action", "id", "replaces")
+
+
+@query(f"WITH {_OLD_NEW} SELECT uid, count(*) FILTER (seq % 5 > 1) AS active, count(*) FILTER (seq % 5 = 1) AS pending, count(*) FILTER (seq % 5 = 0) AS drop, count(*) FILTER (action = 'ADD') AS add, count(*) FILTER (action = 'SUPERSEDE') AS supersede, count(*) FILTER (action = 'NOOP') AS noop FROM done GROUP BY uid")
+def a9_run_stats(spark: S, sf: P) -> DataFrame:
+    done = _resolved(spark, sf)
+    verdict = F.when(F.col("seq") % 5 == 0, "drop").when(F.col("seq") % 5 == 1, "pending").otherwise("active")
+    return X.run_stats(done.withColumn("verdict", verdict), done)
+
+
 _REPLAY = f"""WITH {D.OPS}, o AS (SELECT s.uid, s.id, list({{'n': s.n, 'sub': s.sub, 'step': s.step, 'day': s.day, 'here': false, 'object': '', 'importance': 0.0::DOUBLE, 'pinned': false, 'status': '', 'valid_to': NULL::VARCHAR}} ORDER BY s.n, s.sub) AS l FROM steps s GROUP BY s.uid, s.id),
 f AS (SELECT uid, id, list_reduce(list_prepend({{'n': 0::BIGINT, 'sub': 0, 'step': '', 'day': '', 'here': false, 'object': '', 'importance': 0.0::DOUBLE, 'pinned': false, 'status': '', 'valid_to': NULL::VARCHAR}}, l), lambda a, x: {{'n': x.n, 'sub': x.sub, 'step': x.step, 'day': x.day,
  'here': CASE WHEN x.step = 'ADD' THEN true WHEN x.step = 'FORGET' AND x.n % 4 = 0 THEN false ELSE a.here END,
@@ -195,6 +292,69 @@ def r_replay_incremental(spark: S, sf: P) -> DataFrame:
     return R.facts(cut.where("seq > middle").drop("middle"), D.NOW, first).select("uid", "id", "object", "importance", "pinned", "status", "valid_to")
 
 
+_NOTE_OPS = "nt AS (SELECT CAST(user_id AS VARCHAR) AS uid, event_id AS seq, list_extract(['SUMMARY', 'TOPIC', 'WHAT', NULL], CAST(event_id % 4 AS INTEGER) + 1) AS op, CASE WHEN event_id % 40 > 1 THEN 'N-' || CAST(event_id % 3 AS VARCHAR) ELSE '' END AS id, 't' || CAST(event_id AS VARCHAR) AS text FROM events)"
+
+
+def _note_ops(spark: S, sf: P) -> DataFrame:
+    op = F.element_at(F.array(F.lit("SUMMARY"), F.lit("TOPIC"), F.lit("WHAT"), F.lit(None)), (F.col("event_id") % 4 + 1).cast("int"))
+    ident = F.when(F.col("event_id") % 40 > 1, F.concat(F.lit("N-"), F.col("event_id") % 3)).otherwise("")
+    e = D.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("uid"), F.col("event_id").alias("seq"), op.alias("op"), ident.alias("id"), F.concat(F.lit("t"), F.col("event_id")).alias("text"))
+    return e.select("*", *(F.lit(None).cast("string").alias(c) for c in ("day", "created_at", "turn_ref", "kind", "due_day", "ref")))
+
+
+@query(f"WITH {_NOTE_OPS} SELECT uid, id, arg_max(text, seq) AS text FROM nt WHERE op = 'SUMMARY' AND id <> '' GROUP BY uid, id")
+def r10_replay_summaries(spark: S, sf: P) -> DataFrame:
+    return R.summaries(_note_ops(spark, sf)).select("uid", "id", "text")
+
+
+@query(f"WITH {_NOTE_OPS} SELECT uid, id, arg_max(text, seq) AS text, max(seq) % 8 = 1 AS used FROM nt WHERE op = 'TOPIC' AND id <> '' GROUP BY uid, id")
+def r11_replay_topics(spark: S, sf: P) -> DataFrame:
+    """A topic written again after its use is open again."""
+    ops = _note_ops(spark, sf)
+    return R.topics(ops, ops.where("seq % 8 = 1").select("uid", "id", "seq")).select("uid", "id", "text", "used")
+
+
+@query(f"WITH {_NOTE_OPS} SELECT uid, seq FROM nt WHERE coalesce(op NOT IN ('SUMMARY', 'TOPIC'), true) OR id = ''")
+def r12_unknown_kinds(spark: S, sf: P) -> DataFrame:
+    return R.bad_ops(_note_ops(spark, sf)).select("uid", "seq")
+
+
+@query(f"SELECT * FROM ({_REPLAY}) WHERE uid = '7' AND id = 'click-1'")
+def s6_get_fact(spark: S, sf: P) -> DataFrame:
+    return R.fact(D.ops(spark, sf), "7", "click-1", D.NOW).select("uid", "id", "object", "importance", "pinned", "status", "valid_to")
+
+
+@query(f"WITH {D.FACTS} SELECT uid, max(first_seq) AS seq FROM facts GROUP BY uid")
+def w6_last_fact_ids(spark: S, sf: P) -> DataFrame:
+    """A purged fact's number isn't given again."""
+    return R.last_fact_ids(D.facts(spark, sf))
+
+
+@query(f"WITH {D.FACTS}, parts AS (SELECT uid, 'facts' AS section, id FROM facts UNION ALL SELECT uid, 'pending', id FROM facts WHERE status = 'pending' UNION ALL SELECT uid, 'ops', 'op-' || CAST(first_seq AS VARCHAR) FROM facts) SELECT uid, section, id FROM parts")
+def s13_export(spark: S, sf: P) -> DataFrame:
+    f = D.facts(spark, sf)
+    none = spark.createDataFrame([], "uid string, id string, day string, created_at string, text string, due_day string, used boolean")
+    return FA.export(f, none, none, f.select("uid", F.concat(F.lit("op-"), "first_seq").alias("id"))).select("uid", "section", "id")
+
+
+@query(f"WITH {D.FACTS}, {D.PROSE}, {D.TOPICS_USED}, us AS (SELECT uid FROM facts UNION SELECT uid FROM prose) SELECT uid, uid IN (SELECT uid FROM facts WHERE status = 'active' AND valid_to IS NULL) AS has_fact, uid IN (SELECT uid FROM open_topics) AS has_topic, uid IN (SELECT uid FROM open_topics WHERE NOT used) AS has_open_topic, uid IN (SELECT CAST(label AS VARCHAR) FROM embeddings) AS has_vector, uid IN (SELECT uid FROM facts WHERE status = 'active' AND valid_to IS NULL UNION SELECT uid FROM open_topics) AS any_material FROM us")
+def p5_material(spark: S, sf: P) -> DataFrame:
+    f, t = D.facts(spark, sf), D.topics(spark, sf)
+    found = FA.material(f.select("uid").union(D.prose(spark, sf).select("uid")), f, D.summaries(spark, sf), t, D.vectors(spark, sf))
+    return found.select("uid", "has_fact", "has_topic", "has_open_topic", "has_vector", "any_material")
+
+
+@query(f"WITH {D.FACTS} SELECT uid, id, CASE WHEN status IN ('active', 'pending') THEN {_FACT_TEXT} ELSE '' END AS text FROM facts")
+def c3_searchable(spark: S, sf: P) -> DataFrame:
+    return C.searchable(D.facts(spark, sf))
+
+
+@query(f"WITH {D.FACTS} SELECT uid, id, status FROM facts WHERE CAST(uid AS BIGINT) % 10 > 0")
+def w10_reset(spark: S, sf: P) -> DataFrame:
+    f = D.facts(spark, sf)
+    return FA.without(f, f.where("CAST(uid AS BIGINT) % 10 = 0")).select("uid", "id", "status")
+
+
 @query(f"WITH {D.FACTS} SELECT uid, id, predicate, object, importance FROM facts WHERE status = 'active' AND valid_to IS NULL")
 def s4_list_facts(spark: S, sf: P) -> DataFrame:
     return FA.list_facts(D.facts(spark, sf)).select("uid", "id", "predicate", "object", "importance")
@@ -358,17 +518,60 @@ def a4_rrf(spark: S, sf: P) -> DataFrame:
     return RE.fuse(_legs(spark, sf)).select("qid", "id", "rrf")
 
 
-@query()
+def _recall_sql(budget: int) -> str:
+    """Slot, full text and pins of every query, fused; ``rc`` are the answers."""
+    order = "pinned DESC, score DESC, id"
+    return f"""ft AS (SELECT uid, id, t, len(t) AS length FROM (SELECT uid, id, {_tok(_FACT_TEXT)} AS t FROM facts)),
+fp AS (SELECT uid, id, length, lower(token) AS token, count(*) AS tf FROM (SELECT uid, id, length, unnest(t) AS token FROM ft) GROUP BY ALL),
+fz AS (SELECT uid, count(*) AS docs, avg(length) AS mean FROM ft GROUP BY uid), fd AS (SELECT uid, token, count(*) AS df FROM fp GROUP BY uid, token),
+fq AS (SELECT uid, qid, lower(token) AS token, count(*) AS times FROM (SELECT uid, qid, unnest({_tok('text')}) AS token FROM asked) GROUP BY ALL),
+fw AS (SELECT fq.uid, fq.qid, fq.token, mean, greatest(ln((docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * times AS w FROM fq JOIN fd USING (uid, token) JOIN fz USING (uid)),
+fs AS (SELECT fw.uid, fw.qid, fp.id, CAST(sum(CAST(round(fw.w * fp.tf * 2.2::DOUBLE / (fp.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * fp.length / fw.mean)), 12) AS DECIMAL(28,12))) AS DOUBLE) AS s
+ FROM fp JOIN fw USING (uid, token) JOIN facts f ON f.uid = fp.uid AND f.id = fp.id AND f.status = 'active' AND f.valid_to IS NULL GROUP BY 1, 2, 3),
+fts AS (SELECT uid, qid, id, row_number() OVER (PARTITION BY uid, qid ORDER BY s DESC, id) AS rank FROM fs QUALIFY rank <= 16),
+pins AS (SELECT uid, id FROM facts WHERE status = 'active' AND valid_to IS NULL AND pinned QUALIFY row_number() OVER (PARTITION BY uid ORDER BY id) <= 64),
+ids AS (SELECT uid, qid, id, max(slot) AS slot, max(fts) AS fts, max(pin) AS pin FROM (SELECT uid, qid, id, rank AS slot, NULL AS fts, NULL AS pin FROM slot UNION ALL SELECT uid, qid, id, NULL, rank, NULL FROM fts UNION ALL SELECT a.uid, a.qid, p.id, NULL, NULL, 1 FROM asked a JOIN pins p ON a.uid = p.uid) GROUP BY 1, 2, 3),
+r0 AS (SELECT i.qid, i.slot, i.fts, f.* FROM ids i JOIN facts f ON f.uid = i.uid AND f.id = i.id WHERE {_LIVE}),
+r1 AS (SELECT * FROM r0 QUALIFY row_number() OVER (PARTITION BY uid, qid, subject, predicate ORDER BY pinned DESC, valid_from DESC, importance DESC, id) = 1),
+r2 AS (SELECT *, least(1, (coalesce(1::DOUBLE / (slot + 60), 0) + coalesce(1::DOUBLE / (fts + 60), 0)) * 61) * (0.75::DOUBLE + 0.25::DOUBLE * (0.5::DOUBLE * importance + 0.5::DOUBLE * persona_attention))
+ * (0.6::DOUBLE + 0.4::DOUBLE / (1 + CAST(greatest(0, date_diff('day', CAST(valid_from AS DATE), DATE '{D.NOW}')) AS DOUBLE) / 180)) AS raw FROM r1),
+r3 AS (SELECT *, CASE WHEN pinned THEN 1::DOUBLE ELSE round(raw, 4) END AS score, CASE WHEN pinned THEN 'pin' WHEN slot IS NOT NULL THEN 'slot' ELSE 'fts' END AS match FROM r2 WHERE pinned OR raw >= 0.35),
+r4 AS (SELECT *, {_CARD} AS card, row_number() OVER w AS n, sum({_TOKENS.format(x=_CARD)}) OVER (PARTITION BY uid, qid ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS spent FROM r3 WINDOW w AS (PARTITION BY uid, qid ORDER BY {order})),
+rc AS (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY uid, qid ORDER BY {order}) AS place FROM r4 WHERE n = 1 OR spent <= {budget} QUALIFY place <= 4)"""
+
+
+@query(f"WITH {D.FACTS}, {_ASKED}, {_SLOT}, {_recall_sql(300)} SELECT uid, qid, id, score, match, CAST(place AS INTEGER) AS place FROM rc")
 def i13_recall(spark: S, sf: P) -> DataFrame:
-    """Slot, full text and pins of every user's queries; brute force is in the tests."""
+    """Slot, full text and pins of every user's queries."""
     return RE.recall(D.facts(spark, sf), _asked(spark, sf)).select("uid", "qid", "id", "score", "match", "place")
 
 
-@query()
+_CONTEXT = f"""WITH {D.FACTS}, {_ASKED}, {_SLOT}, {_recall_sql(40)}, {_HOT}, {_TRIGGER},
+cx AS (SELECT a.uid, a.qid, h.id, {_CARD} AS card, 'hot' AS source, h.place FROM asked a JOIN hot h ON a.uid = h.uid
+ UNION ALL SELECT r.uid, r.qid, r.id, r.card, 'cold', r.place FROM rc r JOIN trig t ON r.uid = t.uid AND r.qid = t.qid AND t.triggered WHERE NOT EXISTS (SELECT 1 FROM hot WHERE hot.uid = r.uid AND hot.id = r.id))"""
+
+
+@query(_CONTEXT + " SELECT uid, qid, id, card, source, CAST(row_number() OVER (PARTITION BY uid, qid ORDER BY source DESC, place) AS INTEGER) AS place FROM cx")
 def i14_context(spark: S, sf: P) -> DataFrame:
     return RE.context(D.facts(spark, sf), _asked(spark, sf), _SMALL).select("uid", "qid", "id", "card", "source", "place")
 
 
+@query(_CONTEXT + f" SELECT uid, qid, count(*) FILTER (source = 'hot') AS hot, count(*) FILTER (source = 'cold') AS cold, CAST(sum({_TOKENS.format(x='card')}) AS BIGINT) AS used_tokens FROM cx GROUP BY uid, qid")
+def a10_used_tokens(spark: S, sf: P) -> DataFrame:
+    return RE.context_totals(RE.context(D.facts(spark, sf), _asked(spark, sf), _SMALL))
+
+
+@query(_CONTEXT + " SELECT t.uid, t.qid, CASE WHEN NOT triggered THEN 'skipped' WHEN count(rc.id) = 0 THEN 'no_hit' ELSE 'ok' END AS reason, count(rc.id) AS hits FROM trig t LEFT JOIN rc ON rc.uid = t.uid AND rc.qid = t.qid GROUP BY t.uid, t.qid, triggered")
+def i15_outcomes(spark: S, sf: P) -> DataFrame:
+    f, q = D.facts(spark, sf), _asked(spark, sf)
+    return RE.outcomes(q, RE.cold_triggered(q, RE.hot_facts(f, _SMALL), f), RE.recall(f, q, _SMALL)).select("uid", "qid", "reason", "hits")
+
+
+@query("SELECT event_type, share, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) e, (SELECT unnest([0.5::DOUBLE, 0.95::DOUBLE, 1::DOUBLE]) AS share) WHERE r = least(n - 1, floor(n * share)) + 1")
+def a11_percentiles(spark: S, sf: P) -> DataFrame:
+    return RE.nearest_rank(D.read(spark, sf, "events"), ["event_type"], "value", (0.5, 0.95, 1.0))
+
+
 @query(f"WITH {D.PROSE}, {D.SUMMARIES} SELECT uid, id, day, text FROM summaries")
 def w7_summary_ids(spark: S, sf: P) -> DataFrame:
     return D.summaries(spark, sf).select("uid", "id", "day", "text")
@@ -416,6 +619,22 @@ def t9_hot_topics(spark: S, sf: P) -> DataFrame:
     return RE.hot_topics(D.topics(spark, sf)).select("uid", "id", "text", "used")
 
 
+@query(_LISTED + " SELECT uid, string_agg('## ' || day || ' ' || id || chr(10) || text, chr(10) ORDER BY rank DESC) AS view FROM ls WHERE rank <= 500 GROUP BY uid")
+def w11_render_summaries(spark: S, sf: P) -> DataFrame:
+    return FA.render_summaries(D.summaries(spark, sf))
+
+
+@query(f"WITH {D.PROSE}, {D.TOPICS_USED}, allt AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY due_day = '', due_day, day DESC, id) AS rank FROM open_topics) SELECT uid, string_agg('- ' || day || ' ' || text || ' (' || id || ', ' || kind || CASE WHEN used THEN ', used' ELSE '' END || CASE WHEN due_day <> '' THEN ', by ' || due_day ELSE '' END || ')', chr(10) ORDER BY rank) AS view FROM allt WHERE rank <= 200 GROUP BY uid")
+def w11_render_topics(spark: S, sf: P) -> DataFrame:
+    return FA.render_topics(D.topics(spark, sf))
+
+
+@query(_OPEN + " SELECT o.uid, o.id, o.used OR coalesce(lt.rank <= 2, false) AS used FROM open_topics o LEFT JOIN lt ON lt.uid = o.uid AND lt.id = o.id")
+def w13_use_topics(spark: S, sf: P) -> DataFrame:
+    t = D.topics(spark, sf)
+    return FA.use_topics(t, FA.list_topics(t, 2)).select("uid", "id", "used")
+
+
 @query(f"WITH {D.PROSE}, {D.TOPICS_USED} SELECT uid, count(*) AS total, count(*) FILTER (NOT used) AS open FROM open_topics GROUP BY uid")
 def a2_topic_stats(spark: S, sf: P) -> DataFrame:
     return FA.topic_stats(D.topics(spark, sf))
@@ -523,19 +742,44 @@ def v2_verify(spark: S, sf: P) -> DataFrame:
     return X.verify(cand, turns).select(F.col("seq").alias("doc_id"), "verdict")
 
 
+@query(
+    """WITH c AS (SELECT event_id, event_type, value, ts, 'k' || json_extract_string(props, '$.k') AS o, CAST(event_id % 4 AS INTEGER) AS m FROM events WHERE event_id % 6 > 0)
+SELECT event_id AS seq, CASE WHEN m = 1 OR event_id % 7 = 0 THEN '她' ELSE '他' END AS subject, event_type AS predicate, o AS object, list_extract(['fact', 'promise', 'commitment', 'fact'], m + 1) AS kind, least(1::DOUBLE, greatest(0::DOUBLE, value / 100)) AS confidence, 0.5::DOUBLE AS importance,
+strftime(ts, '%Y-%m-%d') AS valid_from, CASE WHEN event_id % 6 = 1 THEN 'pending' ELSE 'active' END AS status, CASE WHEN event_id % 2 = 0 THEN strftime(CAST(ts AS DATE) + 1, '%Y-%m-%d') END AS due FROM c"""
+)
+def v3_clean(spark: S, sf: P) -> DataFrame:
+    kind = F.element_at(F.array(*(F.lit(x) for x in (" FACT", "promise ", "Commitment", "odd"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = D.read(spark, sf, "events").select(
+        F.lit("u").alias("uid"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 7 == 0, " 她").otherwise("someone").alias("subject"), F.concat(F.lit(" "), "event_type").alias("predicate"),
+        F.concat(F.lit("k"), F.get_json_object("props", "$.k"), F.lit(" ")).alias("object"), F.when(F.col("event_id") % 2 == 0, "明天").otherwise("null").alias("due"), F.lit("T-1").alias("turn_ref"), F.lit("q").alias("quote"),
+        (F.col("value") / 100).cast("string").alias("confidence"), F.lit("many").alias("importance"), F.lit(None).cast("string").alias("persona_attention"), F.date_format("ts", "yyyy-MM-dd").alias("turn_day"),
+        F.when(F.col("event_id") % 6 == 0, "drop").when(F.col("event_id") % 6 == 1, "pending").otherwise("active").alias("verdict"),
+    )
+    return X.clean(rows).select("seq", "subject", "predicate", "object", "kind", "confidence", "importance", "valid_from", "status", "due")
+
+
 @query(f"WITH {D.FACTS} SELECT uid, id, greatest(0.05::DOUBLE, round(importance * 0.7::DOUBLE, 3)) AS importance FROM facts WHERE status = 'active' AND valid_to IS NULL AND NOT pinned AND kind = 'fact' AND CAST(valid_from AS DATE) < DATE '2024-04-15' - 90 AND greatest(0.05::DOUBLE, round(importance * 0.7::DOUBLE, 3)) < importance")
 def c2_decay_ops(spark: S, sf: P) -> DataFrame:
     return C.decay_ops(D.facts(spark, sf).withColumn("last_used_at", F.lit(None).cast("string")), "2024-04-15")
 
 
-@query()
+_DUP = f"""WITH RECURSIVE {D.FACTS}, it AS (SELECT uid, predicate, id, object, confidence, {_tok('object')} AS t, row_number() OVER (PARTITION BY uid, predicate ORDER BY pinned DESC, importance DESC, persona_attention DESC, id) AS n FROM facts WHERE status = 'active' AND valid_to IS NULL),
+fold(uid, predicate, n, leaders, id, leader) AS (SELECT uid, predicate, n, [{{'id': id, 't': list_distinct(t)}}], id, id FROM it WHERE n = 1 UNION ALL
+ SELECT uid, predicate, n, CASE WHEN len(alike) = 0 THEN list_append(leaders, {{'id': id, 't': x}}) ELSE leaders END, id, CASE WHEN len(alike) = 0 THEN id ELSE alike[1].id END FROM (
+ SELECT i.uid, i.predicate, i.n, f.leaders, i.id, list_distinct(i.t) AS x, list_filter(f.leaders, lambda y: CAST(len(list_intersect(y.t, list_distinct(i.t))) AS DOUBLE) / least(len(y.t), len(list_distinct(i.t))) >= 0.8
+  AND CAST(len(list_intersect(y.t, list_distinct(i.t))) AS DOUBLE) / len(list_distinct(list_concat(y.t, list_distinct(i.t)))) >= 0.8::DOUBLE * 0.6::DOUBLE) AS alike FROM fold f JOIN it i ON i.uid = f.uid AND i.predicate = f.predicate AND i.n = f.n + 1)),
+du AS (SELECT uid, leader, id FROM fold QUALIFY count(*) OVER (PARTITION BY uid, leader) > 1)"""
+
+
+@query(_DUP + " SELECT uid, leader, id FROM du")
 def a7_find_duplicates(spark: S, sf: P) -> DataFrame:
-    """A fold in list order; brute force is in the tests."""
+    """A fold in list order."""
     return C.duplicates(D.facts(spark, sf))
 
 
-@query()
+@query(_DUP + ", best AS (SELECT du.uid, du.id, first_value(du.id) OVER (PARTITION BY du.uid, du.leader ORDER BY length(f.object) DESC, f.confidence DESC, du.id) AS merged_into FROM du JOIN facts f ON f.uid = du.uid AND f.id = du.id) SELECT uid, id, merged_into FROM best WHERE id <> merged_into")
 def c1_merge_ops(spark: S, sf: P) -> DataFrame:
+    """The objects have no signs, so their content is their length."""
     return C.merge_ops(D.facts(spark, sf))
 
 
@@ -556,9 +800,10 @@ def j6_orphans(spark: S, sf: P) -> DataFrame:
     return V.orphans(D.vectors(spark, sf), D.facts(spark, sf)).select("uid", "vec_id")
 
 
-@query(f"WITH {D.FACTS}, f AS (SELECT uid, count(*) AS n FROM facts WHERE status IN ('active', 'pending') GROUP BY uid), v AS (SELECT CAST(label AS VARCHAR) AS uid, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY 1) SELECT coalesce(f.uid, v.uid) AS uid, coalesce(f.n, 0) AS facts, coalesce(v.n, 0) AS vectors, CAST(coalesce(dim, 0) AS INTEGER) AS dim, greatest(0, coalesce(f.n, 0) - coalesce(v.n, 0)) AS stale FROM f FULL JOIN v ON f.uid = v.uid")
+@query(f"WITH {D.FACTS}, f AS (SELECT uid, count(*) AS n FROM facts WHERE status IN ('active', 'pending') GROUP BY uid), v AS (SELECT CAST(label AS VARCHAR) AS uid, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY 1) SELECT coalesce(f.uid, v.uid) AS uid, coalesce(f.n, 0) AS facts, coalesce(v.n, 0) AS vectors, CAST(coalesce(dim, 0) AS INTEGER) AS dim, greatest(0, coalesce(f.n, 0) - coalesce(v.n, 0)) AS stale, CASE WHEN v.n > 0 THEN 'm' ELSE '' END AS models, coalesce(v.n, 0) > 0 AS model_mismatch FROM f FULL JOIN v ON f.uid = v.uid")
 def a3_vector_stats(spark: S, sf: P) -> DataFrame:
-    return V.stats(D.facts(spark, sf), D.vectors(spark, sf)).select("uid", "facts", "vectors", "dim", "stale")
+    found = V.stats(D.facts(spark, sf), D.vectors(spark, sf), "another")
+    return found.select("uid", "facts", "vectors", "dim", "stale", F.array_join("models", ",").alias("models"), "model_mismatch")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +61,18 @@ def day_text(turns: DataFrame) -> DataFrame:
 
 
 def move_old_months(turns: DataFrame, plan: DataFrame, archive: str) -> DataFrame:
-    """Writes the months of ``plan(uid, month)`` to the archive (zstd) and returns the turns that stay."""
+    """Writes the months of ``plan(uid, month)`` to the archive (zstd) and returns the turns that stay.
+
+    What the archive holds already isn't written again, so the move may be repeated; another version of a turn is kept beside it.
+    """
     rows = turns.withColumn("month", F.substring("day", 1, 7))
     old = rows.join(plan.select("uid", "month"), ["uid", "month"], "left_semi")
+    try:
+        held = turns.sparkSession.read.parquet(archive).withColumn("day", F.col("day").cast("string"))
+        same = lambda df: F.sha2(F.to_json(F.struct(*(df[c] for c in turns.columns))), 256)
+        held = held.select("uid", "day", same(held).alias("_key")).distinct()
+        old = old.withColumn("_key", same(old)).join(held, ["uid", "day", "_key"], "left_anti").drop("_key").select("month", *turns.columns)
+    except AnalysisException:
+        pass  # there is no archive yet
     old.drop("month").write.mode("append").option("compression", "zstd").partitionBy("day").parquet(archive)
     return rows.join(plan.select("uid", "month"), ["uid", "month"], "left_anti").drop("month")
