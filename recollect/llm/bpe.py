@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .messages import MESSAGE, bucket_of, pack_table, rows, split, trim, unpack_table
+from .shared import small_batches
 
 ROLL, CUT = 16, 256
 CACHE = 300_000
+ROWS, BYTES = 10_000, 48 << 20
 WIDEST = 64
 _BASE = 0x2545F4914F6CDD1D
 OUT = "id long, ids array<int>, decoded string"
@@ -147,13 +149,27 @@ def chunks(text: str, enc: Encoder) -> list[str]:
     return out
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of some ``ROWS`` rows or ``BYTES``, so that more chunks meet within a task."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        size += batch.nbytes
+        if n >= ROWS or size >= BYTES:
+            yield pa.Table.from_batches(held)
+            held, n, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _SIGNED = lambda x: x - (1 << 64) if x >> 63 else x
 
 
 def _cut_texts(path: str, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in _together(batches):
             number: dict[str, int] = {}
             ref, ids, keys, null, pos, total = [], [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -298,6 +314,7 @@ digest_and_ids.types = [*digest.types, pa.list_(pa.int32())]
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", finish=whole, out: str = OUT) -> DataFrame:
     """``id, ids, decoded`` for each row; ``finish`` may derive other columns ``out`` from the ids within the task."""
+    small_batches(docs.sparkSession)
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sent = docs.mapInArrow(_cut_texts(path, count), MESSAGE).repartition(count, "bucket")

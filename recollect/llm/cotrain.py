@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import LOWER, U, blocks
 
 LABELLED, POOL, ROUNDS, SURE, WORDS = 8000, 8000, 4, 0.97, 400
@@ -287,6 +288,7 @@ def _score(model):
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of each row of ``docs(doc_id, text, lang, source, n_chars)``, learned from ``labels(doc_id, quality, toxic)``."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     labels = labels.select(F.col("doc_id").cast("long").alias("id"), *(F.col(t).cast("int").alias(t) for t in TARGETS))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))

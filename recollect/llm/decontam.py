@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 from .words import U, blocks, mix, windows
 
 RUN, APART = 3, (3, 4, 5, 6, 7, 8, 9, 12)
@@ -209,6 +209,7 @@ def _parts(benchmark: DataFrame):
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, that overlap no item. Nothing is shuffled."""
     benchmark = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    small_batches(docs.sparkSession)
     sc, column = docs.sparkSession.sparkContext, docs.columns.index(text_col)
     for i, p in enumerate(_parts(benchmark)):
         docs = (materialize(docs, "clean") if i else docs).mapInArrow(_drop(sc.broadcast(p), column), docs.schema)
@@ -217,6 +218,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id, n_tokens, items, overlaps`` for each row of ``docs``: benchmark items it overlaps, and where (in tokens)."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     benchmark = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))

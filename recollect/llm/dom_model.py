@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul video audio canvas xmp".split()
 )
@@ -436,6 +438,7 @@ def _extract(model):
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``text, n_chars`` of each row, after the columns ``keep``."""
+    small_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(_fitted())
     rows = pages.select(*(F.col(c).alias(f"_{c}" if c in ("text", "n_chars") else c) for c in keep), F.col(html_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string, n_chars long"

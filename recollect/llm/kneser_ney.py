@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .langid import remainder
 from .messages import MESSAGE, pack, rows, split, trim, unpack
-from .shared import local_path, shared_dir
+from .shared import local_path, shared_dir, small_batches
 from .words import LOWER, U, blocks, mix
 
 BEGIN, END = U(0x1B873593CC9E2D51), U(0xE6546B6485EBCA6B)
@@ -357,6 +357,7 @@ def _tops(order: int):
 def train(docs: DataFrame, count: int, order: int = 2) -> dict:
     """Counts the ``text`` of all rows and writes the arrays; what it returns is small."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = f"{local_path(shared_dir(spark))}/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
     texts = docs.select("text")

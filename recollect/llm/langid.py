@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .messages import trim
+from .shared import small_batches
 from .words import blocks
 
 SWITCH = 6.0
@@ -264,6 +265,7 @@ def _known(model, column: int):
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
     """A broadcast model from the rows whose language is known. It holds two MB for each language."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     schema = "lang string, body binary, part int"
@@ -273,12 +275,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
 
 def label(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """``id, lang_pred, score, n_spans`` for each row, on demand with the spans."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_label(model, spans), SPAN_OUT if spans else OUT)
 
 
 def known(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """The rows, as they are, whose language isn't ``und``."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_known(model, docs.columns.index(text_col)), docs.schema)
 
 

@@ -16,6 +16,7 @@ from .words import U, mix
 
 #: Bits of a filter of ids, whatever their number: eight MB. Beyond some ten million ids it lets more pass than is wanted, never less.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 4
+BATCH = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python, and come back, in batches of ``BATCH`` at most: documents are long, and every stage between holds some batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def local_path(url: str) -> str:
     return url[7:] if url.startswith("file://") else url[5:] if url.startswith("file:") else url
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .messages import MESSAGE, bucket_of, pack_places, rows, send_texts, split, trim, unpack_places, unpack_table
+from .shared import small_batches
 from .words import U, blocks, inside, windows
 
 WINDOW, BLOCK = 50, 25
@@ -245,6 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``map_out`` turns a table of the first four into one of the columns ``out`` before it leaves the task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
     schema = to_arrow_schema(docs.schema)
