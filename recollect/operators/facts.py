@@ -145,8 +145,9 @@ def topic_ops(rows: DataFrame) -> DataFrame:
     """``uid, day, text, kind, due_day`` to TOPIC rows with content ids; an unknown kind is ``share``."""
     text = F.trim("text")
     kind = F.when(F.col("kind").isin(*TOPIC_KINDS), F.col("kind")).otherwise("share")
-    named = rows.where(text != "").select("uid", T.content_id("TP", F.col("day"), text, 10).alias("id"), "day", text.alias("text"), kind.alias("kind"), F.substring(F.coalesce("due_day", F.lit("")), 1, 10).alias("due_day"))
-    return named.groupBy("uid", "id", "day", "text").agg(F.min("kind").alias("kind"), F.min("due_day").alias("due_day"))
+    ref = F.coalesce("ref", F.lit("")) if "ref" in rows.columns else F.lit("")
+    named = rows.where(text != "").select("uid", T.content_id("TP", F.col("day"), text, 10).alias("id"), "day", text.alias("text"), kind.alias("kind"), F.substring(F.coalesce("due_day", F.lit("")), 1, 10).alias("due_day"), ref.alias("ref"))
+    return named.groupBy("uid", "id", "day", "text").agg(*(F.min(c).alias(c) for c in ("kind", "due_day", "ref")))
 
 
 def validate(fields: dict) -> dict:
