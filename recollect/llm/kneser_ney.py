@@ -1,18 +1,24 @@
 """Language-model scores by interpolated modified Kneser-Ney (Chen and Goodman, 1999), of any order from 2 on.
 
 Counting: each task adds up its texts' n-grams of the highest order; they meet packed in the bucket of their
-context (the words before), which sums them and writes sorted arrays of 64-bit keys with counts, and the statistics
+context (the words before), which sums them and writes sorted hash arrays with counts, and the statistics
 of each context. Its distinct n-grams go on without their first word to the bucket of the shorter context, as one
 more word seen before each; so down to single words. An n-gram that begins with the text's beginning has no longer
 one and keeps its plain count, as usual. The n-grams of frequent contexts are spread over several buckets each.
-Files are written under another name and then renamed, so a task that runs twice does no harm.
+A word is a 56-bit hash, or a small number if it is one of the ``FREQUENT`` that a sample of the rows knows; that only
+makes messages small. Files are written under another name and then renamed, so a task that runs twice does no harm.
+
+Arrays: keys are 64-bit hashes, sorted. Their leading bits, about as many as the number of keys over ``RUN``, are told by
+offsets, the 24 bits after them are stored; so an entry takes three bytes and a part of a fourth, and another n-gram is
+taken for it with a chance of ``RUN`` in 2^24. Values are one byte, a number in the file's list of frequent ones, or
+else stand whole at the file's end.
 
 Scoring: workers map the arrays into memory and look sorted keys up. The folder is the shared one; the
-workers must see it as a file system.
+workers must see it as a file system. A file or a count that is missing is an error.
 
 Defined results: null text has the end token only; rows without an id are learned from; with nothing
-learned every token has probability 1. Repeated rows are kept, and counted as often. Columns other than
-id and text are not read.
+learned every token has probability 1. Repeated rows are kept, and counted as often. Texts are read whole, whatever their
+length. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,16 +40,42 @@ from .words import LOWER, U, blocks, mix
 
 BEGIN, END = U(0x1B873593CC9E2D51), U(0xE6546B6485EBCA6B)
 HOT, SAMPLED = 8, 64
+#: Numbered words; 0 stands before a text's beginning, 1 is the beginning, 2 the end.
+FREQUENT, RUN = 65_000, 16
 FLUSH, MERGE, TOKENS = 2_500_000, 4_000_000, 1_000_000
 MASK = U((1 << 56) - 1)
 OUT = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _OUT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def grams(w, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each token of a block, the end tokens included: the words before, farthest first and 0 before the beginning, and the word; the text. Words are 56-bit hashes."""
-    h, n = w.hashes(LOWER) & MASK, w.hi - w.lo
-    word = np.full(len(h) + n, END & MASK, np.uint64)
+class Codes:
+    """Words' hashes to numbers for frequent ones."""
+
+    def __init__(self, frequent: np.ndarray):
+        ends = np.array([BEGIN & MASK, END & MASK], np.uint64)
+        rest = np.setdiff1d(frequent, ends)
+        self.hashes = np.concatenate([ends, rest])
+        order = np.argsort(self.hashes)
+        self.sorted, self.numbers = self.hashes[order], (order + 1).astype(np.uint64)
+        self.start = np.searchsorted(self.sorted, np.arange((1 << 17) + 1, dtype=np.uint64) << U(39)).astype(np.int32)
+        self.most = int(np.diff(self.start).max())
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Others get a bit above all numbers."""
+        out = h | U(1 << 60)
+        at = self.start[(h >> U(39)).astype(np.int64)]
+        last = len(self.sorted) - 1
+        for i in range(self.most):
+            k = np.minimum(at + i, last)
+            hit = self.sorted[k] == h
+            out[hit] = self.numbers[k[hit]]
+        return out
+
+
+def grams(w, order: int, codes: Codes) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each token of a block, the end tokens included: the words before, farthest first and 0 before the beginning, and the word; the text. Words are codes."""
+    h, n = codes.of(w.hashes(LOWER) & MASK), w.hi - w.lo
+    word = np.full(len(h) + n, 2, np.uint64)
     word[np.arange(len(h)) + w.doc_of()] = h
     size = np.diff(w.docs) + 1
     at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
@@ -51,7 +83,7 @@ def grams(w, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     for k in range(1, order):
         before = np.zeros_like(word)
         before[k:] = word[:-k]
-        before[at == k - 1] = BEGIN & MASK
+        before[at == k - 1] = 1
         before[at < k - 1] = 0
         out.insert(0, before)
     return out, np.repeat(np.arange(n), size)
@@ -91,13 +123,32 @@ class Buckets:
 
 
 def _sum(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sums by the keys, in order."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
+    """Sums by the keys; those made of numbers alone first, each part in order."""
+    small = np.ones(len(keys[0]), bool)
+    for k in keys:
+        small &= k < U(1 << 16)
+    if len(keys) > 4:
+        small[:] = False
+    parts = []
+    if small.any():
+        one = keys[0][small]
+        for k in keys[1:]:
+            one = (one << U(16)) | k[small]
+        order = np.argsort(one)
+        one = one[order]
+        at = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+        one = one[at]
+        found = [(one >> U(16 * i)) & U(0xFFFF) for i in range(len(keys) - 1, -1, -1)]
+        parts.append((found, [np.add.reduceat(v[small][order], at) for v in values]))
+    if not small.all() or not len(small):
+        rest = [k[~small] for k in keys]
+        order = np.lexsort(rest[::-1])
+        rest = [k[order] for k in rest]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in rest], axis=0)
+        at = np.flatnonzero(new)
+        parts.append(([k[at] for k in rest], [np.add.reduceat(v[~small][order], at) if len(at) else v[~small] for v in values]))
+    return [np.concatenate(x) for x in zip(*(k for k, _ in parts))], [np.concatenate(x) for x in zip(*(v for _, v in parts))]
 
 
 def _low_bytes(x: np.ndarray) -> np.ndarray:
@@ -111,21 +162,35 @@ def _from_bytes(x: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _packed(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Numbers and values in columns, then the hashes of the other words in their order."""
+    codes = [np.minimum(k, U(0xFFFF)).astype(np.uint16) for k in keys]
+    body = pack(*codes, *(v.astype(np.uint32) for v in values))
+    others = np.concatenate([k[c == 0xFFFF] for k, c in zip(keys, codes)])
+    return len(body).to_bytes(4, "little") + body + pack(_low_bytes(others & MASK))
+
+
 def _messages(to: Buckets, bucket: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
-    """Sorted n-grams with values, packed for their buckets."""
-    first, *more = keys
-    return rows([(b, pack(np.diff(first[i], prepend=U(0)), *(_low_bytes(k[i]) for k in more), *(v[i] for v in values))) for b, i in split(bucket, to.count)])
+    """N-grams with values, packed for their buckets."""
+    return rows([(b, _packed([k[i] for k in keys], [v[i] for v in values])) for b, i in split(bucket, to.count)])
 
 
 def _reader(order: int, values: int):
     def read(body):
-        first, *more = unpack(body, "u8", *["V7"] * (order - 1), *["i8"] * values)
-        return [np.cumsum(first), *map(_from_bytes, more[: order - 1])], more[order - 1 :]
+        size = int.from_bytes(body[:4], "little")
+        columns = unpack(body[4 : 4 + size], *["u2"] * order, *["u4"] * values)
+        others, at, keys = _from_bytes(unpack(body[4 + size :], "V7")[0]) | U(1 << 60), 0, []
+        for c in columns[:order]:
+            k, far = c.astype(np.uint64), np.flatnonzero(c == 0xFFFF)
+            k[far] = others[at : at + len(far)]
+            at += len(far)
+            keys.append(k)
+        return keys, [v.astype(np.int64) for v in columns[order:]]
 
     return read
 
 
-def _count(to: Buckets, order: int):
+def _count(to: Buckets, order: int, codes: Codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -136,7 +201,7 @@ def _count(to: Buckets, order: int):
 
         for batch in batches:
             for w in blocks(batch.column(0)):
-                x, _ = grams(w, order)
+                x, _ = grams(w, order, codes)
                 held.append(x)
                 n += len(x[0])
                 if n * order > 2 * FLUSH:
@@ -156,14 +221,78 @@ def _save(path: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
-def _save_counts(path: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """Sorted keys and rows of values; a byte each, and whole where one doesn't fit."""
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    _save(f"{path}.npy", keys)
-    _save(f"{path}-n.npy", np.minimum(values, 255).astype(np.uint8))
-    big = (values >= 255).any(axis=1)
-    _save(f"{path}-big.npy", np.concatenate([keys[big][:, None], values[big].astype(np.uint64)], axis=1))
+class Table:
+    """A file of sorted keys with rows of values, mapped into memory."""
+
+    @staticmethod
+    def write(path: str, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        keys, values = keys[order], np.ascontiguousarray(values[order], np.int64)
+        n, width = values.shape
+        bits = max(0, int(np.ceil(np.log2(max(1, n / RUN)))))
+        top = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(n, np.int64)
+        offsets = np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32)
+        rest = ((keys << U(bits)) >> U(40)).astype(np.uint32)
+        kinds, number, often = np.unique(values.view(f"V{8 * width}").ravel(), return_inverse=True, return_counts=True)
+        first = np.argsort(-often, kind="stable")[:255]
+        code = np.full(len(kinds), 255, np.uint8)
+        code[first] = np.arange(len(first))
+        code = code[number] if n else np.empty(0, np.uint8)
+        whole = np.flatnonzero(code == 255)
+        head = np.array([n, width, bits, len(first), len(whole)], np.int64)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            for x in (head, kinds[first], whole.astype(np.int64), values[whole], offsets, (rest >> 8).astype(np.uint16), (rest & 255).astype(np.uint8), code):
+                f.write(np.ascontiguousarray(x).tobytes())
+        os.replace(part, path)
+
+    def __init__(self, path: str):
+        raw = np.memmap(path, np.uint8, "r")
+        self.n, width, self.bits, kinds, whole = np.frombuffer(raw[:40], np.int64).tolist()
+        at = 40
+
+        def take(count, dtype):
+            nonlocal at
+            size = count * np.dtype(dtype).itemsize
+            out = raw[at : at + size].view(dtype)
+            at += size
+            return out
+
+        self.values = np.array(take(kinds * width, np.int64)).reshape(-1, width)
+        self.whole_at, self.whole = take(whole, np.int64), take(whole * width, np.int64).reshape(-1, width)
+        self.offsets, self.high, self.low, self.code = take((1 << self.bits) + 1, np.uint32), take(self.n, np.uint16), take(self.n, np.uint8), take(self.n, np.uint8)
+        self.width = width
+
+    def find(self, k: np.ndarray) -> np.ndarray:
+        """Values of keys, best sorted; 0 for those that aren't there."""
+        out = np.zeros((len(k), self.width), np.int64)
+        if not self.n:
+            return out
+        top = (k >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(k), np.int64)
+        lo, end = self.offsets[top].astype(np.int64), self.offsets[top + 1].astype(np.int64)
+        rest = ((k << U(self.bits)) >> U(40)).astype(np.uint32)
+        high, low = (rest >> 8).astype(np.uint16), (rest & 255).astype(np.uint8)
+        hi = end.copy()
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+            mid = (lo + hi) >> 1
+            less = (mid < hi) & (self.high[np.minimum(mid, self.n - 1)] < high)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(less, hi, mid)
+        live = np.arange(len(k))
+        while len(live):
+            live = live[lo[live] < end[live]]
+            at = lo[live]
+            same = self.high[at] == high[live]
+            hit = same & (self.low[at] == low[live])
+            found, place = live[hit], at[hit]
+            code = self.code[place]
+            out[found] = self.values[np.minimum(code, len(self.values) - 1)]
+            far = code == 255
+            if far.any():
+                out[found[far]] = self.whole[np.searchsorted(self.whole_at, place[far])]
+            live = live[same & ~hit]
+            lo[live] += 1
+        return out
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], read):
@@ -197,16 +326,16 @@ def _write_grams(to: Buckets, lower: Buckets | None, folder: str, order: int, va
         for b, (keys, counts) in _by_bucket(batches, _reader(order, values)):
             real = keys[0] != 0
             before, c = context([k[real] for k in keys[:-1]]), counts[0][real]
-            _save_counts(f"{folder}/grams{order}-{b}", key(before, keys[-1][real]), c[:, None])
-            new = np.ones(len(c), bool)
-            new[1:] = before[1:] != before[:-1]
-            at = np.flatnonzero(new)
-            parts = [c, *((c == i).astype(np.int64) for i in (1, 2)), (c > 2).astype(np.int64)]
+            Table.write(f"{folder}/grams{order}-{b}", key(before, keys[-1][real]), c[:, None])
+            by = np.argsort(before)
+            own, mine = before[by], c[by]
+            at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+            parts = [mine, *((mine == i).astype(np.int64) for i in (1, 2)), (mine > 2).astype(np.int64)]
             stats = np.stack([np.add.reduceat(x, at) if len(at) else x for x in parts], axis=1)
-            _save_counts(f"{folder}/before{order}-{b}", before[at], stats)
-            hot = to.find_hot(before[at])[0]
-            _save(f"{folder}/hot{order}-{b}.npy", np.concatenate([before[at][hot][:, None].view(np.int64), stats[hot]], axis=1))
-            _save(f"{folder}/sums{order}-{b}.npy", np.array([len(c), *((c == i).sum() for i in (1, 2, 3, 4))], np.int64))
+            Table.write(f"{folder}/before{order}-{b}", own[at], stats)
+            hot = to.find_hot(own[at])[0]
+            _save(f"{folder}/hot{order}-{b}.npy", np.concatenate([own[at][hot][:, None].view(np.int64), stats[hot]], axis=1))
+            _save(f"{folder}/sums{order}-{b}.npy", np.array([counts[-1].sum(), len(c), *((c == i).sum() for i in (1, 2, 3, 4))], np.int64))
             # as many words before as n-grams, or the plain count at a text's beginning; with it the plain count
             keys, sums = _sum(keys[1:], [np.where(real, 1, counts[0]), counts[-1]])
             bucket = lower.of_pair(context(keys[:-1]), keys[-1]) if lower else to.of_word(keys[0])
@@ -219,7 +348,7 @@ def _write_grams(to: Buckets, lower: Buckets | None, folder: str, order: int, va
 def _write_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, ((w,), (types, count)) in _by_bucket(batches, _reader(1, 2)):
-            _save_counts(f"{folder}/words-{b}", w, np.stack([types, count], axis=1))
+            Table.write(f"{folder}/words-{b}", mix(w, 64), np.stack([types, count], axis=1))
             sums = [len(w), types.sum(), count.sum(), *((types == i).sum() for i in (1, 2, 3, 4))]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([[int(x) for x in sums]], pa.list_(pa.int64()))], names=["bucket", "sums"])
             trim()
@@ -239,39 +368,27 @@ class Model:
 
     def __init__(self, spec: dict):
         self.spec, self.to = spec, {n: Buckets(spec["count"], *x) for n, x in spec["hot"].items()}
-        self.files: dict[str, np.ndarray | None] = {}
-
-    def _open(self, name: str) -> np.ndarray | None:
-        if name not in self.files:
-            path = f"{self.spec['folder']}/{name}.npy"
-            self.files[name] = np.load(path, mmap_mode="r" if os.path.getsize(path) > 4096 else None) if os.path.exists(path) else None
-        return self.files[name]
+        self.codes, self.files = Codes(spec["frequent"]), {}
 
     def _look(self, kind: str, bucket: np.ndarray, k: np.ndarray, width: int) -> np.ndarray:
         """Values of keys, bucket by bucket, 0 for those that aren't there."""
         out = np.zeros((len(k), width), np.int64)
-        order = np.lexsort((k, bucket))
+        order = np.argsort((bucket.astype(np.uint64) << U(40)) | (k >> U(24)))
         cuts = np.searchsorted(bucket[order], np.arange(self.spec["count"] + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            keys = self._open(f"{kind}-{b}")
-            if keys is None or not len(keys):
+            if b not in self.spec["buckets"][kind]:
                 continue
+            if (kind, b) not in self.files:
+                self.files[kind, b] = Table(f"{self.spec['folder']}/{kind}-{b}")
             i = order[cuts[b] : cuts[b + 1]]
-            at = np.minimum(np.searchsorted(keys, k[i]), len(keys) - 1)
-            hit = keys[at] == k[i]
-            i, at = i[hit], at[hit]
-            out[i] = self._open(f"{kind}-{b}-n")[at]
-            big = self._open(f"{kind}-{b}-big")
-            if len(big):
-                over = i[(out[i] == 255).any(axis=1)]
-                out[over] = big[np.searchsorted(big[:, 0], k[over]), 1:]
+            out[i] = self.files[kind, b].find(k[i])
         return out
 
     def score(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token, its words before and itself: its count, log10 of its base and model probability."""
         s, to = self.spec, self.to
         single, index = np.unique(words[-1], return_inverse=True)
-        types, count = self._look("words", to[2].of_word(single), single, 2)[index].T
+        types, count = self._look("words", to[2].of_word(single), mix(single, 64), 2)[index].T
         base = np.log10((count + 1) / (s["tokens"] + s["words"] + 1))
         d = np.array([0.0, *s["d"][1]])
         p = (types - d[np.minimum(types, 3)]) / max(1, s["pairs"]) + s["rest"] / (s["words"] + 1)
@@ -320,7 +437,7 @@ def _score(spec, folder: str):
 
         for batch in batches:
             for w in blocks(batch.column(1)):
-                x, _ = grams(w, m.spec["order"])
+                x, _ = grams(w, m.spec["order"], m.codes)
                 held.append((batch.column(0).slice(w.lo, w.hi - w.lo), x, np.diff(w.docs) + 1))
                 n += len(x[0])
                 if n > TOKENS:
@@ -333,14 +450,26 @@ def _score(spec, folder: str):
     return run
 
 
-def _tops(order: int):
+def _sampled(order: int):
+    """Words of a partition with their counts (n = 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in blocks(batch.column(0)):
+                v, c = np.unique(w.hashes(LOWER) & MASK, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["v", "c"])
+
+    return run
+
+
+def _tops(order: int, codes: Codes):
     """The most frequent contexts of each order of a partition, with their shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = 0, {n: {} for n in range(2, order + 1)}
         for batch in batches:
             for w in blocks(batch.column(0)):
-                words, _ = grams(w, order)
+                words, _ = grams(w, order, codes)
                 total += len(words[0])
                 for n, found in sums.items():
                     v, c = np.unique(context(words[-n:-1]), return_counts=True)
@@ -361,9 +490,12 @@ def train(docs: DataFrame, count: int, order: int = 2) -> dict:
     folder = f"{local_path(shared_dir(spark))}/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
     texts = docs.select("text")
-    # which contexts are frequent matters for the tasks' sizes only, so a share of the rows tells it
-    few = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_tops(order), "n int, v long, c long, total long")
-    tops = few.groupBy("n", "v").agg(F.sum("c").alias("c"), F.sum("total").alias("t"))
+    # which words and contexts are frequent matters for sizes only, so a share of the rows tells it
+    few = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
+    most = few.mapInArrow(_sampled(order), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "v").limit(FREQUENT)
+    frequent = np.array([r.v for r in most.collect()], np.int64).view(np.uint64)
+    codes = Codes(frequent)
+    tops = few.mapInArrow(_tops(order, codes), "n int, v long, c long, total long").groupBy("n", "v").agg(F.sum("c").alias("c"), F.sum("total").alias("t"))
     top = tops.withColumn("t", F.sum("t").over(Window.partitionBy("n"))).where(F.col("c") * HOT * count > F.col("t")).collect()
     hot = {}
     for n in range(2, order + 1):
@@ -373,26 +505,31 @@ def train(docs: DataFrame, count: int, order: int = 2) -> dict:
         at = np.argsort(v)
         hot[n] = (v[at], spread[at])
     to = {n: Buckets(count, *x) for n, x in hot.items()}
-    counted = texts.mapInArrow(_count(to[order], order), MESSAGE)
+    counted = texts.mapInArrow(_count(to[order], order, codes), MESSAGE)
     for n in range(order, 1, -1):
-        counted = counted.repartition(count, "bucket").sortWithinPartitions("bucket")
+        counted = counted.repartitionById(count, "bucket").sortWithinPartitions("bucket")
         counted = counted.mapInArrow(_write_grams(to[n], to.get(n - 1), folder, n, 1 if n == order else 2), MESSAGE)
-    words = counted.repartition(count, "bucket").sortWithinPartitions("bucket")
-    word_sums = [r.sums for r in words.mapInArrow(_write_words(folder), "bucket int, sums array<long>").collect()]
-    total = np.array(word_sums, np.int64).reshape(-1, 7).sum(axis=0)
-    d, hot_stats = {1: discounts(*total[3:])}, {}
+    words = counted.repartitionById(count, "bucket").sortWithinPartitions("bucket")
+    word_sums = {r.bucket: r.sums for r in words.mapInArrow(_write_words(folder), "bucket int, sums array<long>").collect()}
+    total = np.array([*word_sums.values()], np.int64).reshape(-1, 7).sum(axis=0)
+    d, hot_stats, buckets = {1: discounts(*total[3:])}, {}, {"words": set(word_sums)}
     for n in range(2, order + 1):
-        sums = np.zeros(5, np.int64)
+        sums = np.zeros(6, np.int64)
         hot_stats[n] = np.zeros((len(hot[n][0]), 4), np.int64)
-        for b in range(count):
-            if os.path.exists(f"{folder}/sums{n}-{b}.npy"):
-                sums += np.load(f"{folder}/sums{n}-{b}.npy")
-                part = np.load(f"{folder}/hot{n}-{b}.npy")
-                np.add.at(hot_stats[n], np.searchsorted(hot[n][0], part[:, 0].astype(np.uint64)), part[:, 1:])
-        d[n] = discounts(*sums[1:])
+        own = buckets[f"grams{n}"] = buckets[f"before{n}"] = {b for b in range(count) if os.path.exists(f"{folder}/sums{n}-{b}.npy")}
+        for b in own:
+            sums += np.load(f"{folder}/sums{n}-{b}.npy")
+            part = np.load(f"{folder}/hot{n}-{b}.npy")
+            np.add.at(hot_stats[n], np.searchsorted(hot[n][0], part[:, 0].view(np.uint64)), part[:, 1:])
+        if sums[0] != total[2]:
+            raise RuntimeError(f"{folder} holds {sums[0]} of {total[2]} tokens at order {n}; do all executors write to it?")
+        d[n] = discounts(*sums[2:])
     counts = [int(total[3]), int(total[4]), int(total[0] - total[3] - total[4])]
     rest = sum(a * b for a, b in zip(d[1], counts)) / max(1, int(total[1])) if total[1] else 1.0
-    return {"folder": folder, "count": count, "order": order, "hot": hot, "hot_stats": hot_stats, "words": int(total[0]), "pairs": int(total[1]), "tokens": int(total[2]), "d": d, "rest": rest}
+    return {
+        "folder": folder, "count": count, "order": order, "hot": hot, "hot_stats": hot_stats, "frequent": frequent, "buckets": buckets,
+        "words": int(total[0]), "pairs": int(total[1]), "tokens": int(total[2]), "d": d, "rest": rest,
+    }
 
 
 def score(docs: DataFrame, spec: dict) -> DataFrame:

@@ -36,6 +36,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def local_path(url: str) -> str:
+    """The folder as workers open it: it must be mounted, since arrays are mapped from it and files written to it."""
+    if "://" in url and not url.startswith("file://"):
+        raise ValueError(f"{url} isn't a mounted file system; set spark.checkpoint.dir to one (file://...)")
     return url[7:] if url.startswith("file://") else url[5:] if url.startswith("file:") else url
 
 

@@ -431,6 +431,36 @@ def test_op1_higher_orders(docs, rows, order):
         assert all(abs(y - score) < 1e-6 for y in got[i])
 
 
+def test_op1_tables(tmp_path):
+    """Keys with few and many values, frequent and rare ones, and keys that aren't there."""
+    r = np.random.default_rng(6)
+    for n in (0, 1, 17, 50_000):
+        keys = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        values = np.stack([r.zipf(1.6, len(keys)).clip(1, 1 << 40), r.integers(0, 3, len(keys))], axis=1)
+        kneser_ney.Table.write(str(tmp_path / "t"), keys, values)
+        t = kneser_ney.Table(str(tmp_path / "t"))
+        assert (t.find(keys) == values).all()
+        assert (t.find(np.sort(r.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))) == 0).all()
+
+
+def test_op1_missing_files(spark, docs, monkeypatch):
+    import os
+    import shutil
+
+    plain = docs.select(F.col("doc_id").alias("id"), "text")
+    spec = kneser_ney.train(plain, 4, 3)
+    found = kneser_ney.score(plain, spec)
+    shutil.rmtree(spec["folder"])
+    with pytest.raises(Exception, match="No such file"):
+        found.collect()
+    real = os.path.exists
+    monkeypatch.setattr(kneser_ney.os.path, "exists", lambda p: "sums3-1" not in p and real(p))
+    with pytest.raises(RuntimeError, match="do all executors write"):
+        kneser_ney.train(plain, 4, 3)
+    with pytest.raises(ValueError, match="mounted"):
+        shared.local_path("hdfs://host/folder")
+
+
 def test_op7_links(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(120, 32))
