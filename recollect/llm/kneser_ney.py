@@ -10,8 +10,8 @@ makes messages small. Files are written under another name and then renamed, so
 
 Arrays: keys are 64-bit hashes, sorted. Their leading bits, about as many as the number of keys over ``RUN``, are told by
 offsets, the 24 bits after them are stored; so an entry takes three bytes and a part of a fourth, and another n-gram is
-taken for it with a chance of ``RUN`` in 2^24. Values are one byte, a number in the file's list of frequent ones, or
-else stand whole at the file's end.
+taken for it with a chance of ``RUN`` in 2^24. Values are a byte, or half of one for n-grams: a number in the file's list
+of frequent ones, or else they stand whole at the file's end.
 
 Scoring: workers map the arrays into memory and look sorted keys up. The folder is the shared one; the
 workers must see it as a file system. A file or a count that is missing is an error.
@@ -165,7 +165,7 @@ def _from_bytes(x: np.ndarray) -> np.ndarray:
 def _packed(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     """Numbers and values in columns, then the hashes of the other words in their order."""
     codes = [np.minimum(k, U(0xFFFF)).astype(np.uint16) for k in keys]
-    body = pack(*codes, *(v.astype(np.uint32) for v in values))
+    body = pack(*codes, *(v.astype(np.uint32) for v in values), level=3)
     others = np.concatenate([k[c == 0xFFFF] for k, c in zip(keys, codes)])
     return len(body).to_bytes(4, "little") + body + pack(_low_bytes(others & MASK))
 
@@ -234,11 +234,15 @@ class Table:
         offsets = np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32)
         rest = ((keys << U(bits)) >> U(40)).astype(np.uint32)
         kinds, number, often = np.unique(values.view(f"V{8 * width}").ravel(), return_inverse=True, return_counts=True)
-        first = np.argsort(-often, kind="stable")[:255]
-        code = np.full(len(kinds), 255, np.uint8)
+        none = 15 if width == 1 else 255
+        first = np.argsort(-often, kind="stable")[:none]
+        code = np.full(len(kinds), none, np.uint8)
         code[first] = np.arange(len(first))
         code = code[number] if n else np.empty(0, np.uint8)
-        whole = np.flatnonzero(code == 255)
+        whole = np.flatnonzero(code == none)
+        if width == 1:
+            code = np.append(code, np.zeros(n % 2, np.uint8))
+            code = code[::2] | (code[1::2] << 4)
         head = np.array([n, width, bits, len(first), len(whole)], np.int64)
         part = f"{path}.{uuid.uuid4().hex}"
         with open(part, "wb") as f:
@@ -260,7 +264,7 @@ class Table:
 
         self.values = np.array(take(kinds * width, np.int64)).reshape(-1, width)
         self.whole_at, self.whole = take(whole, np.int64), take(whole * width, np.int64).reshape(-1, width)
-        self.offsets, self.high, self.low, self.code = take((1 << self.bits) + 1, np.uint32), take(self.n, np.uint16), take(self.n, np.uint8), take(self.n, np.uint8)
+        self.offsets, self.high, self.low, self.code = take((1 << self.bits) + 1, np.uint32), take(self.n, np.uint16), take(self.n, np.uint8), take((self.n + 1) // 2 if width == 1 else self.n, np.uint8)
         self.width = width
 
     def find(self, k: np.ndarray) -> np.ndarray:
@@ -285,9 +289,9 @@ class Table:
             same = self.high[at] == high[live]
             hit = same & (self.low[at] == low[live])
             found, place = live[hit], at[hit]
-            code = self.code[place]
+            code = (self.code[place >> 1] >> ((place & 1) << 2).astype(np.uint8)) & 15 if self.width == 1 else self.code[place]
             out[found] = self.values[np.minimum(code, len(self.values) - 1)]
-            far = code == 255
+            far = code == (15 if self.width == 1 else 255)
             if far.any():
                 out[found[far]] = self.whole[np.searchsorted(self.whole_at, place[far])]
             live = live[same & ~hit]
@@ -450,16 +454,12 @@ def _score(spec, folder: str):
     return run
 
 
-def _sampled(order: int):
-    """Words of a partition with their counts (n = 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in blocks(batch.column(0)):
-                v, c = np.unique(w.hashes(LOWER) & MASK, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["v", "c"])
-
-    return run
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, block by block."""
+    for batch in batches:
+        for w in blocks(batch.column(0)):
+            v, c = np.unique(w.hashes(LOWER) & MASK, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["v", "c"])
 
 
 def _tops(order: int, codes: Codes):
@@ -492,8 +492,10 @@ def train(docs: DataFrame, count: int, order: int = 2) -> dict:
     texts = docs.select("text")
     # which words and contexts are frequent matters for sizes only, so a share of the rows tells it
     few = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
-    most = few.mapInArrow(_sampled(order), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "v").limit(FREQUENT)
-    frequent = np.array([r.v for r in most.collect()], np.int64).view(np.uint64)
+    seen = few.mapInArrow(_sampled, "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
+    kinds = sorted(((r.c, r["count"]) for r in seen.groupBy("c").count().collect()), reverse=True)
+    least = min((c for (c, _), n in zip(kinds, np.cumsum([n for _, n in kinds])) if n <= FREQUENT), default=1 << 62)
+    frequent = np.array(sorted(r.v for r in seen.where(F.col("c") >= least).select("v").collect()), np.int64).view(np.uint64)
     codes = Codes(frequent)
     tops = few.mapInArrow(_tops(order, codes), "n int, v long, c long, total long").groupBy("n", "v").agg(F.sum("c").alias("c"), F.sum("total").alias("t"))
     top = tops.withColumn("t", F.sum("t").over(Window.partitionBy("n"))).where(F.col("c") * HOT * count > F.col("t")).collect()

@@ -15,12 +15,12 @@ MESSAGE = "bucket int, body binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
 
 
-def pack(*columns: np.ndarray) -> bytes:
+def pack(*columns: np.ndarray, level: int = 1) -> bytes:
     """Columns of one length; each is cut in byte planes, which lets runs of small numbers shrink."""
     n = len(columns[0])
     head = np.array([n, *(c.dtype.itemsize for c in columns)], np.int64).tobytes()
     body = b"".join(c.view(np.uint8).reshape(n, -1).T.tobytes() for c in map(np.ascontiguousarray, columns))
-    return zstandard.compress(head + body, 1)
+    return zstandard.compress(head + body, level)
 
 
 def unpack(body: bytes, *dtypes: str) -> list[np.ndarray]:
