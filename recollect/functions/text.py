@@ -9,6 +9,9 @@ ELLIPSIS = "…"
 _WEEKDAYS = "一二三四五六日天"
 _WEEKS = {"上周": -7, "这周": 0, "本周": 0, "下周": 7}
 _DAYS = {"今天": 0, "昨天": -1, "前天": -2, "明天": 1, "后天": 2}
+#: Days of a week count from its Monday, single days from the day itself.
+_OFFSETS = {w + c: n + min(i, 6) for w, n in _WEEKS.items() for i, c in enumerate(_WEEKDAYS)} | _DAYS
+_RELATIVE = "|".join(_OFFSETS)
 _BARE = "|".join([*_WEEKS, *(w + "个月" for w in "上这下")])
 _QUOTES = "\"'“”‘’"
 _BRACKETS = "()（）\\[\\]【】"
@@ -69,13 +72,11 @@ def fold(text: Column) -> Column:
 def absolutize(text: Column, day: Column) -> Column:
     """Relative days become dates, counted from ``day``; bare weeks and months go. A bad day changes nothing."""
     base = F.try_to_date(day, "yyyy-MM-dd")
-    monday = F.date_trunc("week", base).cast("date")
-    out = text
-    for word, days in _WEEKS.items():
-        for i, c in enumerate(_WEEKDAYS):
-            out = F.replace(out, F.lit(word + c), F.date_format(F.date_add(monday, days + min(i, 6)), "yyyy-MM-dd"))
-    for word, days in _DAYS.items():
-        out = F.replace(out, F.lit(word), F.date_format(F.date_add(base, days), "yyyy-MM-dd"))
+    # only the words that occur are looked up, each once
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_RELATIVE), F.lit(0)))
+    offsets = F.create_map(*(F.lit(x) for pair in _OFFSETS.items() for x in pair))
+    dated = F.transform(found, lambda w: F.struct(w.alias("w"), F.date_format(F.date_add(F.when(F.length(w) > 2, F.date_trunc("week", base).cast("date")).otherwise(base), F.element_at(offsets, w)), "yyyy-MM-dd").alias("d")))
+    out = F.aggregate(dated, text, lambda t, x: F.replace(t, x["w"], x["d"]))
     return F.when(base.isNull() | ~text.rlike("[周天月]"), text).otherwise(F.regexp_replace(out, _BARE, ""))
 
 
