@@ -144,6 +144,12 @@ def _top_scores(weights, limit: int):
     return run
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than there are cores, as a small file has, spread over all; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: DataFrame | None = None, one_pass: bool = True) -> DataFrame:
     """The best ``limit`` rows of each query (``uid, qid, text``) with ``score`` and ``rank``.
 
@@ -157,7 +163,7 @@ def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: DataFrame | None
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     rank = F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("score"), F.asc("id")))
     if one_pass and asked.limit(ASKED + 1).count() <= ASKED:
-        tokens = rows.select("uid", "id", T.tokenize(T.fold(F.col("text"))).alias("tokens"))
+        tokens = spread(rows.select("uid", "id", "text")).select("uid", "id", T.tokenize(T.fold(F.col("text"))).alias("tokens"))
         df = tokens.select("uid", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("uid", "token").agg(F.count("*").alias("df"))
         weighed = asked.join(df, ["uid", "token"]).join(size, "uid").select(*Q, "mean", "token", (idf * F.col("times")).alias("w"))
         weights: dict[tuple, tuple] = {}
