@@ -138,6 +138,40 @@ def test_op10_prefixes_lose_no_pair():
     assert len(want) > 50 and want <= got
 
 
+def test_op10_crowds():
+    """Links in a crowd grow with its number."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, (1, 2), dtype=np.uint64).repeat(3000, 0)
+    base[np.arange(3000), 0] ^= np.uint64(1) << r.integers(0, 64, 3000).astype(np.uint64)
+    part = simhash_nsw.Part(np.arange(3000), base)
+    links = part.links(np.arange(3000), base)
+    assert links.num_rows <= 3000 * (simhash_nsw.LINKS + 1)
+    forest = pa.Table.from_batches(list(simhash_nsw._forest(iter([links]))))
+    assert forest.num_rows > 2950  # the rest meets by prefixes
+
+
+def test_op10_crowd_end_to_end(spark):
+    """A third of all texts alike, far ends of the chain not, and some that only prefixes join; against all pairs."""
+    r = random.Random(3)
+    rows, base = [], [f"w{r.randrange(10**6)}" for _ in range(60)]
+    for i in range(300):
+        t = list(base) if i % 3 == 0 else [f"v{r.randrange(10**6)}" for _ in range(r.choice((6, 9, 60)))]
+        if i % 3 == 0:
+            t[(i // 3) % 60] = f"x{i}"
+        if i % 3 == 1 and i > 30:
+            t = rows[-3][1].split(" ")[:-1] or t
+        rows.append((i, " ".join(t)))
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(300))
+    for _ in range(5):
+        for a in range(300):
+            for b in range(a + 1, 300):
+                if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {x.id: x.class_id for x in simhash_nsw.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < 200
+
+
 def test_small_world_recall():
     r = np.random.default_rng(0)
     base = r.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
@@ -610,6 +644,39 @@ def test_op5_held_out_layouts():
     assert ((belief[:, 1] >= 0.5) == np.array(f.label))[leaf].mean() > 0.98
 
 
+def test_op3_repeats_long_texts_and_clashing_names(spark):
+    r = random.Random(6)
+    good = lambda: " ".join(r.choice(("ab", "cd", "ef")) for _ in range(30))
+    rows = [(i, good() if i % 3 else good().replace(" ", " %% "), "en", "s", 90, 7, 0.25) for i in range(240)]
+    rows += [(500, "ab cd " * 100_000, "en", "s", 600_000, 7, 0.25), (501, "%% ab " * 100_000, None, None, None, None, None)] + [rows[3]] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id int, quality_score double")
+    lab = spark.createDataFrame([(i, int(i % 3 > 0), 0, "x") for i in range(0, 200)] * 2, "doc_id long, quality int, toxic int, text string")
+    got = cotrain.score(d, lab).collect()
+    assert len(got) == len(rows) and len({x.quality_score for x in got if x.id == 3}) == 1
+    score = {x.id: x.quality_score for x in got}
+    assert all((score[i] >= 0.5) == (i % 3 > 0) for i in range(200, 240)) and 0 <= score[500] <= 1 and score[501] < 0.5
+    assert {x.toxic_score for x in got} == {1 / 202}
+
+
+def test_op7_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 5, "a", 3), (2, [1.0, 0.01], 5, "b", 3), (3, [0.0, 1.0], 5, None, None)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, bucket string, copies int")
+    assert {(x.id, x.n_links, x.component_id) for x in itq.near_duplicates(d).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
+
+
+def test_pipeline_null_ids_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 9), (2, text, "en", None, None), (3, None, None, "s", 0), (None, text, "en", "s", 9), (None, "some words alone", None, None, None), (4, "12 34", "en", "s", 5), (5, "a b c d e f g item here", "en", "s", 9), (5, "a b c d e f g item here", "en", "s", 9)]
+    for name, own in (("some", rows), ("none", [])):
+        spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(0, "f g item here")] if own else [], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = collections.Counter(r.doc_id for r in c.run(spark, str(tmp_path / "some")).collect())
+    assert got == {1: 1, None: 2}
+    assert c.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     """Each stage on its predecessor's rows, against the operators' brute force where that is short."""
     import corpus_pipeline as c
