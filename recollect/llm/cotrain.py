@@ -2,17 +2,20 @@
 
 Two views of a document: its text (chosen words' presence, and shares of characters, lines and words) and
 its metadata (language, source, length). For each target both views' logistic classifiers are fitted on
-labelled rows; in each of ``ROUNDS`` rounds each labels the unlabelled pool, and what it is sure of (a share
-of ``SURE`` right on the calibration fold) goes as pseudo-labels to the other view's training rows. At last
+labelled rows; in each of ``ROUNDS`` rounds each labels all unlabelled documents, and of what it is sure of (a share
+of ``SURE`` right on the calibration fold) rows go as pseudo-labels to the other view's training rows. At last
 each view's logit is calibrated on the fold that no round trains on, the calibrated views are combined
 there by a logistic fit, and all documents are scored.
 
-The fit uses ``LABELLED`` labelled and ``POOL`` unlabelled rows at most, the first by a hash of their id; the
-driver holds their chosen features, some 40 MB. Scoring reads every row once and shuffles nothing.
+Every document's features are written once, packed to some 150 bytes, and read by each round and by the scoring. What
+is bounded is what is fitted: ``LABELLED`` labelled rows and, of each target, view and round, ``PSEUDO`` pseudo-labelled
+ones, the first by a hash of their id; the driver holds their features, some 60 MB.
 
 Defined results: null text is empty; null metadata is a value of its own; labels that are null or
 contradict each other are left out; with one class or none the score is the smoothed share of it
-(0.5 without labels). Repeated rows and null ids are kept, a row each.
+(0.5 without labels). A score of exactly one half counts as good, or toxic. Repeated rows and null ids are kept, a row
+each; an id is taken into training once, null ids never. Texts are read whole, whatever their length. Columns of other
+names are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
-from .words import LOWER, U, blocks
+from .messages import trim
+from .shared import materialize, small_batches
+from .words import LOWER, U, blocks, mix
 
-LABELLED, POOL, ROUNDS, SURE, WORDS = 8000, 8000, 4, 0.97, 400
-STEP_SHARE = 0.1
+LABELLED, PSEUDO, ROUNDS, SURE, WORDS = 8000, 1000, 4, 0.97, 400
 BITS = 20
 META = 32 + 64 + 24
 TARGETS = ("quality", "toxic")
@@ -96,13 +99,15 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 
 def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """Hashed one-hot columns."""
-    out = np.zeros((len(lang), META), np.float32)
-    r = np.arange(len(lang))
+    """Numbers of the hashed one-hot columns that are set, three a row."""
     number = lambda x, n: xxhash.xxh32_intdigest("" if x is None else "=" + x) % n
-    out[r, [number(x, 32) for x in lang]] = 1
-    out[r, [32 + number(x, 64) for x in source]] = 1
-    out[r, [96 + (23 if x is None else min(22, int(max(0, x)).bit_length())) for x in n_chars]] = 1
+    columns = ([number(x, 32) for x in lang], [32 + number(x, 64) for x in source], [96 + (23 if x is None else min(22, int(max(0, x)).bit_length())) for x in n_chars])
+    return np.array(columns, np.uint8).reshape(3, -1).T
+
+
+def _one_hot(numbers: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(numbers), META), np.float32)
+    out[np.arange(len(numbers))[:, None], numbers] = 1
     return out
 
 
@@ -166,37 +171,46 @@ class Target:
         return _sigmoid(self.joint.logit(np.stack(z, axis=1))), [_sigmoid(a) for a in z]
 
 
-def fit_target(xs: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Target:
-    """``xs``: both views' features; ``y``: 1, 0, or nan for the pool; ``fold``: rows kept for calibration."""
-    known = ~np.isnan(y)
-    train, held, pool = np.flatnonzero(known & ~fold), np.flatnonzero(known & fold), np.flatnonzero(~known)
-    share = (np.nansum(y) + 1) / (known.sum() + 2)
-    if min(len(set(y[train])), len(set(y[held]))) < 2:
-        return Target(float(share))
-    views = [Logistic(x[train].mean(axis=0), x[train].std(axis=0) + 0.05) for x in xs]
-    rows = [train, train]
-    labels = [y[train], y[train]]
-    free = [pool, pool]
-    for r in range(ROUNDS + 1):
-        for i in (0, 1):
-            views[i].fit(xs[i][rows[i]], labels[i], steps=120 if r == 0 else 50)
-        if r == ROUNDS:
-            break
-        for i in (0, 1):
-            z, zh = views[i].logit(xs[i][free[1 - i]]), views[i].logit(xs[i][held])
-            for value, sign in ((1.0, 1), (0.0, -1)):
-                cut = _cut(sign * zh, y[held] == value)
-                sure = np.flatnonzero(sign * z >= cut)
-                sure = sure[np.argsort(-sign * z[sure], kind="stable")][: int(np.ceil(STEP_SHARE * len(pool) * (share if value else 1 - share)))]
-                rows[1 - i] = np.concatenate([rows[1 - i], free[1 - i][sure]])
-                labels[1 - i] = np.concatenate([labels[1 - i], np.full(len(sure), value)])
-                keep = np.ones(len(free[1 - i]), bool)
-                keep[sure] = False
-                free[1 - i], z = free[1 - i][keep], z[keep]
-    z = [v.logit(x[held])[:, None] for v, x in zip(views, xs)]
-    scales = [_line(a, y[held]) for a in z]
-    joint = _line(np.stack([s.logit(a.astype(np.float64)) for s, a in zip(scales, z)], axis=1), y[held])
-    return Target(float(share), views, scales, joint)
+class Training:
+    """One target's labelled rows, and the rows that each view is fitted on."""
+
+    def __init__(self, xs: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
+        """``xs``: both views' features of labelled rows; ``y``: 1, 0, or nan; ``fold``: rows kept for calibration."""
+        known = ~np.isnan(y)
+        train, held = np.flatnonzero(known & ~fold), np.flatnonzero(known & fold)
+        self.share = float((np.nansum(y) + 1) / (known.sum() + 2))
+        self.can = min(len(set(y[train])), len(set(y[held]))) > 1
+        self.held, self.y_held = [x[held] for x in xs], y[held]
+        self.rows, self.labels = [[x[train]] for x in xs], [[y[train]], [y[train]]]
+        self.views = [Logistic(r[0].mean(axis=0), r[0].std(axis=0) + 0.05) for r in self.rows] if self.can else []
+        self.taken = [np.empty(0, np.int64), np.empty(0, np.int64)]
+
+    def step(self, first: bool) -> None:
+        for i, v in enumerate(self.views):
+            v.fit(np.concatenate(self.rows[i]), np.concatenate(self.labels[i]), steps=120 if first else 50)
+
+    def cuts(self) -> np.ndarray:
+        """[view, class]: from which logit on, away from the other class, a view is sure."""
+        z = [v.logit(x) for v, x in zip(self.views, self.held)]
+        return np.array([[_cut((1, -1)[k] * a, self.y_held == 1 - k) for k in (0, 1)] for a in z])
+
+    def limits(self) -> list[int]:
+        """Rows of each class that go over in a round, in the classes' proportion."""
+        one = int(np.ceil(PSEUDO * self.share))
+        return [one, max(1, PSEUDO - one)]
+
+    def add(self, view: int, ids: np.ndarray, x: np.ndarray, label: float) -> None:
+        self.rows[view].append(x)
+        self.labels[view].append(np.full(len(x), label))
+        self.taken[view] = np.concatenate([self.taken[view], ids])
+
+    def finish(self) -> Target:
+        if not self.can:
+            return Target(self.share)
+        z = [v.logit(x)[:, None] for v, x in zip(self.views, self.held)]
+        scales = [_line(a, self.y_held) for a in z]
+        joint = _line(np.stack([s.logit(a.astype(np.float64)) for s, a in zip(scales, z)], axis=1), self.y_held)
+        return Target(self.share, self.views, scales, joint)
 
 
 def _cut(z: np.ndarray, right: np.ndarray) -> float:
@@ -231,23 +245,101 @@ def choose(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(top[z[top] > 3.5])
 
 
-def _view(number: np.ndarray, doc: np.ndarray, word: np.ndarray, stats: np.ndarray, width: int) -> np.ndarray:
-    x = np.zeros((len(stats), width + STATS), np.float32)
+def _presence(number: np.ndarray, rows: int, doc: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
+    x = np.zeros((rows, width), bool)
     at = number[word]
-    x[doc[at >= 0], at[at >= 0]] = 1
-    x[:, width:] = stats
+    x[doc[at >= 0], at[at >= 0]] = True
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, Target]]:
-    """Chosen words and classifiers of each target."""
+class Layout:
+    """Features of a document in bytes: chosen words' bits of each target, statistics, metadata."""
+
+    def __init__(self, chosen: list[np.ndarray]):
+        self.chosen = chosen
+        self.bits = [-(-len(c) // 8) for c in chosen]
+        self.width = sum(self.bits) + 4 * STATS + 3
+
+    def numbers(self) -> list[np.ndarray]:
+        out = []
+        for c in self.chosen:
+            n = np.full(1 << BITS, -1, np.int32)
+            n[c] = np.arange(len(c))
+            out.append(n)
+        return out
+
+    def pack(self, doc: np.ndarray, word: np.ndarray, stats: np.ndarray, meta: np.ndarray, numbers: list[np.ndarray]) -> np.ndarray:
+        parts = [np.packbits(_presence(n, len(stats), doc, word, len(c)), axis=1) for n, c in zip(numbers, self.chosen)]
+        return np.ascontiguousarray(np.concatenate([*parts, np.ascontiguousarray(stats, np.float32).view(np.uint8).reshape(len(stats), 4 * STATS), meta], axis=1))
+
+    def views(self, raw: np.ndarray) -> list[list[np.ndarray]]:
+        """Of each target both views."""
+        at, out = sum(self.bits), []
+        stats = np.ascontiguousarray(raw[:, at : at + 4 * STATS]).view(np.float32)
+        meta, lo = _one_hot(raw[:, -3:]), 0
+        for c, b in zip(self.chosen, self.bits):
+            words = np.unpackbits(raw[:, lo : lo + b], axis=1)[:, : len(c)].astype(np.float32)
+            out.append([np.concatenate([words, stats], axis=1), meta])
+            lo += b
+        return out
+
+    def read(self, column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), self.width)
+
+
+def _features(layout: Layout):
+    """Rows (id, pool, text, lang, source, n_chars) to (id, pool, packed features)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = layout.numbers()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                doc, word = presence(part.column(2))
+                raw = layout.pack(doc, word, statistics(part.column(2)), metadata(*(part.column(i).to_pylist() for i in (3, 4, 5))), numbers)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in raw], pa.binary())], names=["id", "pool", "f"])
+        trim()
+
+    return run
+
+
+def _sure(layout: Layout, asked, salt: int):
+    """Of the pool what views are sure of: ``kind`` (target, view, class), the rows of least ``key`` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            ids, raw = batch.column(0).to_numpy(), layout.read(batch.column(1))
+            keys = (mix(ids.view(np.uint64), salt) >> U(1)).astype(np.int64)
+            views = layout.views(raw)
+            for t, views_of, cuts, limits, taken in asked.value:
+                for i, v in enumerate(views_of):
+                    z = v.logit(views[t][i])
+                    for k in (0, 1):
+                        pick = np.flatnonzero(((1, -1)[k] * z >= cuts[i, k]) & ~np.isin(ids, taken[1 - i]))
+                        if not len(pick):
+                            continue
+                        kind = 4 * t + 2 * i + k
+                        new = (keys[pick], ids[pick], raw[pick])
+                        key, name, f = (np.concatenate(x) for x in zip(held[kind], new)) if kind in held else new
+                        _, first = np.unique(np.stack([key, name], axis=1), axis=0, return_index=True)
+                        first = first[: limits[k]]
+                        held[kind] = (key[first], name[first], f[first])
+        for kind, (key, name, f) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(name), pa.array([x.tobytes() for x in f], pa.binary())], names=["kind", "key", "id", "f"])
+        trim()
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Layout, list[Target], DataFrame]:
+    """The features' layout, each target's classifiers, and the features of all rows."""
     spark = docs.sparkSession
+    sc = spark.sparkContext
     known = labels.where("id is not null").groupBy("id").agg(*(F.when(F.min(t) == F.max(t), F.min(t)).alias(t) for t in TARGETS)).where("quality is not null or toxic is not null")
-    key = F.xxhash64("id", F.lit(1))
-    taken = known.orderBy(key, "id").limit(LABELLED)
-    pool = docs.where("id is not null").select("id").join(known, "id", "left_anti").distinct().orderBy(key, "id").limit(POOL).select("id", *(F.lit(None).cast("int").alias(t) for t in TARGETS))
-    rows = [tuple(r) for r in taken.unionByName(pool).collect()]
-    table = spark.createDataFrame(rows, "id long, quality int, toxic int")
+    known = materialize(known, "labels")
+    taken = known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(LABELLED)
+    table = spark.createDataFrame([tuple(r) for r in taken.collect()], "id long, quality int, toxic int")
     features = docs.join(F.broadcast(table), "id").select("id", "text", "lang", "source", "n_chars", *TARGETS)
     schema = f"id long, words array<int>, stats array<float>, lang string, source string, n_chars long, {', '.join(f'{t} int' for t in TARGETS)}"
     data = features.mapInArrow(_sample, schema).dropDuplicates(["id"]).toArrow().sort_by("id")
@@ -255,33 +347,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, Target]]:
     stats = np.array(data.column("stats").to_pylist(), np.float32).reshape(len(words), STATS)
     meta = metadata(*(data.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
     doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    word = np.concatenate([np.empty(0, np.int64), *words])
+    word = np.concatenate([np.empty(0, np.int64), *words]).astype(np.int64)
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % 4 == 0 for i in data.column("id").to_pylist()], bool)
-    out = []
-    for t in TARGETS:
-        y = np.array([np.nan if v is None else float(v > 0) for v in data.column(t).to_pylist()], np.float64)
-        chosen = choose([w for w, f in zip(words, fold) if not f], y[~fold])
-        number = np.full(1 << BITS, -1, np.int32)
-        number[chosen] = np.arange(len(chosen))
-        out.append((chosen, fit_target([_view(number, doc, word, stats, len(chosen)), meta], y, fold)))
-    return out
+    ys = [np.array([np.nan if v is None else float(v > 0) for v in data.column(t).to_pylist()], np.float64) for t in TARGETS]
+    layout = Layout([choose([w for w, f in zip(words, fold) if not f], y[~fold]) for y in ys])
+    views = layout.views(layout.pack(doc, word, stats, meta, layout.numbers()))
+    targets = [Training(x, y, fold) for x, y in zip(views, ys)]
+    packed = docs.select("id", F.col("id").isNotNull().alias("pool"), "text", "lang", "source", "n_chars").mapInArrow(_features(layout), "id long, pool boolean, f binary")
+    packed = materialize(packed, "features")
+    pool = materialize(packed.where("pool").select("id", "f").join(known.select("id"), "id", "left_anti"), "pool")
+    for r in range(ROUNDS + 1):
+        able = [(t, x) for t, x in enumerate(targets) if x.can]
+        for _, x in able:
+            x.step(r == 0)
+        if r == ROUNDS or not able:
+            break
+        asked = sc.broadcast([(t, x.views, x.cuts(), x.limits(), x.taken) for t, x in able])
+        sure = pool.mapInArrow(_sure(layout, asked, 70 + r), "kind int, key long, id long, f binary")
+        w = Window.partitionBy("kind").orderBy("key", "id")
+        found = sure.dropDuplicates(["kind", "id"]).withColumn("n", F.row_number().over(w)).where(F.col("n") <= PSEUDO).toArrow()
+        kinds = found.column("kind").to_numpy()
+        for t, x in able:
+            for i in (0, 1):
+                for k in (0, 1):
+                    mine = found.filter(pa.array(kinds == 4 * t + 2 * i + k)).sort_by("n").slice(0, x.limits()[k])
+                    if mine.num_rows:
+                        x.add(1 - i, mine.column("id").to_numpy(), layout.views(layout.read(mine.column("f")))[t][1 - i], 1.0 - k)
+    return layout, [x.finish() for x in targets], packed
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = []
-        for chosen, _ in model.value:
-            n = np.full(1 << BITS, -1, np.int32)
-            n[chosen] = np.arange(len(chosen))
-            numbers.append(n)
+        layout, targets = model.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                doc, word = presence(part.column(1))
-                stats = statistics(part.column(1))
-                meta = metadata(*(part.column(i).to_pylist() for i in (2, 3, 4)))
-                found = [target.scores([_view(n, doc, word, stats, len(chosen)), meta]) for n, (chosen, target) in zip(numbers, model.value)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.asarray(x, np.float64)) for x in (found[0][0], found[1][0], *found[0][1]))], schema=_OUT)
+            views = layout.views(layout.read(batch.column(1)))
+            found = [target.scores(x) for target, x in zip(targets, views)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.asarray(x, np.float64)) for x in (found[0][0], found[1][0], *found[0][1]))], schema=_OUT)
 
     return run
 
@@ -291,5 +392,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     labels = labels.select(F.col("doc_id").cast("long").alias("id"), *(F.col(t).cast("int").alias(t) for t in TARGETS))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return docs.mapInArrow(_score(model), OUT)
+    layout, targets, features = fit(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast((layout, targets))
+    return features.select("id", "f").mapInArrow(_score(model), OUT)
