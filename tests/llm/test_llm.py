@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -389,6 +391,42 @@ def test_op8_round_trip(tmp_path, ids):
             rangecoder.read_file(path)
 
 
+def test_op8_many_ids_take_little_time_and_room(tmp_path):
+    """A million ids, some frequent and some not: written and read in a few operations each, near their entropy."""
+    r = np.random.default_rng(2)
+    ids = np.minimum(r.zipf(1.3, 1_000_000), 49_000).astype(np.uint32)
+    path = str(tmp_path / "x.ids")
+    began = time.process_time()
+    rangecoder.write_file(path, [1], np.array([len(ids)]), ids)
+    back = rangecoder.read_file(path)[2]
+    assert (back == ids).all() and time.process_time() - began < 2
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert os.path.getsize(path) < 8 * len(share) + 1.1 * len(ids) * -(share * np.log2(share)).sum() / 8
+
+
+def test_op8_carries_and_extremes(tmp_path):
+    """Shares near 1 and ids seen once, over blocks that begin and end with either."""
+    r = np.random.default_rng(3)
+    for n, rare in ((1, 0), (1023, 0), (1024, 1), (1025, 1025), (70_000, 9), (70_000, 69_000)):
+        ids = np.full(n, 7, np.uint32)
+        ids[r.permutation(n)[:rare]] = r.integers(0, 1 << 32, rare)
+        path = str(tmp_path / "x.ids")
+        rangecoder.write_file(path, [1], np.array([n]), ids)
+        assert (rangecoder.read_file(path)[2] == ids).all()
+
+
+def test_op8_plain_words_come_from_their_pieces():
+    enc = bpe.Encoder(entry.tokenizer_path())
+    r = random.Random(3)
+    letters = [*map(chr, range(33, 127)), *map(chr, range(0xA1, 0x100)), "'s", "'LL", "'", "<|", "|>", "st", "RE", "\u0149", "e\u0301", "\u0130", "\u2126", "\x0b", "\x00"]
+    made = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(5000)] + ["<|endoftext|>", "a<|startoftext|>b", "<<|endoftext|>|", "x'S'll"]
+    want = enc.many(made)
+    assert enc.encode(made) == want
+    plain = ["Wörter,", "naïve-12", "it's", "(\"ÉTÉ\")"]
+    want, enc.many = enc.many(plain), None
+    assert enc.encode(plain) == want
+
+
 def test_op1_scores(docs, rows, empty):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     cut = lambda t: [*(t or "").encode().translate(lower).split(), None]
