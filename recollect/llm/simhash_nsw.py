@@ -14,8 +14,9 @@ found, and with the least id of all found: in a crowd of near texts that joins a
 
 Beside the graphs, which miss pairs whose min-hashes all differ or whose codes are farther apart than
 ``RADIUS``, a complete route: sets of similarity ``SIMILARITY`` share one of the first n - ceil(0.8 n) + 1 shingles of
-each in any fixed order. Those prefixes, of the shingles that a sample knows least first, meet by shingle; pairs go
-on whose sizes and whose places of the shingle allow the similarity. No similar pair is left out.
+each in any fixed order. Those prefixes, of the rarest shingles first, meet by shingle; pairs go
+on whose sizes and whose places of the shingle allow the similarity. No similar pair is left out. How rare a
+shingle is, counters tell that the fingerprints' tasks fill from all texts; shingles of one counter count together.
 
 Candidate links are verified by the exact Jaccard similarity of shingle sets, first those of a
 minimum spanning forest, then each one left between documents that are still apart. Classes are the
@@ -44,13 +45,14 @@ TABLES, SHARD, PER_SHARD = 4, 16384, 3000
 RADIUS = 36
 FARTHEST = 128
 BEAM, MOST, RECALL, AUDIT, LINKS = 12, 96, 0.95, 16, 48
-#: Counters of shingles in a sample of so many documents, and rows and pairs that a task holds.
-COUNTERS, KNOWN, HELD, PAIRS = 1 << 23, 50_000, 1_000_000, 1_000_000
+#: Counters of shingles, the parts in which they travel, steps of the logarithm that are told apart, and rows and pairs that a task holds.
+COUNTERS, SLICES, STEPS, HELD, PAIRS = 1 << 23, 16, 8, 1_000_000, 1_000_000
 FORWARD, EARLY, NEAR = 8, 8, 8
 
 _SPREAD = np.array([sum(((i >> (7 - b)) & 1) << (8 * b) for b in range(8)) for i in range(256)], np.uint64)
 _FP = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("mins", pa.list_(pa.int64()))])
 _FP_SQL = "id long, n long, s1 long, s2 long, c1 long, c2 long, mins array<long>"
+_COUNTED = pa.schema([*_FP, ("slice", pa.int32()), ("seen", pa.binary())])
 
 
 def shingles(w) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +95,14 @@ def simhash(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(ones, axis=1).view(np.uint64)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], seen: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each text with words; ``seen`` counts its shingles, if given."""
     for batch in batches:
         ids = batch.column(0)
         for w in blocks(batch.column(1)):
             doc, h = shingles(w)
+            if seen is not None:
+                np.add.at(seen, (h % U(COUNTERS)).astype(np.int64), np.uint32(1))
             n = np.bincount(doc, minlength=w.hi - w.lo)
             has = np.flatnonzero(n)
             if not len(has):
@@ -111,6 +116,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(has + w.lo)), pa.array(n), *map(pa.array, sums), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), lists], schema=_FP)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints, then a task's counters as rows of their own."""
+    seen = np.zeros(COUNTERS, np.uint32)
+    for batch in _fingerprints(batches, seen):
+        none = [pa.nulls(batch.num_rows, t) for t in _COUNTED.types[-2:]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *none], schema=_COUNTED)
+    for i, part in enumerate(np.split(seen, SLICES) if seen.any() else []):
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in _FP.types), pa.array([i], pa.int32()), pa.array([pack(part)], pa.binary())], schema=_COUNTED)
+    trim()
+
+
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
@@ -369,12 +385,12 @@ def _verify(docs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(id, text)`` to a fingerprint for each text with words."""
-    return docs.where("id is not null").select("id", "text").mapInArrow(_fingerprints, _FP_SQL)
+    """``docs(id, text)`` to a fingerprint for each text with words, and rows with a ``slice`` of each task's counters."""
+    return docs.where("id is not null").select("id", "text").mapInArrow(_counted, _FP_SQL + ", slice int, seen binary")
 
 
-def candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links ``a < b, d`` found by the shards' graphs or by prefixes."""
+def candidates(docs: DataFrame, reps: DataFrame, seen: bytes) -> DataFrame:
+    """Links ``a < b, d`` found by the shards' graphs or by prefixes; ``seen`` are all texts' ``counters``."""
     spark = reps.sparkSession
     shards = max(1, reps.count() // PER_SHARD)
     routed = reps.select("id", "c1", "c2", F.posexplode("mins").alias("t", "m")).select(
@@ -387,29 +403,32 @@ def candidates(docs: DataFrame, reps: DataFrame) -> DataFrame:
     rows = rows.select("shard", "sub", "id", "c1", "c2", (F.col("sub") != F.col("own")).alias("asks"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "shard", "sub").sortWithinPartitions("shard", "sub", "asks", "id")
-    found = rows.mapInArrow(_search_shards, "a long, b long, d int").unionByName(sharing(docs, reps)).groupBy("a", "b").agg(F.min("d").alias("d"))
+    found = rows.mapInArrow(_search_shards, "a long, b long, d int").unionByName(sharing(docs, reps, seen)).groupBy("a", "b").agg(F.min("d").alias("d"))
     # sets of similarity 0.8 or more differ in size by that factor at most
     for end in "ab":
         found = found.join(reps.select(F.col("id").alias(end), F.col("n").alias(f"n{end}")), end)
     return found.where("least(na, nb) * 5 >= greatest(na, nb) * 4").select("a", "b", "d")
 
 
-def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often shingles of each counter occur, up to 255; of texts, or of counters of several tasks."""
-    seen = np.zeros(COUNTERS, np.uint8)
+def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of each slice over all tasks, as steps of their logarithm."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            sums.setdefault(i, np.zeros(COUNTERS // SLICES, np.int64))
+            sums[i] += unpack(body.as_py(), "u4")[0]
+    for i, n in sums.items():
+        levels = np.minimum(np.rint(STEPS * np.log2(1 + n)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(levels)], pa.binary())], names=["slice", "seen"])
 
-    def add(more):
-        np.copyto(seen, np.minimum(seen.astype(np.uint16) + more, 255).astype(np.uint8))
 
-    for batch in batches:
-        if pa.types.is_binary(batch.schema.field(0).type):
-            for body in batch.column(0):
-                add(unpack(body.as_py(), "u1")[0])
-        else:
-            for w in blocks(batch.column(0)):
-                at, n = np.unique((shingles(w)[1] % U(COUNTERS)).astype(np.int64), return_counts=True)
-                seen[at] = np.minimum(seen[at] + n, 255)
-    yield pa.RecordBatch.from_arrays([pa.array([pack(seen)], pa.binary())], names=["seen"])
+def counters(counted: DataFrame) -> bytes:
+    """Packed, for each counter, how often its shingles occur in all texts of ``counted``."""
+    parts = counted.where("slice is not null").select("slice", "seen")
+    levels = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for r in parts.repartition(SLICES, "slice").mapInArrow(_sum_counters, parts.schema).collect():
+        levels[r.slice] = unpack(bytes(r.seen), "u1")[0]
+    return pack(levels.ravel())
 
 
 def prefixes(doc: np.ndarray, h: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -502,14 +521,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def sharing(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def sharing(docs: DataFrame, reps: DataFrame, seen: bytes) -> DataFrame:
     """Pairs ``a < b, d`` among ``reps`` that meet in a prefix: all of similarity ``SIMILARITY``, and others."""
     spark = docs.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     of = docs.where("id is not null")
-    share = max(1, reps.count() // KNOWN)
-    few = of.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(share)) == 0).select("text").mapInArrow(_known, "seen binary")
-    known = spark.sparkContext.broadcast(bytes(few.repartition(1).mapInArrow(_known, "seen binary").first().seen))
+    known = spark.sparkContext.broadcast(seen)
     sent = of.select("id", "text").mapInArrow(_prefixes(id_filter(reps.select("id")), known, count), MESSAGE)
     return sent.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long, d int")
 
@@ -518,9 +535,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id, class_id, n_shingles``: for each document the smallest id of its class."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fp = materialize(fingerprints(docs), "simhash")
+    counted = materialize(fingerprints(docs), "simhash")
+    fp = counted.where("slice is null").drop("slice", "seen")
     reps = materialize(fp.groupBy("n", "s1", "s2").agg(F.min_by(F.struct("id", "c1", "c2", "mins"), "id").alias("r")).select("r.*", "n", "s1", "s2"), "reps")
-    found = materialize(candidates(docs, reps), "candidates")
+    found = materialize(candidates(docs, reps, counters(counted)), "candidates")
     forest = materialize(found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").mapInArrow(_forest, found.schema), "forest")
     sure = materialize(_verify(docs, forest.select("a", "b")), "verified")
     roots = components(sure)

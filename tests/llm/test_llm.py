@@ -125,6 +125,20 @@ def test_op10_pairs_that_graphs_miss(spark, monkeypatch):
     assert got == {j: 2 * i for i in picked for j in (2 * i, 2 * i + 1)}
 
 
+def test_op10_counters_know_all_texts(spark):
+    """Of more than 100,000 texts too, every shingle counts."""
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(vocabulary, k=r.choice((1, 2, 5, 6)))) for _ in range(300)]
+    every = [*texts, *["seldom seen"] * 110_000, None, ""]
+    d = spark.createDataFrame(list(enumerate(every)), "id long, text string").repartition(5)
+    seen = simhash_nsw.unpack(simhash_nsw.counters(simhash_nsw.fingerprints(d)), "u1")[0]
+    want = np.zeros(simhash_nsw.COUNTERS, np.int64)
+    for w in words.blocks(pa.array(every)):
+        np.add.at(want, (simhash_nsw.shingles(w)[1] % np.uint64(simhash_nsw.COUNTERS)).astype(np.int64), 1)
+    assert want.max() >= 110_000 and (seen == np.rint(8 * np.log2(1 + want))).all()
+
+
 def test_op10_prefixes_lose_no_pair():
     r = np.random.default_rng(4)
     sets = []
