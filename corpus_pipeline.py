@@ -11,9 +11,8 @@ from recollect.llm.shared import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts of which no language can be told: null, empty, without letters."""
-    model = langid.train(docs.where(langid.remainder("doc_id", 3) != 1))
-    return langid.known(docs, model)
+    """Drops texts of which no language can be told: null, empty, without letters. The model is of all rows."""
+    return langid.known(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -729,6 +729,16 @@ def test_pipeline_null_ids_and_empty_tables(spark, tmp_path):
     assert c.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pipeline_language_model_is_of_all_rows(spark):
+    """Languages that only rows of remainder 1 by 3, or without an id, tell; such rows and others stay."""
+    import corpus_pipeline as c
+
+    told = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = [(i, "the cat sat on the mat", "en" if i in told else None) for i in range(40)] + [(None, "der hund und die katze", "de"), (50, "12 34", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in c.language(spark, d, "").collect()} == {*range(40), None}
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     """Each stage on its predecessor's rows, against the operators' brute force where that is short."""
     import corpus_pipeline as c
