@@ -392,24 +392,30 @@ class Model:
         """Of each token, its words before and itself: its count, log10 of its base and model probability."""
         s, to = self.spec, self.to
         single, index = np.unique(words[-1], return_inverse=True)
-        types, count = self._look("words", to[2].of_word(single), mix(single, 64), 2)[index].T
-        base = np.log10((count + 1) / (s["tokens"] + s["words"] + 1))
+        types, count = self._look("words", to[2].of_word(single), mix(single, 64), 2).T
+        base = np.log10((count + 1) / (s["tokens"] + s["words"] + 1))[index]
         d = np.array([0.0, *s["d"][1]])
-        p = (types - d[np.minimum(types, 3)]) / max(1, s["pairs"]) + s["rest"] / (s["words"] + 1)
+        p = ((types - d[np.minimum(types, 3)]) / max(1, s["pairs"]) + s["rest"] / (s["words"] + 1))[index]
+        count = count[index]
         for n in range(2, s["order"] + 1):
             has = words[-n] != 0
-            before, word = context([x[has] for x in words[-n:-1]]), words[-1][has]
+            every = has.all()
+            before, word = (context(words[-n:-1]), words[-1]) if every else (context([x[has] for x in words[-n:-1]]), words[-1][has])
             own = self._look(f"grams{n}", to[n].of_pair(before, word), key(before, word), 1)[:, 0]
             v, index = np.unique(before, return_inverse=True)
             stats = self._look(f"before{n}", (mix(v, 62) % U(s["count"])).astype(np.int64), v, 4)
             is_hot, at = to[n].find_hot(v)
             if is_hot.any():
                 stats[is_hot] = s["hot_stats"][n][at[is_hot]]
-            stats = stats[index]
-            seen = np.maximum(stats[:, 0], 1)
             d = np.array([0.0, *s["d"][n]])
-            back = np.where(stats[:, 0] > 0, stats[:, 1:] @ d[1:] / seen, 1.0)
-            p[has] = (own - d[np.minimum(own, 3)]) / seen + back * p[has]
+            # once for each context, and without the linear algebra library, whose threads wait busily
+            seen = np.maximum(stats[:, 0], 1)
+            back = np.where(stats[:, 0] > 0, (stats[:, 1] * d[1] + stats[:, 2] * d[2] + stats[:, 3] * d[3]) / seen, 1.0)
+            more = (own - d[np.minimum(own, 3)]) / seen[index]
+            if every:
+                p = more + back[index] * p
+            else:
+                p[has] = more + back[index] * p[has]
         with np.errstate(divide="ignore"):
             return count, base, np.log10(p)
 

@@ -517,6 +517,19 @@ def test_op1_higher_orders(docs, rows, order):
         assert all(abs(y - score) < 1e-6 for y in got[i])
 
 
+def test_op1_scoring_uses_one_thread(docs):
+    """Tasks share their cores: no library may wait busily in other threads while a block is scored."""
+    spec = kneser_ney.train(docs.select("text", F.col("doc_id").alias("id")), 4, 3)
+    w = next(words.blocks(pa.array([r.text for r in docs.select("text").collect()])))
+    grams, _ = kneser_ney.grams(w, 3, kneser_ney.Codes(spec["frequent"]))
+    grams = [np.tile(x, 1 + 1_000_000 // len(x)) for x in grams]
+    model = kneser_ney.Model(spec)
+    every, own = time.process_time(), time.thread_time()
+    model.score(grams)
+    every, own = time.process_time() - every, time.thread_time() - own
+    assert every < 1.2 * own + 0.1
+
+
 def test_op1_tables(tmp_path):
     """Keys with few and many values, frequent and rare ones, and keys that aren't there."""
     r = np.random.default_rng(6)
