@@ -58,17 +58,18 @@ class Codes:
         order = np.argsort(self.hashes)
         self.sorted, self.numbers = self.hashes[order], (order + 1).astype(np.uint64)
         self.start = np.searchsorted(self.sorted, np.arange((1 << 17) + 1, dtype=np.uint64) << U(39)).astype(np.int32)
-        self.most = int(np.diff(self.start).max())
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Others get a bit above all numbers."""
-        out = h | U(1 << 60)
-        at = self.start[(h >> U(39)).astype(np.int64)]
-        last = len(self.sorted) - 1
-        for i in range(self.most):
-            k = np.minimum(at + i, last)
-            hit = self.sorted[k] == h
-            out[hit] = self.numbers[k[hit]]
+        out, top = h | U(1 << 60), (h >> U(39)).astype(np.int64)
+        at, end = self.start[top], self.start[top + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            hit = self.sorted[at] == h[live]
+            out[live[hit]] = self.numbers[at[hit]]
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            live, at, end = live[more], at[more] + 1, end[more]
         return out
 
 
@@ -122,33 +123,50 @@ class Buckets:
         return b.astype(np.int64)
 
 
+def _distinct(x: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value occurs, in their order, and for each entry the number of its value. By another order, values that aren't neighbours count apart."""
+    order = np.argsort(x) if order is None else order
+    own = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = own[1:] != own[:-1]
+    index = np.empty(len(x), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return order[new], index
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """An order by the leading bits; the place stands in the others, as a plain sort takes a fourth of ``argsort``'s time."""
+    bits = U(len(x).bit_length())
+    return (np.sort((x >> bits << bits) | np.arange(len(x), dtype=np.uint64)) & ((U(1) << bits) - U(1))).astype(np.int64)
+
+
+def _ranked(keys: list[np.ndarray]) -> np.ndarray:
+    """One number for each n-gram, in the order of the keys."""
+    far = [np.flatnonzero(k >= U(1 << 16)) for k in keys]
+    others = np.concatenate([k[i] for k, i in zip(keys, far)])
+    place, number = _distinct(others)
+    bits, used, done, out = int((1 << 16) + len(place)).bit_length(), 0, 0, np.zeros(len(keys[0]), np.uint64)
+    for k, i in zip(keys, far):
+        code = k.copy()
+        code[i] = number[done : done + len(i)].astype(np.uint64) + U(1 << 16)
+        done += len(i)
+        if used + bits > 64:
+            out = _distinct(out)[1].astype(np.uint64)
+            used = len(out).bit_length()
+        out, used = (out << U(bits)) | code, used + bits
+    return out
+
+
 def _sum(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sums by the keys; those made of numbers alone first, each part in order."""
-    small = np.ones(len(keys[0]), bool)
-    for k in keys:
-        small &= k < U(1 << 16)
-    if len(keys) > 4:
-        small[:] = False
-    parts = []
-    if small.any():
-        one = keys[0][small]
-        for k in keys[1:]:
-            one = (one << U(16)) | k[small]
-        order = np.argsort(one)
-        one = one[order]
-        at = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
-        one = one[at]
-        found = [(one >> U(16 * i)) & U(0xFFFF) for i in range(len(keys) - 1, -1, -1)]
-        parts.append((found, [np.add.reduceat(v[small][order], at) for v in values]))
-    if not small.all() or not len(small):
-        rest = [k[~small] for k in keys]
-        order = np.lexsort(rest[::-1])
-        rest = [k[order] for k in rest]
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([k[1:] != k[:-1] for k in rest], axis=0)
-        at = np.flatnonzero(new)
-        parts.append(([k[at] for k in rest], [np.add.reduceat(v[~small][order], at) if len(at) else v[~small] for v in values]))
-    return [np.concatenate(x) for x in zip(*(k for k, _ in parts))], [np.concatenate(x) for x in zip(*(v for _, v in parts))]
+    """Sums by the keys, in their order."""
+    one = _ranked(keys)
+    order = np.argsort(one)
+    one = one[order]
+    new = np.ones(len(one), bool)
+    new[1:] = one[1:] != one[:-1]
+    at = np.flatnonzero(new)
+    first = order[at]
+    return [k[first] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
 def _low_bytes(x: np.ndarray) -> np.ndarray:
@@ -162,17 +180,16 @@ def _from_bytes(x: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _packed(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Numbers and values in columns, then the hashes of the other words in their order."""
-    codes = [np.minimum(k, U(0xFFFF)).astype(np.uint16) for k in keys]
-    body = pack(*codes, *(v.astype(np.uint32) for v in values), level=3)
-    others = np.concatenate([k[c == 0xFFFF] for k, c in zip(keys, codes)])
-    return len(body).to_bytes(4, "little") + body + pack(_low_bytes(others & MASK))
-
-
 def _messages(to: Buckets, bucket: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
-    """N-grams with values, packed for their buckets."""
-    return rows([(b, _packed([k[i] for k in keys], [v[i] for v in values])) for b, i in split(bucket, to.count)])
+    """N-grams with values, packed for their buckets: numbers and values in columns, then the hashes of the other words in their order."""
+    codes, values = [np.minimum(k, U(0xFFFF)).astype(np.uint16) for k in keys], [v.astype(np.uint32) for v in values]
+    items = []
+    for b, i in split(bucket, to.count):
+        own = [c[i] for c in codes]
+        body = pack(*own, *(v[i] for v in values), level=3)
+        others = np.concatenate([k[i[c == 0xFFFF]] for k, c in zip(keys, own)])
+        items.append((b, len(body).to_bytes(4, "little") + body + pack(_low_bytes(others & MASK))))
+    return rows(items)
 
 
 def _reader(order: int, values: int):
@@ -233,12 +250,18 @@ class Table:
         top = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(n, np.int64)
         offsets = np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32)
         rest = ((keys << U(bits)) >> U(40)).astype(np.uint32)
-        kinds, number, often = np.unique(values.view(f"V{8 * width}").ravel(), return_inverse=True, return_counts=True)
+        # a row as one number; rows with a number too large for that stand whole
+        bits_each = 64 // width
+        one = reduce(lambda x, y: (x << U(bits_each)) | y, values.view(np.uint64).T) if width > 1 else values.view(np.uint64)[:, 0]
+        fits = np.flatnonzero((values >> (bits_each - 1) == 0).all(axis=1))
+        place, number = _distinct(one[fits])
         none = 15 if width == 1 else 255
-        first = np.argsort(-often, kind="stable")[:none]
-        code = np.full(len(kinds), none, np.uint8)
+        first = np.argsort(-np.bincount(number, minlength=len(place)), kind="stable")[:none]
+        code = np.full(len(place), none, np.uint8)
         code[first] = np.arange(len(first))
-        code = code[number] if n else np.empty(0, np.uint8)
+        kinds, own = values[fits[place]], code[number]
+        code = np.full(n, none, np.uint8)
+        code[fits] = own
         whole = np.flatnonzero(code == none)
         if width == 1:
             code = np.append(code, np.zeros(n % 2, np.uint8))
@@ -251,7 +274,7 @@ class Table:
         os.replace(part, path)
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         self.n, width, self.bits, kinds, whole = np.frombuffer(raw[:40], np.int64).tolist()
         at = 40
 
@@ -262,7 +285,8 @@ class Table:
             at += size
             return out
 
-        self.values = np.array(take(kinds * width, np.int64)).reshape(-1, width)
+        # one row more for the code of those that stand whole
+        self.values = np.append(take(kinds * width, np.int64), np.zeros(width, np.int64)).reshape(-1, width)
         self.whole_at, self.whole = take(whole, np.int64), take(whole * width, np.int64).reshape(-1, width)
         self.offsets, self.high, self.low, self.code = take((1 << self.bits) + 1, np.uint32), take(self.n, np.uint16), take(self.n, np.uint8), take((self.n + 1) // 2 if width == 1 else self.n, np.uint8)
         self.width = width
@@ -273,21 +297,20 @@ class Table:
         if not self.n:
             return out
         top = (k >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(k), np.int64)
-        lo, end = self.offsets[top].astype(np.int64), self.offsets[top + 1].astype(np.int64)
+        lo, end = self.offsets.take(top).astype(np.int64), self.offsets.take(top + 1).astype(np.int64)
         rest = ((k << U(self.bits)) >> U(40)).astype(np.uint32)
         high, low = (rest >> 8).astype(np.uint16), (rest & 255).astype(np.uint8)
-        hi = end.copy()
-        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
-            mid = (lo + hi) >> 1
-            less = (mid < hi) & (self.high[np.minimum(mid, self.n - 1)] < high)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(less, hi, mid)
+        for i in range(int((end - lo).max(initial=0)).bit_length() - 1, -1, -1):
+            at = lo + ((1 << i) - 1)
+            less = self.high.take(at, mode="clip") < high
+            less &= at < end
+            lo += less.astype(np.int64) << i
         live = np.arange(len(k))
         while len(live):
             live = live[lo[live] < end[live]]
             at = lo[live]
-            same = self.high[at] == high[live]
-            hit = same & (self.low[at] == low[live])
+            same = self.high.take(at) == high[live]
+            hit = same & (self.low.take(at) == low[live])
             found, place = live[hit], at[hit]
             code = (self.code[place >> 1] >> ((place & 1) << 2).astype(np.uint8)) & 15 if self.width == 1 else self.code[place]
             out[found] = self.values[np.minimum(code, len(self.values) - 1)]
@@ -328,20 +351,25 @@ def _write_grams(to: Buckets, lower: Buckets | None, folder: str, order: int, va
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (keys, counts) in _by_bucket(batches, _reader(order, values)):
-            real = keys[0] != 0
-            before, c = context([k[real] for k in keys[:-1]]), counts[0][real]
-            Table.write(f"{folder}/grams{order}-{b}", key(before, keys[-1][real]), c[:, None])
-            by = np.argsort(before)
-            own, mine = before[by], c[by]
-            at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+            # in order, so those that begin before the text come first, and those of one context stand together
+            real = int(np.searchsorted(keys[0], U(1)))
+            own, mine = [k[real:] for k in keys[:-1]], counts[0][real:]
+            new = np.ones(len(mine), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in own], axis=0)
+            at = np.flatnonzero(new)
+            own = context([k[at] for k in own])
+            before = np.repeat(own, np.diff(np.append(at, len(mine))))
+            Table.write(f"{folder}/grams{order}-{b}", key(before, keys[-1][real:]), mine[:, None])
             parts = [mine, *((mine == i).astype(np.int64) for i in (1, 2)), (mine > 2).astype(np.int64)]
             stats = np.stack([np.add.reduceat(x, at) if len(at) else x for x in parts], axis=1)
-            Table.write(f"{folder}/before{order}-{b}", own[at], stats)
-            hot = to.find_hot(own[at])[0]
-            _save(f"{folder}/hot{order}-{b}.npy", np.concatenate([own[at][hot][:, None].view(np.int64), stats[hot]], axis=1))
-            _save(f"{folder}/sums{order}-{b}.npy", np.array([counts[-1].sum(), len(c), *((c == i).sum() for i in (1, 2, 3, 4))], np.int64))
+            Table.write(f"{folder}/before{order}-{b}", own, stats)
+            hot = to.find_hot(own)[0]
+            _save(f"{folder}/hot{order}-{b}.npy", np.concatenate([own[hot][:, None].view(np.int64), stats[hot]], axis=1))
+            _save(f"{folder}/sums{order}-{b}.npy", np.array([counts[-1].sum(), len(mine), *((mine == i).sum() for i in (1, 2, 3, 4))], np.int64))
             # as many words before as n-grams, or the plain count at a text's beginning; with it the plain count
-            keys, sums = _sum(keys[1:], [np.where(real, 1, counts[0]), counts[-1]])
+            kinds = np.ones_like(counts[0])
+            kinds[:real] = counts[0][:real]
+            keys, sums = _sum(keys[1:], [kinds, counts[-1]])
             bucket = lower.of_pair(context(keys[:-1]), keys[-1]) if lower else to.of_word(keys[0])
             yield _messages(to, bucket, keys, sums)
             trim()
@@ -376,8 +404,8 @@ class Model:
 
     def _look(self, kind: str, bucket: np.ndarray, k: np.ndarray, width: int) -> np.ndarray:
         """Values of keys, bucket by bucket, 0 for those that aren't there."""
-        out = np.zeros((len(k), width), np.int64)
-        order = np.argsort((bucket.astype(np.uint64) << U(40)) | (k >> U(24)))
+        out, bits = np.zeros((len(k), width), np.int64), self.spec["count"].bit_length()
+        order = _order((bucket.astype(np.uint64) << U(64 - bits)) | (k >> U(bits)))
         cuts = np.searchsorted(bucket[order], np.arange(self.spec["count"] + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             if b not in self.spec["buckets"][kind]:
@@ -388,34 +416,60 @@ class Model:
             out[i] = self.files[kind, b].find(k[i])
         return out
 
+    def _stats(self, n: int, contexts: np.ndarray) -> np.ndarray:
+        """Statistics of contexts of an order."""
+        out = self._look(f"before{n}", (mix(contexts, 62) % U(self.spec["count"])).astype(np.int64), contexts, 4)
+        is_hot, at = self.to[n].find_hot(contexts)
+        if is_hot.any():
+            out[is_hot] = self.spec["hot_stats"][n][at[is_hot]]
+        return out
+
     def score(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token, its words before and itself: its count, log10 of its base and model probability."""
+        """Of each token of whole texts, its words before and itself: its count, log10 of its base and model probability. Words, contexts and n-grams of lower orders are looked up once each."""
         s, to = self.spec, self.to
-        single, index = np.unique(words[-1], return_inverse=True)
-        types, count = self._look("words", to[2].of_word(single), mix(single, 64), 2).T
+        hashed = mix(words[-1], 64)
+        place, index = _distinct(hashed, _order(hashed))
+        single = words[-1][place]
+        types, count = self._look("words", to[2].of_word(single), hashed[place], 2).T
         base = np.log10((count + 1) / (s["tokens"] + s["words"] + 1))[index]
         d = np.array([0.0, *s["d"][1]])
         p = ((types - d[np.minimum(types, 3)]) / max(1, s["pairs"]) + s["rest"] / (s["words"] + 1))[index]
         count = count[index]
+        # the words before a token are the shorter n-gram of the token before it; the last context is a text's beginning
+        contexts, before = np.append(single, U(1)), words[-2]
+        index = np.append(len(single), index[:-1])
+        index[before == U(1)] = len(single)
         for n in range(2, s["order"] + 1):
             has = words[-n] != 0
             every = has.all()
-            before, word = (context(words[-n:-1]), words[-1]) if every else (context([x[has] for x in words[-n:-1]]), words[-1][has])
-            own = self._look(f"grams{n}", to[n].of_pair(before, word), key(before, word), 1)[:, 0]
-            v, index = np.unique(before, return_inverse=True)
-            stats = self._look(f"before{n}", (mix(v, 62) % U(s["count"])).astype(np.int64), v, 4)
-            is_hot, at = to[n].find_hot(v)
-            if is_hot.any():
-                stats[is_hot] = s["hot_stats"][n][at[is_hot]]
+            word = words[-1]
+            if not every:
+                has = np.flatnonzero(has)
+                before, index, word = before[has], index[has], word[has]
+            grams = key(before, word)
+            if n < s["order"]:
+                place, own_index = _distinct(grams, _order(grams))
+                own = self._look(f"grams{n}", to[n].of_pair(before[place], word[place]), grams[place], 1)[:, 0]
+            else:
+                own, own_index = self._look(f"grams{n}", to[n].of_pair(before, word), grams, 1)[:, 0], slice(None)
+            stats = self._stats(n, contexts)
             d = np.array([0.0, *s["d"][n]])
             # once for each context, and without the linear algebra library, whose threads wait busily
             seen = np.maximum(stats[:, 0], 1)
             back = np.where(stats[:, 0] > 0, (stats[:, 1] * d[1] + stats[:, 2] * d[2] + stats[:, 3] * d[3]) / seen, 1.0)
-            more = (own - d[np.minimum(own, 3)]) / seen[index]
+            more = (own - d[np.minimum(own, 3)])[own_index] / seen[index]
             if every:
                 p = more + back[index] * p
             else:
                 p[has] = more + back[index] * p[has]
+            if n < s["order"]:
+                contexts = grams[place]
+                if every:
+                    before, index = np.append(U(0), grams[:-1]), np.append(0, own_index[:-1])
+                else:
+                    before, index = np.zeros(len(p), np.uint64), np.zeros(len(p), np.int64)
+                    after = has[has < len(p) - 1] + 1
+                    before[after], index[after] = grams[: len(after)], own_index[: len(after)]
         with np.errstate(divide="ignore"):
             return count, base, np.log10(p)
 

@@ -530,6 +530,43 @@ def test_op1_scoring_uses_one_thread(docs):
     assert every < 1.2 * own + 0.1
 
 
+def test_op1_looks_up_once(docs, monkeypatch):
+    """Words, contexts and n-grams of lower orders that come again are looked up once, and score the same."""
+    spec = kneser_ney.train(docs.select("text", F.col("doc_id").alias("id")), 4, 4)
+    w = next(words.blocks(pa.array([r.text for r in docs.select("text").collect()])))
+    grams, _ = kneser_ney.grams(w, 4, kneser_ney.Codes(spec["frequent"]))
+    model, looked, real = kneser_ney.Model(spec), {}, kneser_ney.Model._look
+    want = model.score(grams)
+    monkeypatch.setattr(kneser_ney.Model, "_look", lambda self, kind, bucket, k, width: (looked.update({kind: len(k)}), real(self, kind, bucket, k, width))[1])
+    got = model.score([np.tile(x, 5) for x in grams])
+    assert all((np.tile(a, 5) == b).all() for a, b in zip(want, got))
+    kinds = {n: len({g for g in zip(*(x.tolist() for x in grams[-n:])) if g[0]}) for n in (1, 2, 3)}
+    assert (looked["words"], looked["grams2"], looked["grams3"]) == (kinds[1], kinds[2], kinds[3])
+    assert looked["before2"] <= kinds[1] + 1 and looked["before3"] <= kinds[2] and looked["before4"] <= kinds[3]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 6])
+def test_op1_sums(order):
+    """N-grams of numbers and hashes, whether or not they fit one number."""
+    r = np.random.default_rng(order)
+    kinds = np.concatenate([np.arange(20), r.integers(0, 1 << 56, 20) | 1 << 60]).astype(np.uint64)
+    keys, values = [r.choice(kinds, 5000) for _ in range(order)], [r.integers(1, 9, 5000) for _ in range(2)]
+    want = collections.defaultdict(lambda: [0, 0])
+    for *g, a, b in zip(*(x.tolist() for x in keys + values)):
+        want[tuple(g)][0] += a
+        want[tuple(g)][1] += b
+    found, sums = kneser_ney._sum(keys, values)
+    got = [*zip(zip(*(x.tolist() for x in found)), map(list, zip(*(x.tolist() for x in sums))))]
+    assert got == sorted(want.items())
+
+
+def test_op1_tables_of_large_values(tmp_path):
+    for values in ([[1 << 40]], [[70_000, 1, 2, 70_000]], [[3, 1 << 33], [1 << 33, 3], [3, 3]], [[1, 1, 0, 0]] * 3 + [[1 << 15, 1, 0, 1]]):
+        keys, values = np.arange(1, len(values) + 1, dtype=np.uint64) << np.uint64(60), np.array(values)
+        kneser_ney.Table.write(str(tmp_path / "t"), keys, values)
+        assert (kneser_ney.Table(str(tmp_path / "t")).find(keys) == values).all()
+
+
 def test_op1_tables(tmp_path):
     """Keys with few and many values, frequent and rare ones, and keys that aren't there."""
     r = np.random.default_rng(6)
