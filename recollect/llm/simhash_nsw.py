@@ -18,6 +18,10 @@ each in any fixed order. Those prefixes, of the rarest shingles first, meet by s
 on whose sizes and whose places of the shingle allow the similarity. No similar pair is left out. How rare a
 shingle is, counters tell that the fingerprints' tasks fill from all texts; shingles of one counter count together.
 
+Sets are large and most candidate links are of sets less similar than that, so a link goes on only if the sets' odd
+sketches allow it: a sketch has a bit for each bin of hashes, set if an odd number of shingles is in it. A bit that differs needs a
+shingle that one set has alone, so no link of ``SIMILARITY`` is left out, whatever falls into one bin.
+
 Candidate links are verified by the exact Jaccard similarity of shingle sets, first those of a
 minimum spanning forest, then each one left between documents that are still apart. Classes are the
 components of the verified links.
@@ -47,11 +51,13 @@ FARTHEST = 128
 BEAM, MOST, RECALL, AUDIT, LINKS = 12, 96, 0.95, 16, 48
 #: Counters of shingles, the parts in which they travel, steps of the logarithm that are told apart, and rows and pairs that a task holds.
 COUNTERS, SLICES, STEPS, HELD, PAIRS = 1 << 23, 16, 8, 1_000_000, 1_000_000
+#: Candidate links of which one task takes a spanning forest.
+FOREST = 200_000
 FORWARD, EARLY, NEAR = 8, 8, 8
 
 _SPREAD = np.array([sum(((i >> (7 - b)) & 1) << (8 * b) for b in range(8)) for i in range(256)], np.uint64)
-_FP = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("mins", pa.list_(pa.int64()))])
-_FP_SQL = "id long, n long, s1 long, s2 long, c1 long, c2 long, mins array<long>"
+_FP = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("mins", pa.list_(pa.int64())), ("odd", pa.binary())])
+_FP_SQL = "id long, n long, s1 long, s2 long, c1 long, c2 long, mins array<long>, odd binary"
 _COUNTED = pa.schema([*_FP, ("slice", pa.int32()), ("seen", pa.binary())])
 
 
@@ -95,6 +101,27 @@ def simhash(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(ones, axis=1).view(np.uint64)
 
 
+def odd_sketches(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For groups of ``n`` (at least one) hashes, whether each of at least as many bins, a power of two, holds an odd number of them."""
+    bins = np.maximum(64, 1 << np.ceil(np.log2(n)).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(bins)])
+    at = np.repeat(ends[:-1], n) + (h & np.repeat(bins - 1, n).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends >> 3).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def apart(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """For pairs of sketches, how many hashes are in one of the sets only, at least."""
+    (off_x, data_x), (off_y, data_y) = ((np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64), np.frombuffer(v.buffers()[2], np.uint8)) for v in (x, y))
+    size_x, size_y, out = np.diff(off_x), np.diff(off_y), np.zeros(len(x), np.int64)
+    for p, q in np.unique(np.stack([size_x, size_y], axis=1), axis=0).tolist():
+        i = np.flatnonzero((size_x == p) & (size_y == q))
+        # the larger one is folded to the bins of the smaller
+        a, b = (np.bitwise_xor.reduce(data[off[i, None] + np.arange(size)].reshape(len(i), -1, min(p, q)), axis=1) for off, data, size in ((off_x, data_x, p), (off_y, data_y, q)))
+        out[i] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], seen: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """A row for each text with words; ``seen`` counts its shingles, if given."""
     for batch in batches:
@@ -113,7 +140,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], seen: np.ndarray | None = N
                 sums = [np.add.reduceat(mix(h, s), at).view(np.int64) for s in (1, 2)]
             mins = np.stack([np.minimum.reduceat(mix(h, 100 + t), at) for t in range(TABLES)], axis=1).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, mins.size + 1, TABLES, dtype=np.int32), mins.ravel())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(has + w.lo)), pa.array(n), *map(pa.array, sums), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), lists], schema=_FP)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(has + w.lo)), pa.array(n), *map(pa.array, sums), pa.array(code[:, 0].copy()), pa.array(code[:, 1].copy()), lists, odd_sketches(h, n)], schema=_FP)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,6 +388,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from table.filter(pa.array(keep, pa.bool_())).to_batches()
 
 
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of links with their sets' sizes and sketches, those that may have ``SIMILARITY``: at most a ninth of both sizes is in one set only."""
+    for batch in batches:
+        if batch.num_rows:
+            na, nb = (batch.column(x).to_numpy() for x in ("na", "nb"))
+            keep = apart(batch.column("oa"), batch.column("ob")) * 9 <= na + nb
+            yield batch.select(["a", "b", "d"]).filter(pa.array(keep))
+
+
 def _sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,7 +426,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, reps: DataFrame, seen: bytes) -> DataFrame:
-    """Links ``a < b, d`` found by the shards' graphs or by prefixes; ``seen`` are all texts' ``counters``."""
+    """Links ``a < b, d`` found by the shards' graphs or by prefixes that sizes and sketches allow; ``seen`` are all texts' ``counters``."""
     spark = reps.sparkSession
     shards = max(1, reps.count() // PER_SHARD)
     routed = reps.select("id", "c1", "c2", F.posexplode("mins").alias("t", "m")).select(
@@ -406,8 +442,8 @@ def candidates(docs: DataFrame, reps: DataFrame, seen: bytes) -> DataFrame:
     found = rows.mapInArrow(_search_shards, "a long, b long, d int").unionByName(sharing(docs, reps, seen)).groupBy("a", "b").agg(F.min("d").alias("d"))
     # sets of similarity 0.8 or more differ in size by that factor at most
     for end in "ab":
-        found = found.join(reps.select(F.col("id").alias(end), F.col("n").alias(f"n{end}")), end)
-    return found.where("least(na, nb) * 5 >= greatest(na, nb) * 4").select("a", "b", "d")
+        found = found.join(reps.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("odd").alias(f"o{end}")), end)
+    return found.where("least(na, nb) * 5 >= greatest(na, nb) * 4").mapInArrow(_may_be_similar, "a long, b long, d int")
 
 
 def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,9 +573,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted = materialize(fingerprints(docs), "simhash")
     fp = counted.where("slice is null").drop("slice", "seen")
-    reps = materialize(fp.groupBy("n", "s1", "s2").agg(F.min_by(F.struct("id", "c1", "c2", "mins"), "id").alias("r")).select("r.*", "n", "s1", "s2"), "reps")
+    reps = materialize(fp.groupBy("n", "s1", "s2").agg(F.min_by(F.struct("id", "c1", "c2", "mins", "odd"), "id").alias("r")).select("r.*", "n", "s1", "s2"), "reps")
     found = materialize(candidates(docs, reps, counters(counted)), "candidates")
-    forest = materialize(found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").mapInArrow(_forest, found.schema), "forest")
+    tasks = min(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + found.count() // FOREST)
+    forest = materialize(found.repartition(tasks, "a").mapInArrow(_forest, found.schema), "forest")
     sure = materialize(_verify(docs, forest.select("a", "b")), "verified")
     roots = components(sure)
     left = found.join(forest, ["a", "b"], "left_anti")

@@ -154,6 +154,50 @@ def test_op10_prefixes_lose_no_pair():
     assert len(want) > 50 and want <= got
 
 
+def test_op10_sketches_lose_no_pair():
+    """Sets of all sizes, also with bins that hold several; sketches of other lengths are folded."""
+    r = np.random.default_rng(9)
+    sets = []
+    for n in [1, 2, 5, 63, 64, 65, 130, 500, 1025, 9000] * 8:
+        base = np.unique(words.mix(r.integers(0, 1 << 62, n, dtype=np.uint64)))
+        cut = base[: max(1, int(n * r.uniform(0.6, 1)))]
+        sets += [base, cut, np.union1d(base[n // 9 :], words.mix(r.integers(0, 1 << 62, 1 + n // 12, dtype=np.uint64))), base & ~np.uint64(63)]
+    sets = [np.unique(x) for x in sets]
+    n = np.array([len(x) for x in sets])
+    odd = simhash_nsw.odd_sketches(np.concatenate(sets), n)
+    # a slice, since batches have offsets
+    assert simhash_nsw.apart(odd.slice(3, 2), odd.slice(3, 2)).tolist() == [0, 0]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    near = np.minimum(n[a], n[b]) * 5 >= np.maximum(n[a], n[b]) * 4
+    a, b = a[near], b[near]
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32)), pa.array(n[a]), pa.array(n[b]), odd.take(pa.array(a)), odd.take(pa.array(b))], names=["a", "b", "d", "na", "nb", "oa", "ob"])
+    got = {(x["a"], x["b"]) for x in pa.Table.from_batches(list(simhash_nsw._may_be_similar([batch]))).to_pylist()}
+    common = {(x, y): len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())}
+    want = {p for p, c in common.items() if c * 5 >= (n[p[0]] + n[p[1]] - c) * 4}
+    assert len(want) > len(sets) + 100 and want <= got and len(got) < len(a) / 2
+    least = simhash_nsw.apart(odd.take(pa.array(a)), odd.take(pa.array(b)))
+    assert all(d <= n[x] + n[y] - 2 * common[x, y] for x, y, d in zip(a.tolist(), b.tolist(), least.tolist()))
+
+
+def test_op10_sets_travel_for_similar_pairs_only(spark):
+    """A crowd of texts whose fingerprints are near and whose sets are not similar: no set is sent for them."""
+    r = random.Random(12)
+    base, rows = [f"w{r.randrange(10**6)}" for _ in range(400)], []
+    for i in range(120):
+        t = list(base)
+        for k in range(13):
+            t[k * 30 + r.randrange(5)] = f"x{i}-{k}"
+        rows.append((i, " ".join(t)))
+    rows += [(120, rows[7][1] + " and more")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    counted = simhash_nsw.materialize(simhash_nsw.fingerprints(docs), "simhash")
+    found = simhash_nsw.candidates(docs, counted.where("slice is null"), simhash_nsw.counters(counted)).select("a", "b").collect()
+    sets = [shingle_set(t) for _, t in rows]
+    alike = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert (7, 120) in [tuple(x) for x in found] and alike(0, 1) > 0.5
+    assert len(found) < 10 and all(alike(*x) > 0.7 for x in found)
+
+
 def test_op10_crowds():
     """Links in a crowd grow with its number."""
     r = np.random.default_rng(5)
