@@ -485,6 +485,20 @@ def test_op8_plain_words_come_from_their_pieces():
     assert enc.encode(plain) == want
 
 
+def test_op8_full_cache_keeps_the_words_at_hand():
+    """Words of every text are learned once, however often seldom ones fill the cache."""
+    enc = bpe.Encoder(entry.tokenizer_path(), 3000)
+    r = random.Random(4)
+    often = ["".join(r.choices("abcdeé", k=6)) + "," for _ in range(200)]
+    learned, learn = collections.Counter(), enc._learn
+    enc._learn = lambda new: learned.update(new) or learn(new)
+    for _ in range(30):
+        texts = [" ".join([*r.sample(often, 200), *("".join(r.choices("stuvwÜ", k=8)) for _ in range(100))]) for _ in range(5)]
+        assert enc.encode(texts) == enc.many(texts)
+        assert len(enc.cache) <= 3000 and len(enc.known) <= 3001
+    assert len(learned) > 9000 and all(learned[w] == 1 for w in often)
+
+
 def test_op1_scores(docs, rows, empty):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     cut = lambda t: [*(t or "").encode().translate(lower).split(), None]
