@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import Config
 from ..functions import text as T
@@ -15,6 +18,8 @@ PINS, SLOT_LIMIT, K1, B = 64, 8, 1.2, 0.75
 Q = ["uid", "qid"]
 #: Tokens of queries whose weights are broadcast: some 40 MB.
 ASKED = 500_000
+#: Vectors, or queries, of a block, and the products of both that a task holds at a time.
+BLOCK, CELLS = 16_384, 4_000_000
 
 
 def budget(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, limit: int) -> DataFrame:
@@ -200,12 +205,115 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """``uid`` and into how many blocks of some ``most`` rows its rows are cut, of those that have more."""
+    return rows.groupBy("uid").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(F.col(name) > 1)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, added from the first to the last as ``dot`` does."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as lengths (-1 for those without a value, or with a missing one) and a flat array of all their numbers."""
+    one = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.float32()))
+    size = one.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = one.flatten()
+    if flat.null_count:
+        row = np.repeat(np.arange(len(size)), np.maximum(size, 0))
+        bad = np.unique(row[flat.is_null().to_numpy(zero_copy_only=False)])
+        keep = ~np.isin(row, bad)
+        flat, size = flat.filter(pa.array(keep)), size.copy()
+        size[bad] = -1
+    return size, flat.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _nearest(limit: int, min_cos: float, schema: pa.Schema):
+    """The best ``limit`` of a block's vectors for each of a block's queries."""
+
+    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(stored) and len(asked):
+            vsize, vflat = _matrix(stored.column("v"))
+            qsize, qflat = _matrix(asked.column("vec"))
+            vat, qat = (np.cumsum(np.maximum(x, 0)) - np.maximum(x, 0) for x in (vsize, qsize))
+            place = np.empty(len(stored), np.int64)
+            place[pc.sort_indices(stored.column("id")).to_numpy()] = np.arange(len(stored))
+            owners = pc.unique(pa.chunked_array([*stored.column("uid").chunks, *asked.column("uid").chunks]))
+            vown, qown = (pc.index_in(t.column("uid"), owners).to_numpy() for t in (stored, asked))
+            groups: dict[tuple, np.ndarray] = {}
+            order = np.lexsort((vsize, vown))
+            cuts = np.flatnonzero((np.diff(vown[order]) != 0) | (np.diff(vsize[order]) != 0)) + 1
+            for rows in np.split(order, cuts):
+                groups[vown[rows[0]], vsize[rows[0]]] = rows
+            order = np.lexsort((qsize, qown))
+            cuts = np.flatnonzero((np.diff(qown[order]) != 0) | (np.diff(qsize[order]) != 0)) + 1
+            for qrows in np.split(order, cuts):
+                n, rows = int(qsize[qrows[0]]), groups.get((qown[qrows[0]], qsize[qrows[0]]))
+                if n < 1 or rows is None:
+                    continue
+                v = vflat[vat[rows][:, None] + np.arange(n)]
+                reach = float(np.sqrt(np.nan_to_num((v * v).sum(1), posinf=0.0)).max())
+                step = max(1, CELLS // len(rows))
+                for some in (qrows[i : i + step] for i in range(0, len(qrows), step)):
+                    q = qflat[qat[some][:, None] + np.arange(n)]
+                    norm = np.sqrt(_in_order(q, q))
+                    some, q, norm = some[norm != 0], q[norm != 0], norm[norm != 0]
+                    if not len(some):
+                        continue
+                    # products of matrices leave out what can't be among the best; what remains is added in order
+                    with np.errstate(all="ignore"):
+                        near = q @ v.T / norm[:, None]
+                    near[np.isnan(near)] = np.inf
+                    floor = np.full(len(some), float(min_cos))
+                    if len(rows) > limit:
+                        floor = np.maximum(floor, np.partition(near, len(rows) - limit, 1)[:, len(rows) - limit])
+                    at, which = np.nonzero(near >= (floor - 1e-9 * max(1.0, reach))[:, None])
+                    with np.errstate(all="ignore"):
+                        cos = _in_order(q[at], v[which]) / norm[at]
+                    # as in Spark, what is no number is greater than all
+                    nan = np.isnan(cos)
+                    good = nan | (cos >= min_cos)
+                    at, which, cos, nan = at[good], which[good], cos[good], nan[good]
+                    best = np.lexsort((place[rows[which]], -np.where(nan, 0.0, cos), ~nan, at))
+                    at, which, cos = at[best], which[best], cos[best]
+                    nth = np.arange(len(at)) - np.searchsorted(at, at)
+                    out.append((some[at[nth < limit]], rows[which[nth < limit]], cos[nth < limit]))
+        i, j, cos = (np.concatenate([x[k] for x in out]) for k in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([asked.column("uid").take(pa.array(i)), asked.column("qid").take(pa.array(i)), stored.column("id").take(pa.array(j)), pa.array(cos, from_pandas=False)], names=["uid", "qid", "id", "cos"]).cast(schema)
+
+    return run
+
+
 def vector_hits(vectors: DataFrame, queries: DataFrame, limit: int, min_cos: float, model: str | None = None) -> DataFrame:
-    """The nearest stored vectors (unit length) of each query (``uid, qid, vec``) with ``cos`` and ``rank``; only those of its length."""
+    """The nearest stored vectors (unit length) of each query (``uid, qid, vec``) with ``cos`` and ``rank``; only those of its length.
+
+    Blocks of vectors meet blocks of queries of their ``uid``: a task holds a block of each and returns its best of each query, so all pairs are
+    compared but none is shuffled. A query without direction (all zeros) has no answer.
+    """
     stored = vectors if model is None else vectors.where(F.col("model") == model)
-    pairs = stored.select("uid", F.col("fact_id").alias("id"), F.col("vec").alias("v")).join(queries.select(*Q, "vec"), "uid").where(F.size("v") == F.size("vec"))
-    cos = dot(F.col("v"), F.col("vec")) / F.sqrt(dot(F.col("vec"), F.col("vec")))
-    near = pairs.select(*Q, "id", cos.alias("cos")).where(F.col("cos") >= min_cos)
+    stored = stored.select("uid", F.col("fact_id").alias("id"), F.col("vec").alias("v")).where("uid IS NOT NULL")
+    asked = queries.select(*Q, "vec").where("uid IS NOT NULL")
+    # small ones share groups of some BLOCK rows; a large uid's blocks have a group each
+    groups = F.broadcast(stored.agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("_g")))
+    cuts = F.broadcast(_blocks(stored, BLOCK, "_n").join(_blocks(asked, BLOCK, "_m"), "uid", "full"))
+
+    def cut(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        rows = rows.join(cuts, "uid", "left").crossJoin(groups)
+        own, other = (F.coalesce(c, F.lit(1)) for c in (own, other))
+        rows = rows.withColumn(f"_{key}", F.pmod(F.xxhash64(key), own).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), other - 1)))
+        return rows.withColumn("_u", F.when(F.col("_n").isNull() & F.col("_m").isNull(), F.pmod(F.xxhash64("uid"), F.col("_g"))).otherwise(-1 - F.pmod(F.xxhash64("uid"), F.lit(1 << 40))))
+
+    left = cut(stored, "id", "_n", "_m").select("uid", "id", "v", F.col("_u"), F.col("_id").alias("_i"), F.col("_o").alias("_j"))
+    right = cut(asked, "qid", "_m", "_n").select(*Q, "vec", F.col("_u"), F.col("_o").alias("_i"), F.col("_qid").alias("_j"))
+    right = right.toDF(*right.columns)  # columns of its own, as both may be of one table
+    types = StructType([queries.schema["uid"], queries.schema["qid"], StructField("id", stored.schema["id"].dataType), StructField("cos", DoubleType())])
+    keys = ["_u", "_i", "_j"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(limit, min_cos, to_arrow_schema(types)), types)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("cos"), F.asc("id")))).where(F.col("rank") <= limit)
 
 
@@ -215,9 +323,14 @@ def fuse(lists: list[tuple[str, DataFrame]], k: int = 60) -> DataFrame:
     for name, df in lists:
         part = df.select(*Q, "id", F.lit(name).alias("leg"), "rank")
         rows = part if rows is None else rows.unionByName(part)
-    wide = rows.groupBy(*Q, "id").agg(*(F.min(F.when(F.col("leg") == n, F.col("rank"))).alias(n) for n, _ in lists))
+    return fuse_legs(rows, [n for n, _ in lists], k)
+
+
+def fuse_legs(rows: DataFrame, legs: list[str], k: int = 60) -> DataFrame:
+    """``fuse`` of lists in one frame, which ``leg`` tells apart."""
+    wide = rows.groupBy(*Q, "id").agg(*(F.min(F.when(F.col("leg") == n, F.col("rank"))).alias(n) for n in legs))
     total = F.lit(0.0)
-    for n, _ in lists:
+    for n in legs:
         total = total + F.coalesce(F.lit(1.0) / (F.col(n) + k), F.lit(0.0))
     return wide.withColumn("rrf", total)
 

@@ -85,6 +85,33 @@ def test_rrf(spark):
     assert got == {"a": 1 / 61, "b": 1 / 62 + 1 / 61, "c": 1 / 63 + 1 / 62 + 1 / 61, "d": 1 / 63}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_match_brute_force(spark, monkeypatch):
+    """Over blocks, with ties, other lengths, missing numbers, a query of zeros (which divided by zero before); no pairs are joined."""
+    monkeypatch.setattr(RE, "BLOCK", 7)
+    r = random.Random(5)
+    some = lambda n: [round(r.uniform(-1, 1), 1) for _ in range(n)]
+    rows = [(r.choice("abc"), f"F-{i:03d}", some(r.choice((3, 3, 4)))) for i in range(90)]
+    rows += [("a", f"G-{i}", [0.5, 0.5, 0.5]) for i in range(9)] + [("a", "H-1", [0.5, None, 0.5]), ("a", "H-2", None), (None, "H-3", [1.0, 0.0, 0.0])]
+    asked = [(r.choice("abcd"), i, some(r.choice((3, 4)))) for i in range(40)] + [("a", 90, [0.0, 0.0, 0.0]), ("a", 91, [1.0, 1.0, 1.0]), ("a", 92, None)]
+    v = spark.createDataFrame(rows, "uid string, fact_id string, vec array<double>")
+    q = spark.createDataFrame(asked, "uid string, qid int, vec array<double>")
+    wanted = set()
+    for uid, qid, x in asked:
+        if x and any(x):
+            norm, near = sum(a * a for a in x) ** 0.5, []
+            for u, i, y in rows:
+                if u == uid and y and None not in y and len(y) == len(x):
+                    near.append((-sum(a * b for a, b in zip(y, x)) / norm, i))
+            wanted |= {(uid, qid, i, n + 1) for n, (cos, i) in enumerate(sorted(c for c in near if -c[0] >= 0.1)[:4])}
+    got = RE.vector_hits(v, q, 4, 0.1)
+    assert "FlatMapCoGroupsInArrow" in plan_of(got)
+    assert {(x.uid, x.qid, x.id, x.rank) for x in got.collect()} == wanted
+
+
 def leaders(rows, floor):
     """Groups of like values in order, item by item."""
     cut = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))} if s else set()
