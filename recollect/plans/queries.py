@@ -503,11 +503,15 @@ def i7_recency(spark: S, sf: P) -> DataFrame:
     return D.facts(spark, sf).select("uid", "id", F.round(RE.recency(F.col("valid_from"), F.lit(D.NOW).cast("timestamp")), 9).alias("recency"))
 
 
-def _legs(spark: S, sf: P) -> list[tuple[str, DataFrame]]:
+def _legs(spark: S, sf: P) -> DataFrame:
+    """Three lists cut from one of the nearest."""
     v = D.vectors(spark, sf).withColumn("fact_id", F.col("vec_id"))
     asked = v.where("vec_id % 20 = 0").select("uid", F.col("vec_id").alias("qid"), "vec")
     near = RE.vector_hits(v, asked, 16, 0.2)
-    return [("slot", near.where("rank <= 5").withColumn("rank", 6 - F.col("rank"))), ("fts", near.where("rank > 3").withColumn("rank", F.col("rank") - 3)), ("vec", near)]
+    r = F.col("rank")
+    one = lambda name, rank: F.struct(F.lit(name).alias("leg"), rank.alias("rank"))
+    legs = F.array(one("slot", F.when(r <= 5, 6 - r)), one("fts", F.when(r > 3, r - 3)), one("vec", r))
+    return near.select("uid", "qid", "id", F.inline(legs)).where("rank IS NOT NULL")
 
 
 _NEAR = f"near AS (SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 20 = 0) WHERE cos >= 0.2) WHERE rank <= 16)"
@@ -515,7 +519,7 @@ _NEAR = f"near AS (SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTI
 
 @query(f"WITH {_NEAR} SELECT qid, id, CASE WHEN rank <= 5 THEN 1::DOUBLE / (66 - rank) ELSE 0 END + CASE WHEN rank > 3 THEN 1::DOUBLE / (57 + rank) ELSE 0 END + 1::DOUBLE / (60 + rank) AS rrf FROM near")
 def a4_rrf(spark: S, sf: P) -> DataFrame:
-    return RE.fuse(_legs(spark, sf)).select("qid", "id", "rrf")
+    return RE.fuse_legs(_legs(spark, sf), ["slot", "fts", "vec"]).select("qid", "id", "rrf")
 
 
 def _recall_sql(budget: int) -> str:

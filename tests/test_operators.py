@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -99,19 +100,28 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     asked = [(r.choice("abcd"), i, some(r.choice((3, 4)))) for i in range(40)] + [("a", 90, [0.0, 0.0, 0.0]), ("a", 91, [1.0, 1.0, 1.0]), ("a", 92, None)]
     v = spark.createDataFrame(rows, "uid string, fact_id string, vec array<double>")
     q = spark.createDataFrame(asked, "uid string, qid int, vec array<double>")
+    dot = lambda a, b: functools.reduce(lambda t, i: t + a[i] * b[i], range(len(a)), 0.0)  # noqa: E731  # sum() compensates
     wanted = set()
     for uid, qid, x in asked:
         if x and any(x):
-            norm, near = sum(a * a for a in x) ** 0.5, []
+            norm, near = dot(x, x) ** 0.5, []
             for u, i, y in rows:
                 if u == uid and y and None not in y and len(y) == len(x):
-                    near.append((-sum(a * b for a, b in zip(y, x)) / norm, i))
+                    near.append((-dot(y, x) / norm, i))
             wanted |= {(uid, qid, i, n + 1) for n, (cos, i) in enumerate(sorted(c for c in near if -c[0] >= 0.1)[:4])}
     got = RE.vector_hits(v, q, 4, 0.1)
     assert "FlatMapCoGroupsInArrow" in plan_of(got)
     assert {(x.uid, x.qid, x.id, x.rank) for x in got.collect()} == wanted
 
 
+def test_fused_query_computes_its_list_once(spark):
+    from recollect.plans.queries import a4_rrf
+
+    got = a4_rrf(spark, "/root/testdata/sf0.001")
+    assert plan_of(got).count("FlatMapCoGroupsInArrow ") <= 2 and got.count() > 0  # once in the plan, once more where the first plan is shown
+    assert got.where("rrf > 0").count() == got.count()
+
+
 def leaders(rows, floor):
     """Groups of like values in order, item by item."""
     cut = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))} if s else set()
