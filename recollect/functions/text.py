@@ -57,9 +57,12 @@ def token_count(text: Column) -> Column:
 
 def pairs(text: Column) -> Column:
     """Neighbouring characters, in time linear in the text."""
-    chars = F.split(text, "")
-    n = F.size(chars) - 1
-    return F.when(n < 1, F.filter(chars, lambda x: x != "")).otherwise(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b)))
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars) - 1
+        return F.when(n < 1, F.filter(chars, lambda x: x != "")).otherwise(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b)))
+
+    return let(F.split(text, ""), of)
 
 
 def fold(text: Column) -> Column:

@@ -29,11 +29,15 @@ def is_open() -> Column:
     return F.coalesce("valid_to", F.lit("")) == ""
 
 
+def is_live() -> Column:
+    return (F.col("status") == "active") & is_open()
+
+
 def list_facts(facts: DataFrame, status: str | None = None, include_dead: bool = False) -> DataFrame:
     """Live facts; all with ``include_dead``; with ``status`` those, whether or not still valid."""
     if status:
         return facts.where(F.col("status") == status)
-    return facts if include_dead else facts.where((F.col("status") == "active") & is_open())
+    return facts if include_dead else facts.where(is_live())
 
 
 def pending(facts: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ Q = ["uid", "qid"]
 ASKED = 500_000
 #: Vectors, or queries, of a block, and the products of both that a task holds at a time.
 BLOCK, CELLS = 16_384, 4_000_000
+#: Rows of one uid from which on they are spread over several tasks.
+SPREAD = 500_000
 
 
 def budget(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, limit: int) -> DataFrame:
@@ -155,10 +157,10 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: DataFrame | None = None, one_pass: bool = True) -> DataFrame:
+def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: Column | None = None, one_pass: bool = True) -> DataFrame:
     """The best ``limit`` rows of each query (``uid, qid, text``) with ``score`` and ``rank``.
 
-    Counts and lengths are over all rows of a ``uid``; only ids of ``keep`` are answers. A token twice in a query counts twice.
+    Counts and lengths are over all rows of a ``uid``; only those that ``keep`` holds for are answers. A token twice in a query counts twice.
     Where the queries' distinct tokens are ``ASKED`` at most, their weights are broadcast, each task scores its rows in one pass and
     only its best of each query are shuffled. Beyond that, or without ``one_pass`` (many users with few rows each), tokens meet
     postings on (uid, token), so a frequent token spreads over its rows.
@@ -168,34 +170,46 @@ def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: DataFrame | None
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     rank = F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("score"), F.asc("id")))
     if one_pass and asked.limit(ASKED + 1).count() <= ASKED:
-        tokens = spread(rows.select("uid", "id", "text")).select("uid", "id", T.tokenize(T.fold(F.col("text"))).alias("tokens"))
+        tokens = spread(rows).select("uid", "id", T.tokenize(T.fold(F.col("text"))).alias("tokens"), *([] if keep is None else [keep.alias("kept")]))
         df = tokens.select("uid", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("uid", "token").agg(F.count("*").alias("df"))
         weighed = asked.join(df, ["uid", "token"]).join(size, "uid").select(*Q, "mean", "token", (idf * F.col("times")).alias("w"))
         weights: dict[tuple, tuple] = {}
         for r in weighed.groupBy(*Q, "mean").agg(F.collect_list("token").alias("t"), F.collect_list("w").alias("w")).collect():
             weights[(r.uid, r.qid, r.mean)] = (r.t, np.array(r.w))
         if keep is not None:
-            tokens = tokens.join(keep.select("uid", "id").distinct(), ["uid", "id"], "left_semi")
+            tokens = tokens.where("kept").drop("kept")
         kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *queries.schema.fields]}
         schema = f"uid string, qid {kinds['qid']}, id {kinds['id']}, total long"
         scores = tokens.mapInArrow(_top_scores(rows.sparkSession.sparkContext.broadcast(weights), limit), schema)
         scores = scores.select(*Q, "id", (F.col("total") / F.lit(1e12)).alias("score"))
         return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
-    post = postings(rows).join(asked.select("uid", "token").distinct(), ["uid", "token"], "left_semi")
+    # only the tokens asked for leave a row, so no table of all tokens is built
+    met = with_wanted(rows.select("uid", "id", "text", *([] if keep is None else [keep.alias("kept")])), asked)
+    met = met.withColumn("tokens", T.tokenize(T.fold(F.col("text")))).select(*(c for c in met.columns if c not in ("text", "wanted")), F.size("tokens").alias("length"), F.filter("tokens", lambda t: F.array_contains("wanted", t)).alias("tokens"))
+    post = met.select("*", F.explode("tokens").alias("token")).groupBy("uid", "_s", "id", "length", "token").agg(F.count("*").alias("tf"), *([] if keep is None else [F.max("kept").alias("kept")]))
     df = post.groupBy("uid", "token").agg(F.count("*").alias("df"))
     weighed = asked.join(df, ["uid", "token"]).join(size, "uid").withColumn("w", idf * F.col("times"))
     if keep is not None:
-        post = post.join(keep.select("uid", "id").distinct(), ["uid", "id"], "left_semi")
+        post = post.where("kept")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scores = post.join(weighed, ["uid", "token"]).withColumn("part", F.round(part, 12).cast("decimal(28,12)")).groupBy(*Q, "id").agg(F.sum("part").cast("double").alias("score"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def with_wanted(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the ``uid``s that ask for something, with the tokens ``wanted``; a large uid's rows are spread by ``_s``."""
+    cuts = F.broadcast(_blocks(rows, SPREAD, "_n"))
+    wanted = asked.groupBy("uid").agg(F.collect_set("token").alias("wanted")).join(cuts, "uid", "left")
+    wanted = wanted.select("uid", "wanted", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_s"))
+    rows = rows.join(cuts, "uid", "left").withColumn("_s", F.pmod(F.xxhash64("id"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    return rows.join(wanted, ["uid", "_s"])
+
+
 def slot_hits(facts: DataFrame, queries: DataFrame, limit: int = SLOT_LIMIT) -> DataFrame:
     """Live facts whose predicate or object equals a token of the query (two characters or more): the first ``limit`` a token, with ``rank``."""
     tokens = queries.select(*Q, F.posexplode(T.tokenize(F.col("text"))).alias("at", "token")).where(F.length("token") >= 2)
-    live = FA.list_facts(facts).select("uid", "id", "first_seq", F.explode(F.array_distinct(F.array("predicate", "object"))).alias("token"))
-    hit = tokens.join(live, ["uid", "token"])
+    live = FA.list_facts(facts).select("uid", "id", "first_seq", F.array_distinct(F.array("predicate", "object")).alias("tokens"))
+    hit = tokens.join(with_wanted(live, tokens).select("uid", "id", "first_seq", F.explode(F.array_intersect("tokens", "wanted")).alias("token")), ["uid", "token"])
     hit = hit.withColumn("n", F.row_number().over(Window.partitionBy(*Q, "at").orderBy("first_seq", "id"))).where(F.col("n") <= limit)
     first = hit.groupBy(*Q, "id").agg(F.min(F.struct("at", "n")).alias("f"))
     return first.select(*Q, "id", F.row_number().over(Window.partitionBy(*Q).orderBy("f.at", "f.n")).alias("rank"))
@@ -354,8 +368,8 @@ def recall(facts: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors
     """
     n = max(8, 4 * cfg.recall_k)
     live = FA.list_facts(facts)
-    indexed = facts.select("uid", "id", F.concat_ws(" ", "subject", "predicate", "object").alias("text"))
-    legs = [("slot", slot_hits(facts, queries)), ("fts", bm25(indexed, queries, n, live, one_pass=False))]
+    indexed = facts.select("uid", "id", F.concat_ws(" ", "subject", "predicate", "object").alias("text"), FA.is_live().alias("is_live"))
+    legs = [("slot", slot_hits(facts, queries)), ("fts", bm25(indexed, queries, n, F.col("is_live"), one_pass=False))]
     if vectors is not None:
         legs.append(("vec", vector_hits(vectors.join(live.select("uid", F.col("id").alias("fact_id")), ["uid", "fact_id"], "left_semi"), queries, n, cfg.embed_min_cos)))
     found = fuse(legs, cfg.rrf_k)
@@ -364,7 +378,8 @@ def recall(facts: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors
     pins = live.where("pinned").withColumn("_n", F.row_number().over(Window.partitionBy("uid").orderBy("id"))).where(F.col("_n") <= PINS).select("uid", "id")
     pinned = queries.select(*Q).join(pins, "uid")
     ids = found.join(pinned.withColumn("pin", F.lit(True)), [*Q, "id"], "full")
-    rows = ids.join(facts, ["uid", "id"])
+    # without those that no query shows
+    rows = ids.join(facts.where(FA.live(F.lit(False), cfg.min_confidence)), ["uid", "id"])
     said = F.lit(False)
     if exclude is not None:
         rows = rows.join(exclude.select(*Q, "turn_ref", F.lit(True).alias("_said")).distinct(), [*Q, "turn_ref"], "left")
@@ -384,11 +399,9 @@ def recall(facts: DataFrame, queries: DataFrame, cfg: Config = Config(), vectors
 
 def cold_triggered(queries: DataFrame, hot: DataFrame, facts: DataFrame) -> DataFrame:
     """``uid, qid, triggered``: speaks of the past, nothing is hot though facts are live, or shares a token with hot cards."""
-    tokens = queries.select(*Q, F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).where(F.length("token") >= 2)
-    cards = hot.select("uid", F.explode(F.array_distinct(T.tokenize(FA.card()))).alias("token")).where(F.length("token") >= 2).distinct()
-    shared = tokens.join(cards, ["uid", "token"], "left_semi").select(*Q).distinct().withColumn("shares", F.lit(True))
-    out = queries.join(shared, Q, "left")
-    out = out.join(hot.select("uid").distinct().withColumn("has_hot", F.lit(True)), "uid", "left")
+    # a uid's hot cards fit a budget: few tokens, in one row
+    cards = hot.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list(T.tokenize(FA.card())))).alias("held"), F.lit(True).alias("has_hot"))
+    out = queries.join(cards, "uid", "left").withColumn("shares", F.arrays_overlap(F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) >= 2), F.col("held")))
     out = out.join(FA.list_facts(facts).select("uid").distinct().withColumn("has_live", F.lit(True)), "uid", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     return out.select(*Q, (T.past_mentioned(F.col("text")) | (~yes("has_hot") & yes("has_live")) | yes("shares")).alias("triggered"))
@@ -399,9 +412,9 @@ def context(facts: DataFrame, queries: DataFrame, cfg: Config = Config(), vector
     hot = hot_facts(facts, cfg, None if exclude is None else exclude.drop("qid"))
     wanted = cold_triggered(queries, hot, facts).where("triggered").select(*Q)
     cold = recall(facts, queries.join(wanted, Q, "left_semi"), cfg, vectors, exclude)
-    cold = cold.join(hot.select("uid", "id"), ["uid", "id"], "left_anti")
     one = lambda df, name: df.select(*Q, "id", FA.card().alias("card"), F.lit(name).alias("source"), "place")
     both = one(queries.select(*Q).join(hot, "uid"), "hot").unionByName(one(cold, "cold"))
+    both = both.withColumn("_hot", F.max(F.col("source") == "hot").over(Window.partitionBy(*Q, "id"))).where((F.col("source") == "hot") | ~F.col("_hot")).drop("_hot")
     return both.withColumn("place", F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("source"), "place")))
 
 

@@ -122,6 +122,18 @@ def test_fused_query_computes_its_list_once(spark):
     assert got.where("rrf > 0").count() == got.count()
 
 
+def test_only_tokens_asked_for_leave_a_fact(spark, monkeypatch):
+    """No table of all tokens is shuffled, and a large uid's facts are spread with the same answers."""
+    f = facts(spark, *({"uid": u, "id": f"F-{i}", "predicate": f"p{i % 3}", "object": f"k{i % 7}", "pinned": i == 5, "first_seq": i} for u in "ab" for i in range(40)))
+    q = spark.createDataFrame([("a", 1, "k1 k2"), ("b", 1, "k3"), ("b", 2, "zz"), ("c", 1, "k1")], "uid string, qid int, text string").withColumn("now", F.lit("2024-01-02").cast("timestamp"))
+    plan = plan_of(RE.bm25(f.select("uid", "id", F.col("object").alias("text")), q, 3, one_pass=False))
+    assert "array_contains(wanted" in plan
+    ask = lambda: [r.asDict() for r in RE.recall(f, q).orderBy("uid", "qid", "place").collect()]
+    whole = ask()
+    monkeypatch.setattr(RE, "SPREAD", 6)
+    assert ask() == whole and {(r["uid"], r["qid"]) for r in whole} == {("a", 1), ("b", 1), ("b", 2)}
+
+
 def leaders(rows, floor):
     """Groups of like values in order, item by item."""
     cut = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))} if s else set()
