@@ -46,12 +46,17 @@ def core_len(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Pairs of neighbouring word characters, across what is removed between them; a lone one is itself."""
-    return pairs(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", ""))
+    return pairs(words(text))
+
+
+def words(text: Column) -> Column:
+    """The text's word characters."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", "")
 
 
 def token_count(text: Column) -> Column:
     """The size of ``tokenize`` without the tokens."""
-    n = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", ""))
+    n = F.length(words(text))
     return F.when(n == 0, 0).otherwise(F.greatest(n - 1, F.lit(1)))
 
 

@@ -20,6 +20,8 @@ Q = ["uid", "qid"]
 ASKED = 500_000
 #: Vectors, or queries, of a block, and the products of both that a task holds at a time.
 BLOCK, CELLS = 16_384, 4_000_000
+#: Characters of texts whose tokens are counted at a time; the second half of a token of one character.
+CHARS, LONE = 1_000_000, (1 << 21) - 1
 #: Rows of one uid from which on they are spread over several tasks.
 SPREAD = 500_000
 
@@ -96,15 +98,68 @@ def hot_topics(topics: DataFrame, cfg: Config = Config()) -> DataFrame:
     return _prose(FA.list_topics(topics, max(4, 3 * cfg.topic_k)), cfg.topic_k, cfg.topic_tokens)
 
 
+def _counted(texts: pa.Array):
+    """Tokens of texts without other than word characters, some million characters at a time: the chunk's first row, row, code and count of
+    each of a row's distinct tokens, and all rows' numbers of tokens. A code has two characters, or one and ``LONE``."""
+    chars = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(chars), 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHARS, "right")))
+        n = chars[start:end]
+        c = np.frombuffer("".join(x or "" for x in texts[start:end].to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        lone = n[row] == 1
+        code = np.append(c[:-1] << 21 | c[1:], 0)[: len(c)]
+        code[lone] = c[lone] << 21 | LONE
+        whole = np.append(row[:-1] == row[1:], False)[: len(c)] | lone
+        size = np.where(n > 1, n - 1, n)
+        code, row = code[whole], row[whole]
+        # rows follow one another: of each, its codes in order
+        order = np.lexsort((code, row)) if len(n) >= 1 << 20 else None
+        if order is None:
+            key = np.sort(row << 42 | code)
+            row, code = key >> 42, key & (1 << 42) - 1
+        else:
+            row, code = row[order], code[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
+        yield start, row[first], code[first], np.diff(np.append(first, len(row))), size
+        start = end
+
+
+def _names(codes: np.ndarray) -> list[str]:
+    return [chr(x >> 21) + (chr(x & LONE) if x & LONE != LONE else "") for x in codes.tolist()]
+
+
+def _post(batches):
+    """``uid, id, text`` to postings of each row."""
+    for batch in batches:
+        for start, row, code, tf, size in _counted(batch.column(2)):
+            codes, at = np.unique(code, return_inverse=True)
+            rows = pa.array(row + start)
+            token = pa.array(_names(codes), pa.string()).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(size[row], pa.int32()), token, pa.array(tf, pa.int64())], names=["uid", "id", "length", "token", "tf"])
+
+
+def _held_by(batches):
+    """``uid, id, text`` to the number of a chunk's rows that hold a token: ``uid, token, n``."""
+    for batch in batches:
+        for start, row, code, _, _ in _counted(batch.column(2)):
+            found = pa.table([batch.column(0).take(pa.array(row + start)), pa.array(code)], names=["uid", "code"]).group_by(["uid", "code"]).aggregate([([], "count_all")])
+            for x in found.to_batches():
+                yield pa.RecordBatch.from_arrays([x.column("uid"), pa.array(_names(x.column("code").to_numpy()), pa.string()), x.column("count_all").cast(pa.int64())], names=["uid", "token", "n"])
+
+
 def postings(rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """``uid, id, text`` to ``uid, id, token, tf, length`` of folded tokens."""
-    tokens = rows.select("uid", F.col(id_col).alias("id"), T.tokenize(T.fold(F.col("text"))).alias("tokens"))
-    one = tokens.select("uid", "id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return one.groupBy("uid", "id", "length", "token").agg(F.count("*").alias("tf"))
+    """``uid, id, text`` to ``uid, id, token, tf, length`` of folded tokens; rows of one id and length are one."""
+    rows = rows.select("uid", F.col(id_col).alias("id"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    repeated = rows.groupBy("uid", "id").count().where("count > 1").limit(1).count() > 0
+    post = spread(rows).select("uid", "id", T.words(T.fold(F.col("text"))).alias("text")).mapInArrow(_post, f"uid string, id {kind}, length int, token string, tf long")
+    return post.groupBy("uid", "id", "length", "token").agg(F.sum("tf").alias("tf")) if repeated else post
 
 
 def _top_scores(weights, limit: int):
-    """A task's best ``limit`` rows of each query: one pass over its rows ``uid, id, tokens``."""
+    """A task's best ``limit`` rows of each query: one pass over its rows ``uid, id, text``."""
 
     def run(batches):
         asked = weights.value
@@ -116,34 +171,33 @@ def _top_scores(weights, limit: int):
             of_uid.setdefault(uid, []).append((qid, mean, at, w))
         best: dict[tuple, list] = {}
         for batch in batches:
-            uids, ids = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist(), object)
-            length = np.array(batch.column(2).value_lengths().fill_null(0))
-            doc = np.repeat(np.arange(len(ids)), length)
-            coded = batch.column(2).flatten().dictionary_encode()
-            token, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            for uid in set(uids) & set(of_uid):
-                known = numbers[uid]
-                number = np.array([known.get(t, -1) for t in names], np.int64)
-                mine = uids == uid
-                n = number[token]
-                use = (n >= 0) & mine[doc]
-                pairs, tf = np.unique(doc[use] * len(known) + n[use], return_counts=True)
-                d, t = pairs // len(known), pairs % len(known)
-                rows, first = np.unique(d, return_index=True)
-                for qid, mean, at, w in of_uid[uid]:
-                    own = np.zeros(len(known))
-                    own[at] = w
-                    # tenths of a trillionth, so that sums don't depend on their order
-                    part = np.rint(own[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean)) * 1e12).astype(np.int64)
-                    total = np.add.reduceat(part, first) if len(first) else part
-                    met = np.add.reduceat(own[t] != 0, first) > 0 if len(first) else first
-                    key, held = (uid, qid), best.get((uid, qid), [])
-                    floor = held[-1][0] if len(held) == limit else -(1 << 62)
-                    pick = np.flatnonzero(met & (-total <= -floor))
-                    if len(pick) > 4 * limit:
-                        pick = pick[total[pick] >= np.partition(total[pick], len(pick) - limit)[len(pick) - limit]]
-                    held = sorted([*held, *((int(total[i]), ids[rows[i]]) for i in pick)], key=lambda x: x[1])
-                    best[key] = sorted(held, key=lambda x: -x[0])[:limit]
+            owners, all_ids = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist(), object)
+            for start, doc, code, counts, length in _counted(batch.column(2)):
+                uids, ids = owners[start : start + len(length)], all_ids[start : start + len(length)]
+                codes, token = np.unique(code, return_inverse=True)
+                names = _names(codes)
+                for uid in set(uids) & set(of_uid):
+                    known = numbers[uid]
+                    number = np.array([known.get(t, -1) for t in names], np.int64)
+                    mine = uids == uid
+                    n = number[token]
+                    use = (n >= 0) & mine[doc]
+                    d, t, tf = doc[use], n[use], counts[use]
+                    rows, first = np.unique(d, return_index=True)
+                    for qid, mean, at, w in of_uid[uid]:
+                        own = np.zeros(len(known))
+                        own[at] = w
+                        # tenths of a trillionth, so that sums don't depend on their order
+                        part = np.rint(own[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean)) * 1e12).astype(np.int64)
+                        total = np.add.reduceat(part, first) if len(first) else part
+                        met = np.add.reduceat(own[t] != 0, first) > 0 if len(first) else first
+                        key, held = (uid, qid), best.get((uid, qid), [])
+                        floor = held[-1][0] if len(held) == limit else -(1 << 62)
+                        pick = np.flatnonzero(met & (-total <= -floor))
+                        if len(pick) > 4 * limit:
+                            pick = pick[total[pick] >= np.partition(total[pick], len(pick) - limit)[len(pick) - limit]]
+                        held = sorted([*held, *((int(total[i]), ids[rows[i]]) for i in pick)], key=lambda x: x[1])
+                        best[key] = sorted(held, key=lambda x: -x[0])[:limit]
         flat = [(uid, qid, i, total) for (uid, qid), held in best.items() for total, i in held]
         columns = list(zip(*flat)) if flat else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([*(pa.array(list(c)) if flat else pa.array([], pa.string()) for c in columns[:3]), pa.array(list(columns[3]), pa.int64())], names=["uid", "qid", "id", "total"])
@@ -170,8 +224,8 @@ def bm25(rows: DataFrame, queries: DataFrame, limit: int, keep: Column | None =
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     rank = F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("score"), F.asc("id")))
     if one_pass and asked.limit(ASKED + 1).count() <= ASKED:
-        tokens = spread(rows).select("uid", "id", T.tokenize(T.fold(F.col("text"))).alias("tokens"), *([] if keep is None else [keep.alias("kept")]))
-        df = tokens.select("uid", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("uid", "token").agg(F.count("*").alias("df"))
+        tokens = spread(rows).select("uid", "id", T.words(T.fold(F.col("text"))).alias("text"), *([] if keep is None else [keep.alias("kept")]))
+        df = tokens.select("uid", "id", "text").mapInArrow(_held_by, "uid string, token string, n long").groupBy("uid", "token").agg(F.sum("n").alias("df"))
         weighed = asked.join(df, ["uid", "token"]).join(size, "uid").select(*Q, "mean", "token", (idf * F.col("times")).alias("w"))
         weights: dict[tuple, tuple] = {}
         for r in weighed.groupBy(*Q, "mean").agg(F.collect_list("token").alias("t"), F.collect_list("w").alias("w")).collect():

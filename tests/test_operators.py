@@ -134,6 +134,20 @@ def test_only_tokens_asked_for_leave_a_fact(spark, monkeypatch):
     assert ask() == whole and {(r["uid"], r["qid"]) for r in whole} == {("a", 1), ("b", 1), ("b", 2)}
 
 
+def test_postings_are_counted_within_rows(spark, monkeypatch):
+    """No token is shuffled unless an id occurs twice; over several chunks the counts are those of a row's pairs."""
+    monkeypatch.setattr(RE, "CHARS", 5)
+    texts = ["Ábab ab", "", None, "x", "-- 团子团子", "_1 1_", "𠀀𠀀𠀀", "b"]
+    rows = spark.createDataFrame([("u", i, t) for i, t in enumerate(texts)], "uid string, id int, text string")
+    wanted = {(i, t, n, k) for i, n, pairs in [(0, 5, {"ab": 2, "ba": 2, "bá": 0}), (3, 1, {"x": 1}), (4, 3, {"团子": 2, "子团": 1}), (5, 3, {"_1": 1, "11": 1, "1_": 1}), (6, 2, {"𠀀𠀀": 2}), (7, 1, {"b": 1})] for t, k in pairs.items() if k}
+    wanted = {x for x in wanted if x[0]} | {(0, "ab", 5, 3), (0, "ba", 5, 2)}
+    got = RE.postings(rows)
+    assert "Aggregate" not in plan_of(got)
+    assert {(x.id, x.token, x.length, x.tf) for x in got.collect()} == wanted
+    twice = RE.postings(rows.unionByName(rows))
+    assert {(x.id, x.token, x.length, x.tf) for x in twice.collect()} == {(i, t, n, 2 * k) for i, t, n, k in wanted}
+
+
 def leaders(rows, floor):
     """Groups of like values in order, item by item."""
     cut = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))} if s else set()
